@@ -27,19 +27,22 @@ TIME_NAME_TERMS = ("date", "time", "timestamp")
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 # Date/time formats tried for text columns, in order (first wins on equal parse rates).
-# Every one contains a separator, so plain digit strings are never taken for dates.
-DATETIME_FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
-    "yyyy-M-d H:m",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "d-M-yyyy",
-    "d MMM yyyy",
-)
+# Every one contains a separator, so plain digit strings are never taken for dates.  Each
+# has a cheap shape test so the (exception-driven) parser only sees plausible strings.
+_D2 = r"\d{1,2}"
+DATETIME_SHAPES = {
+    "yyyy-M-d": rf"^\d{{4}}-{_D2}-{_D2}$",
+    "yyyy-M-d H:m:s": rf"^\d{{4}}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}$",
+    "yyyy-M-d'T'H:m:s": rf"^\d{{4}}-{_D2}-{_D2}T{_D2}:{_D2}:{_D2}$",
+    "yyyy-M-d H:m:s.SSSSSS": rf"^\d{{4}}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}\.\d{{1,6}}$",
+    "yyyy-M-d'T'H:m:s.SSSSSS": rf"^\d{{4}}-{_D2}-{_D2}T{_D2}:{_D2}:{_D2}\.\d{{1,6}}$",
+    "yyyy-M-d H:m": rf"^\d{{4}}-{_D2}-{_D2} {_D2}:{_D2}$",
+    "yyyy/M/d": rf"^\d{{4}}/{_D2}/{_D2}$",
+    "M/d/yyyy": rf"^{_D2}/{_D2}/\d{{4}}$",
+    "d-M-yyyy": rf"^{_D2}-{_D2}-\d{{4}}$",
+    "d MMM yyyy": rf"^{_D2} [A-Za-z]{{3}} \d{{4}}$",
+}
+DATETIME_FORMATS = tuple(DATETIME_SHAPES)
 
 TWO_POW_32 = 4294967296.0
 
@@ -76,7 +79,10 @@ def parse_number(c: Column) -> Column:
 
 def parse_datetime(c: Column, fmt: str) -> Column:
     """Text to ``timestamp_ntz`` with one pattern; failures become NULL."""
-    return F.try_to_timestamp(strip_ws(c.cast("string")), F.lit(fmt)).cast("timestamp_ntz")
+    t = strip_ws(c.cast("string"))
+    shape = DATETIME_SHAPES.get(fmt)
+    parsed = F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
+    return F.when(t.rlike(shape), parsed) if shape else parsed
 
 
 def missing_flag(c: Column) -> Column:

@@ -457,3 +457,184 @@ def q_feature_histogram(spark, sf):
 WHERE p_type IS NOT NULL GROUP BY 1 ORDER BY count DESC, value LIMIT 25""")
 def q_top_categories(spark, sf):
     return V.feature_distribution(table(spark, sf, "part"), "p_type")
+
+
+# ---- cleaning ------------------------------------------------------------------------------
+
+from ..operators import clean as C  # noqa: E402
+from ..operators import features as FT  # noqa: E402
+
+
+def messy_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """``orders`` as a messy export: text numbers with thousands commas and 'n/a', dates as
+    text, missing-value tokens, a reader-generated blank header and an empty column."""
+    o = table(spark, sf, "orders")
+    pending = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
+    return o.select(
+        F.col("o_orderkey").alias("Order ID"),
+        F.col("o_custkey").alias("cust key"),
+        F.col("o_orderstatus").alias("Status"),
+        F.when(pending, F.lit("n/a")).otherwise(F.format_number("o_totalprice", 2)).alias("Total Price ($)"),
+        F.col("o_orderdate").cast("string").alias("order date"),
+        F.when(pending, F.lit(" None ")).otherwise(F.col("o_orderpriority")).alias("Priority"),
+        F.col("o_custkey").alias("Unnamed: 6"),
+        F.expr("nullif(o_orderstatus, o_orderstatus)").alias("empty col"),
+    )
+
+
+PENDING = "(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')"
+MODE_PRIORITY = (f"(SELECT o_orderpriority FROM orders WHERE NOT {PENDING} GROUP BY 1 "
+                 "ORDER BY count(*) DESC, 1 LIMIT 1)")
+
+
+@register("clean_table", f"""SELECT o_orderkey AS "Order_ID", o_custkey AS cust_key, o_orderstatus AS "Status",
+ round(CASE WHEN {PENDING} THEN (SELECT median(o_totalprice) FROM orders WHERE NOT {PENDING})
+       ELSE o_totalprice END, 6) AS "Total_Price",
+ o_orderdate AS order_date,
+ CASE WHEN {PENDING} THEN {MODE_PRIORITY} ELSE o_orderpriority END AS "Priority"
+FROM orders""")
+def q_clean_table(spark, sf):
+    out, _ = C.clean_dataset(messy_orders(spark, sf))
+    return R6(out)
+
+
+@register("cleaning_report", f"""SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
+ CAST(8 AS BIGINT) AS cols_before, CAST(6 AS BIGINT) AS cols_after, 'Unnamed: 6,empty col' AS dropped_columns,
+ CAST(0 AS BIGINT) AS dropped_rows, 'Total_Price:numeric,order_date:datetime' AS converted_columns,
+ CASE WHEN count(*) FILTER (WHERE {PENDING}) > 0 THEN 'Total_Price:median,Priority:mode' ELSE '' END AS imputed_columns,
+ '' AS warnings
+FROM orders""")
+def q_cleaning_report(spark, sf):
+    _, rep = C.clean_dataset(messy_orders(spark, sf))
+    return rep.to_frame(spark)
+
+
+@register("drop_null_rows", f"SELECT quality, toxic FROM {DL} WHERE quality IS NOT NULL OR toxic IS NOT NULL")
+def q_drop_null_rows(spark, sf):
+    return C.drop_null_rows(docs_labels(spark, sf).select("quality", "toxic"))
+
+
+@register("drop_null_columns", f"SELECT doc_id, lang FROM {DL} WHERE toxic IS NULL")
+def q_drop_null_columns(spark, sf):
+    d = docs_labels(spark, sf).where(F.col("toxic").isNull()).select("doc_id", "lang", "quality")
+    return C.drop_null_columns(d)[0]
+
+
+@register("drop_unnamed", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_drop_unnamed(spark, sf):
+    c = table(spark, sf, "customer").withColumnRenamed("c_name", "Unnamed: 1")
+    return C.drop_unnamed(c)[0]
+
+
+@register("normalize_names", 'SELECT n_nationkey AS "N_Nation_Key", n_name AS n_name, n_regionkey AS n_name_1 FROM nation')
+def q_normalize_names(spark, sf):
+    n = table(spark, sf, "nation").toDF(" N  Nation Key ", "n-name (%)", "n name")
+    return C.normalize_names(n, "clean")
+
+
+@register("post_process", f'SELECT doc_id AS "Doc ID", source, n_chars AS "n chars" FROM {DL} WHERE toxic IS NULL')
+def q_post_process(spark, sf):
+    d = docs_labels(spark, sf).where(F.col("toxic").isNull()).select(
+        F.col("doc_id").alias("  Doc   ID "), F.col("quality").alias("Quality"), F.col("lang").alias("Unnamed: 2"),
+        F.col("source"), F.col("n_chars").alias("n  chars"))
+    return C.post_process(d)
+
+
+@register("inf_to_null", """SELECT l_orderkey, l_linenumber,
+ round(CASE WHEN isinf(l_extendedprice * 1e305) THEN NULL ELSE l_extendedprice * 1e305 / 1e305 END, 6) AS big
+FROM lineitem""")
+def q_inf_to_null(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.lit(1e305)).alias("big"))
+    out = C.inf_to_null(li)
+    return R6(out.withColumn("big", F.col("big") / F.lit(1e305)))
+
+
+NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _infer_sql(cols: dict[str, str]) -> str:
+    parts = []
+    for name, expr in cols.items():
+        parts.append(f"""SELECT '{name}' AS {q('column')}, CASE WHEN count(v) = 0 THEN 'string'
+ WHEN count(CASE WHEN lower(v) IN ('true', 'false') THEN 1 END) = count(v) THEN 'boolean'
+ WHEN count(CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 1 END) = count(v) THEN 'bigint'
+ WHEN count(CASE WHEN regexp_matches(v, '{NUM_RE}') THEN 1 END) = count(v) THEN 'double'
+ ELSE 'string' END AS inferred_type
+FROM (SELECT CASE WHEN trim({expr}) IN ('', 'nan', 'None', 'null') THEN NULL ELSE trim({expr}) END AS v FROM lineitem)""")
+    return union_all(parts)
+
+
+INFER_COLS = {
+    "l_orderkey": "CAST(l_orderkey AS VARCHAR)",
+    "l_quantity": "CAST(l_quantity AS VARCHAR)",
+    "l_returnflag": "l_returnflag",
+    "big_qty": "CAST(l_quantity > 25 AS VARCHAR)",
+}
+
+
+@register("infer_types", _infer_sql(INFER_COLS))
+def q_infer_types(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("l_orderkey"), F.col("l_quantity").cast("string").alias("l_quantity"),
+        "l_returnflag", (F.col("l_quantity") > 25).cast("string").alias("big_qty"))
+    return C.infer_column_types(li)
+
+
+@register("parse_datetime", "SELECT o_orderkey, o_orderdate FROM orders")
+def q_parse_datetime(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"))
+    d = C.decide_text_types(o, ["o_orderdate"])[0]
+    return o.select("o_orderkey", C.convert_expr(d))
+
+
+@register("parse_numeric", "SELECT p_partkey, round(p_retailprice, 6) AS p_retailprice FROM part")
+def q_parse_numeric(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.format_number("p_retailprice", 2).alias("p_retailprice"))
+    d = C.decide_text_types(p, ["p_retailprice"])[0]
+    return R6(p.select("p_partkey", C.convert_expr(d)))
+
+
+@register("null_tokens", f"SELECT doc_id, CAST(toxic AS VARCHAR) AS toxic_text FROM {DL}")
+def q_null_tokens(spark, sf):
+    d = docs_labels(spark, sf).select(
+        "doc_id", F.concat(F.lit(" "), F.coalesce(F.col("toxic").cast("string"), F.lit("None")), F.lit(" ")).alias("toxic_text"))
+    d0 = C.decide_text_types(d, ["toxic_text"])[0]
+    return d.select("doc_id", C.convert_expr(d0))
+
+
+@register("impute_median", f"""SELECT doc_id,
+ round(coalesce(CAST(quality AS DOUBLE), (SELECT coalesce(median(quality), 0) FROM {DL})), 6) AS quality,
+ round(coalesce(CAST(toxic AS DOUBLE), (SELECT coalesce(median(toxic), 0) FROM {DL})), 6) AS toxic
+FROM {DL}""")
+def q_impute_median(spark, sf):
+    d = docs_labels(spark, sf).select("doc_id", "quality", "toxic")
+    return R6(C.impute_median(d, ["quality", "toxic"])[0])
+
+
+@register("impute_mode", f"""SELECT doc_id, coalesce(CAST(toxic AS VARCHAR),
+ (SELECT CAST(toxic AS VARCHAR) FROM {DL} WHERE toxic IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS toxic_text
+FROM {DL}""")
+def q_impute_mode(spark, sf):
+    d = docs_labels(spark, sf).select("doc_id", F.col("toxic").cast("string").alias("toxic_text"))
+    return C.impute_mode(d, ["toxic_text"])[0]
+
+
+@register("impute_mode_ts", """SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderdate END,
+ (SELECT o_orderdate FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS open_date
+FROM orders""")
+def q_impute_mode_ts(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.lit(None)).otherwise(F.col("o_orderdate")).alias("open_date"))
+    return C.impute_mode(o, ["open_date"])[0]
+
+
+@register("reduce_features", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_reduce_features(spark, sf):
+    return FT.reduce_features(table(spark, sf, "customer"))[0]
+
+
+@register("reinject_columns", "SELECT c_custkey, 'NA' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_reinject_columns(spark, sf):
+    c = table(spark, sf, "customer")
+    reduced, dropped = FT.reduce_features(c)
+    return FT.reinject_columns(reduced, c, dropped)
