@@ -638,3 +638,69 @@ def q_reinject_columns(spark, sf):
     c = table(spark, sf, "customer")
     reduced, dropped = FT.reduce_features(c)
     return FT.reinject_columns(reduced, c, dropped)
+
+
+# ---- sampling ------------------------------------------------------------------------------
+
+from ..operators import sample as S  # noqa: E402
+
+ORD_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ORD_SEL = ", ".join(ORD_COLS)
+
+
+def hash_sql(stream: str, expr: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:{stream}:' || CAST({expr} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+def quarter(df: DataFrame) -> int:
+    return df.count() // 4
+
+
+@register("sample_random", f"""SELECT {ORD_SEL} FROM orders
+QUALIFY row_number() OVER (ORDER BY {hash_sql('sample', 'o_orderkey')}, o_orderkey) <= (SELECT count(*) // 4 FROM orders)""")
+def q_sample_random(spark, sf):
+    o = table(spark, sf, "orders")
+    return S.sample_random(o, quarter(o), ["o_orderkey"])
+
+
+STRAT_SQL = f"""WITH c AS (SELECT o_orderpriority AS class, count(*) AS _c FROM orders GROUP BY 1),
+t AS (SELECT count(*) AS total, count(*) // 4 AS n FROM orders),
+q0 AS (SELECT class, _c, n, floor(_c * n / total) AS base, _c * n / total - floor(_c * n / total) AS rem FROM c, t),
+q AS (SELECT class, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, class ASC NULLS FIRST)
+                                   <= max(n) OVER () - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {hash_sql('sample', 'o_orderkey')}, o_orderkey) - 1 AS p
+      FROM orders)
+SELECT {', '.join('r.' + c for c in ORD_COLS)} FROM r JOIN q ON r.o_orderpriority = q.class WHERE r.p < q.quota"""
+
+
+@register("sample_stratified", STRAT_SQL)
+def q_sample_stratified(spark, sf):
+    o = table(spark, sf, "orders")
+    return S.sample_stratified(o, quarter(o), "o_orderpriority", ["o_orderkey"])
+
+
+@register("sample_recent", f"""SELECT {ORD_SEL} FROM orders
+QUALIFY row_number() OVER (ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC) <= (SELECT count(*) // 4 FROM orders)""")
+def q_sample_recent(spark, sf):
+    o = table(spark, sf, "orders")
+    return S.sample_recent(o, quarter(o), "o_orderdate", ["o_orderkey"])
+
+
+@register("bootstrap", f"""WITH t AS (SELECT count(*) AS total FROM orders),
+idx AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('boot-order', 'o_orderkey')}, o_orderkey) - 1 AS _idx FROM orders),
+d AS (SELECT CAST(floor((CAST({hash_sql('boot', 'r.range')} AS DOUBLE) + 0.5) / 4294967296.0 * t.total) AS BIGINT) AS _idx
+      FROM t, range(t.total) r)
+SELECT {', '.join('idx.' + c for c in ORD_COLS)} FROM d JOIN idx ON d._idx = idx._idx""")
+def q_bootstrap(spark, sf):
+    o = table(spark, sf, "orders")
+    return S.bootstrap(o, o.count(), ["o_orderkey"])
+
+
+@register("sample_report", """SELECT CAST(count(*) AS BIGINT) AS orig_rows, CAST(count(*) // 4 AS BIGINT) AS reduced_rows,
+ 6 AS orig_columns, 6 AS reduced_columns, CAST(0.0 AS DOUBLE) AS orig_missing_pct, CAST(0.0 AS DOUBLE) AS reduced_missing_pct,
+ round(CAST(count(*) // 4 AS DOUBLE) / count(*) * 100.0, 6) AS pct_kept, (count(*) // 4) < 100 AS small_warning
+FROM orders""")
+def q_sample_report(spark, sf):
+    o = table(spark, sf, "orders")
+    red = S.sample_stratified(o, quarter(o), "o_orderpriority", ["o_orderkey"])
+    return R6(S.sample_report(o, red))
