@@ -90,7 +90,8 @@ def unpivot_sql(src: str, cols: list[str], cast: str = "DOUBLE") -> str:
     return f"(UNPIVOT (SELECT {sel} FROM {src}) ON {', '.join(cols)} INTO NAME col VALUE v)"
 
 
-def ks_sql(real: str, synth: str, cols: list[str]) -> str:
+def ks_sql(real: str, synth: str, cols: list[str], raw: bool = False) -> str:
+    extra = ", 1.0 - ks AS sim_raw" if raw else ""
     return f"""
 WITH u AS (
   SELECT col, v, 1 AS a, 0 AS b FROM {unpivot_sql(real, cols)} WHERE NOT isnan(v)
@@ -115,7 +116,7 @@ SELECT col AS {q('column')}, round(ks, 6) AS ks_statistic,
        round(CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * list_sum(list_transform(
            range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam)))))
        END, 6) AS p_value,
-       round(1.0 - ks, 6) AS similarity_score
+       round(1.0 - ks, 6) AS similarity_score{extra}
 FROM l"""
 
 
@@ -368,14 +369,14 @@ def report_sql(real: str, synth: str, cols: list[str]) -> str:
     nulls6 = ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in ("real_mean", "synth_mean", "real_std", "synth_std",
                                                                   "mean_abs_diff", "std_abs_diff"))
     nulls3 = ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in ("ks_statistic", "p_value", "similarity_score"))
-    ks = ks_sql(real, synth, cols)
+    ks = ks_sql(real, synth, cols, raw=True)
     return f"""WITH ks AS ({ks}), st AS ({stats_sql(real, synth, cols)})
 SELECT 'real_rows' AS metric, CAST((SELECT count(*) FROM {real}) AS DOUBLE) AS value, 'summary' AS section,
   CAST(NULL AS VARCHAR) AS {q('column')}, {nulls6}, {nulls3}
 UNION ALL SELECT 'synthetic_rows', CAST((SELECT count(*) FROM {synth}) AS DOUBLE), 'summary', NULL, {nulls6}, {nulls3}
 UNION ALL SELECT 'correlation_similarity_score', (SELECT round(greatest(0.0, 1.0 - d), 6) FROM {corr_diff_sql(real, synth, cols)}),
   'summary', NULL, {nulls6}, {nulls3}
-UNION ALL SELECT 'avg_ks_similarity', round((SELECT avg(similarity_score) FROM ks), 6), 'summary', NULL, {nulls6}, {nulls3}
+UNION ALL SELECT 'avg_ks_similarity', round((SELECT avg(sim_raw) FROM ks), 6), 'summary', NULL, {nulls6}, {nulls3}
 UNION ALL SELECT NULL, NULL, 'column_statistics', {q('column')}, real_mean, synth_mean, real_std, synth_std, mean_abs_diff,
   std_abs_diff, {nulls3} FROM st
 UNION ALL SELECT NULL, NULL, 'ks_test', {q('column')}, {nulls6}, ks_statistic, p_value, similarity_score FROM ks"""
@@ -704,3 +705,205 @@ def q_sample_report(spark, sf):
     o = table(spark, sf, "orders")
     red = S.sample_stratified(o, quarter(o), "o_orderpriority", ["o_orderkey"])
     return R6(S.sample_report(o, red))
+
+
+# ---- recommendation ------------------------------------------------------------------------
+
+from ..operators import recommend as M  # noqa: E402
+
+
+@register("recommend_model", f"""WITH c AS (SELECT quality, count(*) AS n FROM {DL} GROUP BY quality),
+r AS (SELECT CASE WHEN count(*) >= 2 AND max(n) > 0 THEN CAST(min(n) AS DOUBLE) / max(n) END AS ratio FROM c),
+s AS (SELECT count(*) AS rows FROM {DL})
+SELECT CASE WHEN rows = 0 THEN 'GaussianCopula' WHEN ratio < 0.35 THEN 'SMOTE' ELSE 'CTGAN' END AS model,
+ CASE WHEN rows = 0 THEN 'Empty input: falling back to the Gaussian copula.'
+      WHEN ratio < 0.35 THEN 'Class imbalance ratio ' || printf('%.2f', ratio) || ' on ''quality'': oversampling with SMOTE.'
+      ELSE 'Many categorical columns: CTGAN.' END AS reason,
+ round(ratio, 6) AS imbalance_ratio, CAST(NULL AS VARCHAR) AS detected_time_column
+FROM r, s""")
+def q_recommend_model(spark, sf):
+    return R6(M.recommend_frame(docs_labels(spark, sf), target="quality"))
+
+
+@register("recommend_model_v2", f"""WITH c AS (SELECT toxic, count(*) AS n FROM {DL} WHERE toxic IS NOT NULL GROUP BY toxic),
+r AS (SELECT CASE WHEN count(*) = 2 AND max(n) > 0 THEN CAST(min(n) AS DOUBLE) / max(n) END AS ratio FROM c)
+SELECT CASE WHEN ratio < 0.3 THEN 'SMOTE' ELSE 'GaussianCopulaSynthesizer' END AS model,
+ CASE WHEN ratio < 0.3 THEN 'Binary imbalance ratio ' || printf('%.2f', ratio) || ': SMOTE.'
+      ELSE 'Small table: Gaussian copula.' END AS reason
+FROM r""")
+def q_recommend_model_v2(spark, sf):
+    return M.recommend_frame_v2(docs_labels(spark, sf), target="toxic")
+
+
+@register("infer_time_column", f"""SELECT CASE WHEN avg(CASE WHEN try_strptime(o_orderdate, '%Y-%m-%d %H:%M:%S') IS NOT NULL
+ THEN 1.0 ELSE 0.0 END) >= 0.8 THEN 'o_orderdate' END AS detected_time_column FROM {ORD_TXT}""")
+def q_infer_time_column(spark, sf):
+    o = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+    return M.infer_time_frame(o)
+
+
+# ---- generation ------------------------------------------------------------------------------
+
+from ..operators.generate import copula as G1  # noqa: E402
+from ..operators.generate.fallback import generate_with_fallback  # noqa: E402
+
+KNOT_COLS = ["l_extendedprice", "l_orderkey", "l_partkey"]
+PROBS_SQL = "[" + ", ".join(repr(k / 100) for k in range(101)) + "]"
+
+
+@register("copula_marginals", union_all([
+    f"""SELECT '{c}' AS {q('column')}, CAST(g.k AS INTEGER) AS k, round(t.q[g.k + 1], 6) AS value
+FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), {PROBS_SQL}) AS q FROM lineitem) t, range(0, 101) g(k)"""
+    for c in KNOT_COLS
+]))
+def q_copula_marginals(spark, sf):
+    return R6(G1.marginal_knots(table(spark, sf, "lineitem"), KNOT_COLS, 100))
+
+
+@register("copula_sample")
+def q_copula_sample(spark, sf):
+    o = table(spark, sf, "orders")
+    return G1.generate_gaussian_copula(o, o.count())
+
+
+CUST_RED = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
+CUST_KEY = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in CUST_RED)
+
+
+@register("generate_fallback", f"""WITH base AS (SELECT {', '.join(CUST_RED)} FROM customer),
+t AS (SELECT count(*) AS total FROM base),
+idx AS (SELECT *, row_number() OVER (ORDER BY CAST(('0x' || substr(md5('42:boot-order:' || {CUST_KEY}), 1, 8)) AS BIGINT),
+        {', '.join(CUST_RED)}) - 1 AS _idx FROM base),
+d AS (SELECT CAST(floor((CAST({hash_sql('boot', 'r.range')} AS DOUBLE) + 0.5) / 4294967296.0 * t.total) AS BIGINT) AS _idx
+      FROM t, range(t.total) r)
+SELECT idx.c_custkey, 'NA' AS c_name, idx.c_nationkey, idx.c_acctbal, idx.c_mktsegment FROM d JOIN idx ON d._idx = idx._idx""")
+def q_generate_fallback(spark, sf):
+    c = table(spark, sf, "customer")
+    return generate_with_fallback(c, "BOOTSTRAP", c.count()).synthetic_df
+
+
+@register("full_pipeline")
+def q_full_pipeline(spark, sf):
+    from .pipeline import run_full_pipeline
+    return R6(run_full_pipeline(spark, f"{sf.rstrip('/')}/orders.parquet").evaluation_report)
+
+
+# ---- sources ---------------------------------------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import csv as SC  # noqa: E402
+from ..sources import load as LD  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+def messy_nation_csv(spark: SparkSession, sf: str) -> str:
+    """``nation`` written as a ';' file with two junk lines above an 'ID;Name;Region' header."""
+    path = scratch_path(spark, "nation-csv")
+    n = table(spark, sf, "nation")
+    junk = spark.createDataFrame([(-3, "Nation export;;"), (-2, ";;"), (-1, "ID;Name;Region")], "k long, value string")
+    data = n.select(F.col("n_nationkey").cast("long").alias("k"),
+                    F.concat_ws(";", "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    junk.unionByName(data).orderBy("k").coalesce(1).select("value").write.text(path)
+    return path
+
+
+@register("csv_scan", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", n_name AS "Name", CAST(n_regionkey AS BIGINT) AS "Region" FROM nation')
+def q_csv_scan(spark, sf):
+    return LD.load_dataset(spark, messy_nation_csv(spark, sf), fmt="csv")[0]
+
+
+@register("header_detect", "SELECT 2 AS header_row, ';' AS delimiter, CAST(count(*) AS BIGINT) AS data_rows FROM nation")
+def q_header_detect(spark, sf):
+    df, diag = LD.load_dataset(spark, messy_nation_csv(spark, sf), fmt="csv")
+    return df.agg(F.count(F.lit(1)).alias("data_rows")).select(
+        F.lit(diag.detected_header_row).alias("header_row"), F.lit(diag.detected_delimiter).alias("delimiter"), "data_rows")
+
+
+@register("csv_delimiter")
+def q_csv_delimiter(spark, sf):
+    path = messy_nation_csv(spark, sf)
+    return spark.range(1).select(F.lit(SC.detect_delimiter_from_lines(spark, SC.head_lines(spark, path))).alias("delimiter"))
+
+
+@register("ingest_diagnostics")
+def q_ingest_diagnostics(spark, sf):
+    return LD.load_dataset(spark, messy_nation_csv(spark, sf), fmt="csv")[1].to_frame(spark)
+
+
+@register("row_ffill", f"""SELECT doc_id, lang, coalesce(CAST(quality AS VARCHAR), lang) AS quality,
+ coalesce(CAST(toxic AS VARCHAR), CAST(quality AS VARCHAR), lang) AS toxic FROM {DL}""")
+def q_row_ffill(spark, sf):
+    d = docs_labels(spark, sf).select("doc_id", "lang", F.col("quality").cast("string").alias("quality"),
+                                      F.col("toxic").cast("string").alias("toxic"))
+    return SC.row_ffill(d, ["lang", "quality", "toxic"])
+
+
+@register("load_parquet", "SELECT * FROM lineitem")
+def q_load_parquet(spark, sf):
+    return LD.load(spark, f"{sf.rstrip('/')}/lineitem.parquet")
+
+
+@register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_preview(spark, sf):
+    return LD.preview(table(spark, sf, "orders"), ["o_orderkey"], 10)
+
+
+@register("csv_sink", """SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size,
+ round(p_retailprice, 6) AS p_retailprice FROM part""")
+def q_csv_sink(spark, sf):
+    path = scratch_path(spark, "part-csv")
+    SK.write_csv(table(spark, sf, "part"), path)
+    return R6(LD.load(spark, path, fmt="csv"))
+
+
+# ---- SMOTE, label encoding, sequences ---------------------------------------------------------
+
+from ..operators.generate import sequence as G4  # noqa: E402
+from ..operators.generate import smote as G2  # noqa: E402
+
+EMB_DIM = 64
+
+
+def embedding_features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    e = table(spark, sf, "embeddings")
+    feats = [f"e{i}" for i in range(EMB_DIM)]
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)]), feats
+
+
+@register("label_encode", "SELECT p_partkey, p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS p_type_code FROM part")
+def q_label_encode(spark, sf):
+    return G2.label_encode(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type")
+
+
+@register("smote_neighbors", """WITH p AS (
+  SELECT a.vec_id, b.vec_id AS nn,
+         list_sum(list_transform(list_zip(a.embedding, b.embedding),
+             lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS d2
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT vec_id, nn AS nn_vec_id, CAST(rn AS INTEGER) AS nn_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, nn) AS rn FROM p) WHERE rn <= 5""")
+def q_smote_neighbors(spark, sf):
+    e, feats = embedding_features(spark, sf)
+    nn = G2.knn_within_class(e, "vec_id", "label", feats, 5)
+    return nn.select("vec_id", F.col("nn_key").alias("nn_vec_id"), "nn_rank")
+
+
+@register("smote_balance", """SELECT CAST(label AS VARCHAR) AS class,
+ (SELECT max(c) FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)) AS rows
+FROM embeddings GROUP BY label""")
+def q_smote_balance(spark, sf):
+    e, feats = embedding_features(spark, sf)
+    bal, _, _ = G2.smote_balance(e.drop("vec_id"), "label")
+    return bal.groupBy(F.col("_y").alias("class")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("smote_generate")
+def q_smote_generate(spark, sf):
+    d = docs_labels(spark, sf).select("lang", "source", "n_chars", "quality")
+    return G2.generate_smote(d, "quality", d.count())
+
+
+@register("sequence_bootstrap")
+def q_sequence_bootstrap(spark, sf):
+    ev = table(spark, sf, "events")
+    return G4.generate_sequences(ev, ev.count(), "ts", sequence_key="user_id", context_columns=["props"])
