@@ -7,6 +7,7 @@ small DataFrames (one row per column / class / pair); dataclass views collect th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -214,42 +215,62 @@ def imbalance_ratio(df: DataFrame, target: str | None, dropna: bool = False, bin
     return None if r is None else r["imbalance_ratio"]
 
 
-def correlation_matrix(df: DataFrame, cols: list[str] | None = None, chunk: int = 120) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str] | None = None, chunk: int = 400) -> DataFrame:
     """Long Pearson matrix (col_a, col_b, r) over numeric columns, pairwise-complete
-    rows, diagonal included; NULL where undefined (constant column, < 2 pairs).
+    rows, diagonal included; NULL where undefined (constant column, fewer than 2 pairs).
 
-    ``regr_sxy / sqrt(regr_sxx * regr_syy)`` equals ``corr`` on the pair's complete rows
-    but gives NULL instead of raising on a constant column under ANSI mode.  All pairs of a
-    chunk are aggregates of one pass; each pair is computed once and mirrored."""
+    Plain SUM aggregates only (codegen-friendly, map-side partial sums): a first pass gets
+    counts and means, the second sums mean-shifted cross products.  Pairs of columns
+    without missing values share per-column sums; pairs touching a column with missing
+    values use sums masked to the pair's complete rows.  Only the sums (O(d^2) numbers)
+    reach the driver, where r = cov / sqrt(var var) is formed (NULL when a variance is 0)."""
     spark = df.sparkSession
     cols = cols if cols is not None else tc.numeric_columns(df)
     if len(cols) < 2:
         return spark.createDataFrame([], "col_a string, col_b string, r double")
-    base = df.select(*[present(df, c).cast("double").alias(c) for c in cols])
+    base = df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    first = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"v{i}").alias(f"c{i}") for i in range(len(cols))],
+                     *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(cols))]).first()  # 2d+1 numbers
+    n = first["n"]
+    full = [first[f"c{i}"] == n for i in range(len(cols))]
+    mean = [first[f"m{i}"] or 0.0 for i in range(len(cols))]
+    d = [F.col(f"v{i}") - F.lit(mean[i]) for i in range(len(cols))]
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    frames = []
+    out_rows = []
     for part in K.chunked(pairs, chunk):
-        exprs = []
+        aggs: dict[str, Column] = {}
+        plan = []
+
+        def add(name: str, e: Column) -> str:
+            if name not in aggs:
+                aggs[name] = F.sum(e).alias(name)
+            return name
+
         for (i, j) in part:
-            x, y = F.col(cols[i]), F.col(cols[j])
-            exprs.append(
-                F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))).alias(f"r_{i}_{j}")
-            )
-        row = base.agg(*exprs)
-        stack = ", ".join(
-            f"{i}, {j}, r_{i}_{j}" + (f", {j}, {i}, r_{i}_{j}" if i != j else "") for (i, j) in part
-        )
-        n = sum(1 if i == j else 2 for (i, j) in part)
-        frames.append(row.selectExpr(f"stack({n}, {stack}) AS (a, b, r)"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    names = F.array(*[F.lit(c) for c in cols])
-    return out.select(
-        F.element_at(names, F.col("a") + 1).alias("col_a"),
-        F.element_at(names, F.col("b") + 1).alias("col_b"),
-        F.col("r"),
-    )
+            if full[i] and full[j]:
+                keys = ("_n", add(f"s{i}", d[i]), add(f"s{j}", d[j]), add(f"q{i}", d[i] * d[i]),
+                        add(f"q{j}", d[j] * d[j]))
+            else:
+                both = F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
+                keys = (add(f"n_{i}_{j}", F.when(both, F.lit(1)).otherwise(F.lit(0))),
+                        add(f"s{i}_{j}", F.when(both, d[i])), add(f"s{j}_{i}", F.when(both, d[j])),
+                        add(f"q{i}_{j}", F.when(both, d[i] * d[i])), add(f"q{j}_{i}", F.when(both, d[j] * d[j])))
+            plan.append((i, j, keys, add(f"x{i}_{j}", d[i] * d[j])))
+        row = base.agg(F.count(F.lit(1)).alias("_n"), *aggs.values()).first()  # one row of sums
+        for (i, j, (kn, ksx, ksy, ksxx, ksyy), kxy) in plan:
+            nn = row[kn] or 0
+            r = None
+            if nn >= 2:
+                sx, sy = row[ksx] or 0.0, row[ksy] or 0.0
+                cxy = (row[kxy] or 0.0) - sx * sy / nn
+                cxx = (row[ksxx] or 0.0) - sx * sx / nn
+                cyy = (row[ksyy] or 0.0) - sy * sy / nn
+                if cxx > 0 and cyy > 0:
+                    r = max(-1.0, min(1.0, cxy / math.sqrt(cxx * cyy)))
+            out_rows.append((cols[i], cols[j], r))
+            if i != j:
+                out_rows.append((cols[j], cols[i], r))
+    return spark.createDataFrame(out_rows, "col_a string, col_b string, r double")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

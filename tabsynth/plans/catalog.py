@@ -907,3 +907,69 @@ def q_smote_generate(spark, sf):
 def q_sequence_bootstrap(spark, sf):
     ev = table(spark, sf, "events")
     return G4.generate_sequences(ev, ev.count(), "ts", sequence_key="user_id", context_columns=["props"])
+
+
+# ---- workbooks ---------------------------------------------------------------------------------
+
+def _xlsx_bytes(rows: list[list[object]]) -> bytes:
+    """Minimal one-sheet workbook with inline strings (test fixture writer)."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def col(i: int) -> str:
+        s = ""
+        i += 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            s = chr(65 + r) + s
+        return s
+
+    body = []
+    for r, row in enumerate(rows, start=1):
+        cells = []
+        for c, v in enumerate(row):
+            if v is None or v == "":
+                continue
+            ref = f"{col(c)}{r}"
+            if isinstance(v, (int, float)) and not isinstance(v, bool):
+                cells.append(f'<c r="{ref}"><v>{v}</v></c>')
+            else:
+                cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>')
+        body.append(f'<row r="{r}">{"".join(cells)}</row>')
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        '<Default Extension="xml" ContentType="application/xml"/>'
+        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+        '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        f'<Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{m}" xmlns:r="{rel}"><sheets>'
+        '<sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        f'<Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{m}"><sheetData>{"".join(body)}</sheetData></worksheet>',
+    }
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return buf.getvalue()
+
+
+@register("xlsx_scan", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", n_name AS "Name", CAST(n_regionkey AS BIGINT) AS "Region" FROM nation')
+def q_xlsx_scan(spark, sf):
+    """``nation`` as a workbook (title row and a merged-looking header above the data)."""
+    import os
+
+    folder = scratch_path(spark, "nation-xlsx")
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    os.makedirs(local, exist_ok=True)
+    rows = [[r["n_nationkey"], r["n_name"], r["n_regionkey"]]
+            for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25-row fixture
+    with open(os.path.join(local, "nation.xlsx"), "wb") as fh:
+        fh.write(_xlsx_bytes([["Nation list", None, None], [], ["ID", "Name", "Region"], *rows]))
+    return LD.load_dataset(spark, folder, fmt="excel")[0]
