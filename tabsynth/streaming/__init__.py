@@ -1 +1,7 @@
-"""tabsynth."""
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window or state; every operator here is a batch
+DataFrame function.  Row-wise steps (name rules, token folding, text parsing with a fixed
+format, imputation with fitted fill values, seeded sampling by hash) are plain Column
+expressions, so they can be applied to a streaming DataFrame unchanged.
+"""

@@ -170,3 +170,15 @@ def test_model_alias_and_chain():
     assert fallback_chain("SMOTE", "main") == ["SMOTE", "CTGAN", "GaussianCopula"]
     assert fallback_chain("whatever") == ["GaussianCopula", "BOOTSTRAP"]
     assert math.isfinite(1.0)
+
+
+def test_common_columns_and_variant_header(spark):
+    from tabsynth.functions.names import common_columns
+    from tabsynth.sources.csv import detect_header_row_from_lines
+
+    assert common_columns(["a", "b", "c"], ["c", "a"]) == ["a", "c"]
+    lines = ["report;;", "S-No;Item;Qty", "1;x;2"]
+    assert detect_header_row_from_lines(spark, lines, ";", variant=True) == 1
+    assert detect_header_row_from_lines(spark, lines, ";", variant=False) == 1
+    assert detect_header_row_from_lines(spark, [], ";", variant=True) == 0
+    assert detect_header_row_from_lines(spark, [], ";", variant=False) is None
