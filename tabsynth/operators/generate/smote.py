@@ -32,7 +32,7 @@ from ..sample import resample_to
 MISSING_TARGET = "__missing_target__"
 MAX_K = 5
 SEED = 42
-START_WINDOW = 64
+START_WINDOW = 256
 
 
 def label_encoding(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -102,7 +102,7 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
     pts = df.select(F.col(key).alias("_k"), F.col(cls).alias("_cls"), *feats, proj.alias("_proj"))
     ranked = K._persist(K.positions(pts, ["_cls"], [F.col("_proj"), F.col("_k")], name="_r"))
     q_all = ranked if queries is None else ranked.join(queries.select(F.col(key).alias("_k")).distinct(), "_k")
-    pending = q_all.select("_k", "_cls", "_r", "_proj", *[F.col(f).alias(f"q_{f}") for f in feats])
+    pending = K._persist(q_all.select("_k", "_cls", "_r", "_proj", *[F.col(f).alias(f"q_{f}") for f in feats]))
     sizes = ranked.groupBy("_cls").agg(F.count(F.lit(1)).alias("_size"))
     results = []
     win = window
@@ -114,7 +114,7 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
         dist2 = sum(((F.col(f"q_{f}") - F.col(f"c_{f}")) ** 2 for f in feats), F.lit(0.0))
         pairs = pairs.select("_k", "_cls", "_r", "_proj", "_ck", dist2.alias("dist2"))
         wq = Window.partitionBy("_k").orderBy("dist2", "_ck")  # <= 3W rows per query
-        top = pairs.withColumn("nn_rank", F.row_number().over(wq)).where(F.col("nn_rank") <= k)
+        top = K._persist(pairs.withColumn("nn_rank", F.row_number().over(wq)).where(F.col("nn_rank") <= k))
         kth = top.groupBy("_k", "_cls", "_r", "_proj").agg(F.max("dist2").alias("_dk"), F.count(F.lit(1)).alias("_got"))
         # projection of the first row outside the window on each side
         b = F.floor(F.col("_r") / win).cast("long")
@@ -127,16 +127,16 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
             F.coalesce(F.col("_rp") - F.col("_proj"), F.lit(float("inf"))),
         )
         whole = (F.col("_got") >= F.least(F.lit(k), F.col("_size") - 1)) & (
-            (F.col("_lp").isNull() & F.col("_rp").isNull()) | (F.col("_dk") < gap * gap)
+            (F.col("_lp").isNull() & F.col("_rp").isNull()) | (F.col("_dk") <= gap * gap)
         )
         verdict = K._persist(chk.select("_k", whole.alias("_ok")))
         good = verdict.where("_ok").select("_k")
-        results.append(K._persist(top.join(good, "_k").select(
-            F.col("_k").alias(key), F.col("_ck").alias("nn_key"), "nn_rank", "dist2")))
+        results.append(top.join(good, "_k").select(
+            F.col("_k").alias(key), F.col("_ck").alias("nn_key"), "nn_rank", "dist2"))
         bad = verdict.where(~F.col("_ok")).select("_k")
         if bad.isEmpty():
             break
-        pending = pending.join(bad, "_k")
+        pending = K._persist(pending.join(bad, "_k"))
         win *= 4
     out = results[0]
     for r in results[1:]:
@@ -152,6 +152,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     if not target or target not in df.columns:
         raise ValueError("SMOTE requires a valid target column.")
     base, fcols, info = _features(df, target)
+    base = K._persist(base)
     counts = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_cnt"))
     st = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("_cnt").alias("mn"), F.max("_cnt").alias("mx")).first()
     if st["classes"] < 2:
@@ -165,7 +166,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     keyed = K.positions(keyed, ["_y"], [F.col("_h"), *[F.col(c) for c in fcols]], name="_pos")
     keyed = K._persist(keyed.withColumn("_key", F.concat_ws("#", F.col("_pos").cast("string"), F.col("_y"))))
     # synthetic draws: class c needs mx - cnt rows
-    need = counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m"))
+    need = K._persist(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")))
     if need.isEmpty():
         return keyed.select("_y", *fcols, F.lit(False).alias("_synthetic")), fcols, info
     draws = need.select("_y", "_cnt", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s"))
@@ -175,8 +176,8 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
         (F.floor(uniform(seed, "smote-nn", F.col("_y"), F.col("_s")) * F.least(F.lit(kk), F.col("_cnt") - 1)) + 1).cast("int").alias("nn_rank"),
         uniform(seed, "smote-gap", F.col("_y"), F.col("_s")).alias("_gap"),
     )
-    bases = draws.join(keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"])
-    minority = keyed.join(need.select("_y"), "_y")
+    bases = K._persist(draws.join(keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]))
+    minority = K._persist(keyed.join(need.select("_y"), "_y"))
     nn = knn_within_class(minority, "_key", "_y", fcols, kk, seed, queries=bases.select("_key"))
     nbr = keyed.select(F.col("_key").alias("nn_key"), *[F.col(c).alias(f"nb_{c}") for c in fcols])
     syn = bases.join(nn.select(F.col("_key"), "nn_key", "nn_rank"), ["_key", "nn_rank"]).join(nbr, "nn_key")

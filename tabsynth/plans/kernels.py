@@ -5,8 +5,9 @@
 * ``prefix_sums`` (K1): inclusive running sums of weights within a group in a global
   order.  Range-partition on (group, order) so a hot group is split over many tasks; a
   window over (partition, group) -- bounded by one range -- gives local sums; a tiny
-  (partition, group) totals table gives the offsets.  The ranged frame is persisted so
-  both branches see one partition assignment.
+  (partition, group) totals table gives the offsets.  The ranged frame is checkpointed
+  (reliable, shared folder) so both branches see one partition assignment and lineage
+  stays flat when kernels are chained.
 * ``positions`` (K1, rows): the same with weight 1 -> exact 0-based position in the group.
 * ``exact_quantiles`` (K2): linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``
   rule) from ``positions``: only the 2 ranks per (column, probability) are picked out by a
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..session import default_ranges
+from ..session import default_ranges, ensure_checkpoint_dir
 
 def to_long(df: DataFrame, cols: list[str], value_type: str | None = "double",
             name: str = "column", value: str = "value", ids: list[str] | None = None) -> DataFrame:
@@ -60,6 +61,15 @@ def _persist(df: DataFrame) -> DataFrame:
     return out
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a reliable checkpoint in the shared ``spark.checkpoint.dir``
+    and continue from it: both branches of a kernel read identical partitions, a lost
+    executor costs no recomputation, and the next kernel starts from a one-node plan
+    (chained kernels would otherwise nest their lineage twice per step)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def release() -> None:
     """Unpersist every frame the kernels persisted (call once results are written)."""
     while _PERSISTED:
@@ -86,7 +96,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str | Col
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     k = len(wcols)
-    local = _persist(ranged.select("*", *[F.sum(f"_w{i}").over(wl).alias(f"_lc{i}") for i in range(k)]))
+    local = _cut(ranged.select("*", *[F.sum(f"_w{i}").over(wl).alias(f"_lc{i}") for i in range(k)]))
     totals = local.groupBy("_pid", *group_cols).agg(*[F.sum(f"_w{i}").alias(f"_t{i}") for i in range(k)])
     wspec = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     wspec = wspec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
