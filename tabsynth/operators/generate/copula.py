@@ -87,8 +87,8 @@ def frequency_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def _cdf_from_knots(x: Column, knots: list[float]) -> Column:
     """Piecewise-linear CDF through (knot_k, k/M); a value equal to a run of equal knots
-    gets the middle of the run (point mass).  Built as a balanced CASE tree over the
-    distinct knot values: codegen-friendly, O(log M) comparisons per value."""
+    gets the middle of the run (point mass).  A flat CASE over the distinct knot values
+    (at most M + 1), which whole-stage codegen compiles into small split methods."""
     m = len(knots) - 1
     vals: list[float] = []
     first: list[int] = []
@@ -107,17 +107,15 @@ def _cdf_from_knots(x: Column, knots: list[float]) -> Column:
     def between(i: int) -> Column:  # vals[i] < x < vals[i+1]
         return (F.lit(float(last[i])) + (x - F.lit(vals[i])) / F.lit(vals[i + 1] - vals[i])) / F.lit(float(m))
 
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo <= 1:
-            return F.when(x == F.lit(vals[lo]), at(lo)).when(x == F.lit(vals[hi]), at(hi)).otherwise(between(lo))
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(vals[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
-
     if len(vals) == 1:
         u = F.lit(0.5)
     else:
-        u = F.when(x <= F.lit(vals[0]), at(0)).when(x >= F.lit(vals[-1]), at(len(vals) - 1)).otherwise(
-            tree(0, len(vals) - 1))
+        # flat CASE (Spark splits long branch lists into small methods): on a knot value ->
+        # middle of its run; strictly between two knot values -> linear interpolation
+        u = F.when(x <= F.lit(vals[0]), at(0))
+        for i in range(1, len(vals)):
+            u = u.when(x < F.lit(vals[i]), between(i - 1)).when(x == F.lit(vals[i]), at(i))
+        u = u.otherwise(at(len(vals) - 1))
     return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.greatest(u, F.lit(EPS)), F.lit(1.0 - EPS)))
 
 
@@ -212,7 +210,9 @@ def sample_copula(model: CopulaModel, spark, n: int, seed: int = SEED) -> DataFr
         for t in terms[1:]:
             z = z + t
         zs.append(F.least(F.greatest(normal_cdf(z), F.lit(0.0)), F.lit(1.0 - 1e-12)).alias(f"_u{i}"))
-    out = base.select("_id", *zs)
+    # write the drawn uniforms once: the inverse-marginal joins and filters then read stored
+    # values instead of re-deriving every hash (filter pushdown would inline the draws)
+    out = K._cut(base.select("_id", *zs))
     # discrete columns: bucketed equi-join on the frequency table
     for j, c in enumerate(model.discrete):
         i = len(model.continuous) + j
