@@ -114,10 +114,10 @@ def ks_test_report(real: DataFrame, synth: DataFrame, cols: list[str] | None = N
         return spark.createDataFrame([], "column string, ks_statistic double, p_value double, similarity_score double")
     lr = _long_numeric(real, cols).select("column", "value", F.lit(1).alias("_a"), F.lit(0).alias("_b"))
     ls = _long_numeric(synth, cols).select("column", "value", F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    vc = lr.unionByName(ls).groupBy("column", "value").agg(F.sum("_a").alias("c1"), F.sum("_b").alias("c2"))
-    n = vc.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where(
+    vc = K._persist(lr.unionByName(ls).groupBy("column", "value").agg(F.sum("_a").alias("c1"), F.sum("_b").alias("c2")))
+    n = K._persist(vc.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where(
         (F.col("n1") > 0) & (F.col("n2") > 0)
-    )
+    ))  # one row per column
     cum = K.prefix_sums(vc, ["column"], ["value"], ["c1", "c2"])
     d = (
         cum.join(F.broadcast(n), "column")  # one row per column: bounded

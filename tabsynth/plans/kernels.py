@@ -148,14 +148,18 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         .union(need.select("column", F.col("_hi").alias("_r")))
         .distinct()
     )
-    c = cum.alias("c")
-    r = F.broadcast(ranks).alias("r")
-    picked = c.join(
-        r,
-        (F.col("c.column") == F.col("r.column"))
-        & (F.col("c._cum_c") - F.col("c._c") <= F.col("r._r"))
-        & (F.col("r._r") < F.col("c._cum_c")),
-    ).select(F.col("c.column").alias("column"), F.col("r._r").alias("_r"), F.col("c.value").alias("value"))
+    # locate each needed rank by an equi-join on rank buckets (bucket width n/1024 per
+    # column): a value's rank interval [cum - c, cum) is exploded into the buckets it
+    # spans (only values holding more than n/1024 rows span several)
+    bw = F.broadcast(counts.select("column", F.greatest(F.lit(1), F.floor(F.col("_n") / 1024)).cast("long").alias("_bw")))
+    cb = cum.join(bw, "column").select(
+        "column", "value", (F.col("_cum_c") - F.col("_c")).alias("_from"), F.col("_cum_c").alias("_to"),
+        F.explode(F.sequence(F.floor((F.col("_cum_c") - F.col("_c")) / F.col("_bw")).cast("long"),
+                             F.floor((F.col("_cum_c") - 1) / F.col("_bw")).cast("long"))).alias("_bk"))
+    rk = ranks.join(bw, "column").select("column", "_r", F.floor(F.col("_r") / F.col("_bw")).cast("long").alias("_bk"))
+    picked = _persist(cb.join(F.broadcast(rk), ["column", "_bk"]).where(  # #columns x #probs x 2 rows
+        (F.col("_from") <= F.col("_r")) & (F.col("_r") < F.col("_to"))
+    ).select("column", "_r", "value"))
     lo = picked.select("column", F.col("_r").alias("_lo"), F.col("value").alias("_vlo"))
     hi = picked.select("column", F.col("_r").alias("_hi"), F.col("value").alias("_vhi"))
     return (
