@@ -85,6 +85,17 @@ def parse_datetime(c: Column, fmt: str) -> Column:
     return F.when(t.rlike(shape), parsed) if shape else parsed
 
 
+def epoch_micros(c: Column, dtype, session_tz: str = "UTC") -> Column:
+    """Microseconds since 1970-01-01 of a date/time column.  Wall-clock types (dates and
+    ``timestamp_ntz``) are read as UTC whatever the session time zone is; ``timestamp``
+    values are instants already."""
+    from pyspark.sql import types as T
+
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
 def missing_flag(c: Column) -> Column:
     return c.isNull().cast("int")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions import typeclass as tc
-from ...functions.columns import box_muller, normal_cdf, normal_ppf, uniform
+from ...functions.columns import box_muller, epoch_micros, normal_cdf, normal_ppf, uniform
 from ...plans import kernels as K
 from .. import profile as P
 
@@ -57,7 +57,7 @@ def _value(df: DataFrame, c: str) -> Column:
     dt = tc.field_type(df, c)
     col = F.col(f"`{c}`")
     if tc.is_datetime(dt):
-        return F.unix_micros(col.cast("timestamp")).cast("double") / 1000000.0
+        return epoch_micros(col, dt).cast("double") / 1000000.0
     return P.present(df, c).cast("double")
 
 
@@ -235,8 +235,11 @@ def sample_copula(model: CopulaModel, spark, n: int, seed: int = SEED) -> DataFr
         if c in model.continuous:
             i = model.continuous.index(c)
             x = _inverse_knots(F.col(f"_u{i}"), model.knots[c])
-            if tc.is_datetime(t):
-                v = F.timestamp_micros(F.round(x * 1000000.0).cast("long")).cast(t)
+            if isinstance(t, T.TimestampType):
+                v = F.timestamp_micros(F.round(x * 1000000.0).cast("long"))
+            elif tc.is_datetime(t):  # wall-clock types: add to the epoch without a time zone
+                v = F.timestamp_add("MICROSECOND", F.round(x * 1000000.0).cast("long"),
+                                    F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast(t)
             elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
                 v = F.rint(x).cast(t)
             else:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import typeclass as tc
-from ..functions.columns import DATETIME_FORMATS, parse_datetime, r6
+from ..functions.columns import DATETIME_FORMATS, epoch_micros, parse_datetime, r6
 from ..plans import kernels as K
 
 
@@ -96,7 +96,8 @@ def build_profile(df: DataFrame) -> DataProfile:
 def _dt_seconds(df: DataFrame, name: str) -> Column:
     """Date/time as epoch seconds (double, microsecond fraction) so it shares the numeric
     statistics path; whole seconds keep sums exact in double arithmetic."""
-    return F.unix_micros(F.col(name).cast("timestamp")).cast("double") / 1000000.0
+    tz = df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+    return epoch_micros(F.col(f"`{name}`"), tc.field_type(df, name), tz).cast("double") / 1000000.0
 
 
 def summary_statistics(df: DataFrame, include: str = "all") -> DataFrame:
