@@ -26,7 +26,7 @@ def missing_heatmap(df: DataFrame, order_cols: list[str], max_rows: int = HEATMA
     head = df.orderBy(*order_cols).limit(max_rows)
     flags = head.select(*order_cols, *[missing_flag(P.present(df, c)).alias(f"_m_{i}") for i, c in enumerate(df.columns)])
     w = Window.orderBy(*order_cols)  # at most max_rows rows
-    flags = flags.withColumn("row", F.row_number().over(w) - 1)
+    flags = flags.withColumn("row", (F.row_number().over(w) - 1).cast("long"))
     stack = ", ".join(f"'{c}', _m_{i}" for i, c in enumerate(df.columns))
     return flags.selectExpr("row", f"stack({len(df.columns)}, {stack}) AS (column, missing)")
 
