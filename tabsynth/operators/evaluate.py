@@ -118,7 +118,7 @@ def ks_test_report(real: DataFrame, synth: DataFrame, cols: list[str] | None = N
     n = K._persist(vc.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where(
         (F.col("n1") > 0) & (F.col("n2") > 0)
     ))  # one row per column
-    cum = K.prefix_sums(vc, ["column"], ["value"], ["c1", "c2"])
+    cum = K.prefix_sums(vc, ["column"], ["value"], ["c1", "c2"], cut=False)
     d = (
         cum.join(F.broadcast(n), "column")  # one row per column: bounded
         .groupBy("column", "n1", "n2")

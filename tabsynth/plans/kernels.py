@@ -77,7 +77,8 @@ def release() -> None:
 
 
 def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
-                weights: list[str | Column], prefix: str = "cum_", n_ranges: int | None = None) -> DataFrame:
+                weights: list[str | Column], prefix: str = "cum_", n_ranges: int | None = None,
+                cut: bool = True) -> DataFrame:
     """Add ``prefix+i`` (i-th weight) = inclusive running sum within the group, rows ordered
     by ``order_cols`` (the order must be unique inside a group for a defined result).
 
@@ -96,7 +97,10 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str | Col
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     k = len(wcols)
-    local = _cut(ranged.select("*", *[F.sum(f"_w{i}").over(wl).alias(f"_lc{i}") for i in range(k)]))
+    local = ranged.select("*", *[F.sum(f"_w{i}").over(wl).alias(f"_lc{i}") for i in range(k)])
+    # ``cut=False`` (results consumed right away, never chained): a persisted frame gives
+    # both branches the same partitions without the checkpoint write
+    local = _cut(local) if cut else _persist(local)
     totals = local.groupBy("_pid", *group_cols).agg(*[F.sum(f"_w{i}").alias(f"_t{i}") for i in range(k)])
     wspec = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     wspec = wspec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +138,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         return spark.createDataFrame([], "column string, prob double, value double")
     long = to_long(df, cols, "double").where(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = _persist(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c")))
-    cum = prefix_sums(vc, ["column"], ["value"], ["_c"], prefix="_cum")
+    cum = prefix_sums(vc, ["column"], ["value"], ["_c"], prefix="_cum", cut=False)
     counts = _persist(vc.groupBy("column").agg(F.sum("_c").alias("_n")))  # one row per column
     need = (
         counts.select("column", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
