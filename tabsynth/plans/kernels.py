@@ -138,7 +138,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         return spark.createDataFrame([], "column string, prob double, value double")
     long = to_long(df, cols, "double").where(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = _persist(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c")))
-    cum = prefix_sums(vc, ["column"], ["value"], ["_c"], prefix="_cum", cut=False)
+    cum = prefix_sums(vc, ["column"], ["value"], ["_c"], prefix="_cum", cut=True)
     counts = _persist(vc.groupBy("column").agg(F.sum("_c").alias("_n")))  # one row per column
     need = (
         counts.select("column", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
