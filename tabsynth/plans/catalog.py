@@ -973,3 +973,16 @@ def q_xlsx_scan(spark, sf):
     with open(os.path.join(local, "nation.xlsx"), "wb") as fh:
         fh.write(_xlsx_bytes([["Nation list", None, None], [], ["ID", "Name", "Region"], *rows]))
     return LD.load_dataset(spark, folder, fmt="excel")[0]
+
+
+# ---- set operations --------------------------------------------------------------------------
+
+from ..functions.names import common_columns  # noqa: E402
+
+
+@register("common_columns", "SELECT " + ", ".join(c for c in LINE_ALL if c != "l_tax") + f" FROM {REAL}")
+def q_common_columns(spark, sf):
+    """The real table on the columns the synthetic table also has (order of the real)."""
+    real, synth = real_synth(spark, sf)
+    synth = synth.drop("l_tax")
+    return real.select(*common_columns(real.columns, synth.columns))
