@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...functions import typeclass as tc
-from ...functions.columns import DATETIME_FORMATS, parse_datetime, uniform
+from ...functions.columns import DATETIME_FORMATS, epoch_micros, parse_datetime, uniform
 from ...plans import kernels as K
 
 BLOCK = 8
@@ -78,11 +79,12 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     # observed gap before the source position (first position: no gap)
     prev = ranked.select("_seq", (F.col("_p") + 1).alias("_p"), F.col(f"`{time_col}`").alias("_tprev"))
     src = src.join(prev, ["_seq", "_p"], "left")
+    ntz = T.TimestampNTZType()
     gap_s = F.when(F.col("_j") == 0, F.lit(0)).otherwise(
-        F.coalesce(F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_tprev").cast("timestamp")), F.lit(0)))
+        F.coalesce(epoch_micros(F.col("_t"), ntz) - epoch_micros(F.col("_tprev"), ntz), F.lit(0)))
     src = src.withColumn("_gap", gap_s)
     cum = K.prefix_sums(src, ["_g"], [F.col("_j")], ["_gap"], prefix="_cum")
-    new_t = F.timestamp_micros(F.unix_micros(F.col("_t0").cast("timestamp")) + F.col("_cum_gap")).cast(
+    new_t = F.timestamp_add("MICROSECOND", F.col("_cum_gap"), F.col("_t0").cast("timestamp_ntz")).cast(
         tc.field_type(df, time_col) if tc.is_datetime(tc.field_type(df, time_col)) else "timestamp_ntz")
     if ctx:
         first = ranked.where(F.col("_p") == 0).select("_seq", *[F.col(f"`{c}`").alias(f"_ctx_{c}") for c in ctx])
