@@ -85,6 +85,12 @@ def _parse_batches(batches):
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """(path, sheet, sheet_name, row_no, cells) for every row of every sheet of every
     workbook under ``path`` (file, glob or folder)."""
+    # ship this module's parser by value: Python workers need not have tabsynth installed
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_parse_batches, CELLS_SCHEMA)
 
