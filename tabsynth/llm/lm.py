@@ -28,7 +28,7 @@ from .common import blank, fold, written
 from .eliasfano import CODE_STEP, TrieLevel
 
 END = b"\n"  # no word holds it
-BLOCK_TOKENS, BLOCK_WORDS = 2_500_000, 600_000
+BLOCK_TOKENS, BLOCK_WORDS = 5_000_000, 800_000
 BLOCK = "block bigint, texts binary, tokens binary, words binary, counts binary"
 MESSAGE = "shard int, block bigint, level int, payload binary"
 
@@ -59,13 +59,18 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def routed(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds): the keys by shard, in key order within each."""
+    """(order, bounds): the keys by shard, in their own order within each."""
     mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int32)
-    order = np.lexsort((keys, shard))
+    shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.min_scalar_type(shards))
+    order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of a non-decreasing array; ``np.cumsum`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
 class _Block:
     """Texts as token numbers in order of first appearance; 0 is the end of a text."""
 
@@ -142,7 +147,7 @@ def _merge(payloads) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray
 
 
 def _answer_words(shards: int):
-    """Global count and number (-1: not in training) of every word sent; one row more, of
+    """Global count and number from 1 (0: not in training) of every word sent; one row more, of
     level 0, has the shard's tokens and distinct words."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
@@ -151,7 +156,7 @@ def _answer_words(shards: int):
         total = np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
         number = np.where(total > 0, (np.cumsum(total > 0) - 1) * shards + shard, -1)
         cuts = np.cumsum(sizes)[:-1]
-        answers = [packed(t, i) for t, i in zip(np.split(total[back], cuts), np.split(number[back], cuts))]
+        answers = [packed(t, i) for t, i in zip(np.split(total[back], cuts), np.split(number[back] + 1, cuts))]
         facts = struct.pack("<QQ", int(total.sum()), int((total > 0).sum()))
         return pd.DataFrame({"shard": shard, "block": [*frame["block"], -1], "level": [1] * len(answers) + [0], "payload": [*answers, facts]})
     return run
@@ -170,33 +175,39 @@ def _mapped(uri: str):
         return f.read_buffer()
 
 
-def _answer_grams(shards: int, level: int, weight: float, folder: str):
-    """Build this shard's trie level, write and map it, answer each block from it: quantised
-    probability, count and number (-1: not in training) of every n-gram sent."""
+def _answer_grams(shards: int, level: int, weight: float, folder: str, last: bool):
+    """Build this shard's trie level, write and map it, answer each block from it: the code of
+    every n-gram sent (65535: not in training) and, unless this is the last level, its count
+    and number (-1: not in training)."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
         shard = int(frame["shard"].iloc[0])
-        parts = [unpacked(p) for p in frame["payload"]]
-        context, word, counts, above = (np.concatenate(c) for c in zip(*(p[1:] for p in parts)))
+        asked = []
+        context, word, counts, above = [], [], [], []
+        for p in frame["payload"]:
+            c, w, n, a = unpacked(p)
+            c = np.cumsum(c, dtype=np.uint64)
+            asked.append((c, w))
+            seen = n > 0
+            for whole, part in zip((context, word, counts, above), (c, w, n, a)):
+                whole.append(part[seen])
+        context, word, counts, above = map(np.concatenate, (context, word, counts, above))
         order = np.lexsort((word, context))
         c, w = context[order], word[order]
-        head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
-        total = np.add.reduceat(counts[order].astype(np.int64), head)
-        seen = total > 0
-        at, total = head[seen], total[seen]
+        at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(c) else np.zeros(0, dtype=np.int64)
+        total = np.add.reduceat(counts[order].astype(np.int64), at) if len(c) else np.zeros(0, dtype=np.int64)
         built = TrieLevel.build(c[at], w[at], total / (above[order][at] + weight))
+        del context, word, counts, above, order, c, w
         uri = f"{folder}/level-{level}-{shard:06d}-{uuid.uuid4().hex[:8]}"
         system, path = _file(uri)
         with system.open_output_stream(path, compression=None) as f:
             f.write(built.dump())
         trie, answers = TrieLevel.load(_mapped(uri)), []
-        for p in parts:
-            by = np.lexsort((p[2], p[1]))
-            place = np.empty(len(by), dtype=np.int64)
-            place[by] = trie.find(p[1][by], p[2][by])
-            code = np.where(place >= 0, trie.codes[np.maximum(place, 0)], 65535).astype(np.uint16) if len(trie.codes) else np.full(len(place), 65535, np.uint16)
-            count = np.where(place >= 0, total[np.maximum(place, 0)], 0) if len(total) else np.zeros(len(place), np.int64)
-            answers.append(packed(code, count.astype(np.uint32), np.where(place >= 0, place * shards + shard, -1)))
+        codes, total = np.append(trie.codes, np.uint16(65535)), np.append(total, 0)
+        for c, w in asked:  # in order of context
+            place = trie.find(c, w)
+            more = () if last else (total[place], np.where(place >= 0, place * shards + shard, -1))
+            answers.append(packed(codes[place], *more))
         return pd.DataFrame({"shard": shard, "block": frame["block"], "level": level, "payload": answers})
     return run
 
@@ -212,7 +223,7 @@ class _State:
         self.train = np.repeat(~self.held, self.lengths)
         self.by_level = {int(k): dict(zip(g["shard"], g["payload"])) for k, g in answers.groupby("level")}
         count, number = self._answers(1, words)
-        self.count_of, self.number_of = count, number
+        number = number - 1
         self.word, self.known = number[tokens], count[tokens]
         # the context of each position: the (level - 1)-gram that ends before it
         self.levels = []
@@ -228,21 +239,32 @@ class _State:
                     inner[late[late < len(tokens)]] = False
                 before = np.where(inner, before, -1)
             asked = np.flatnonzero((before >= 0) & (self.word >= 0))
-            pair = np.stack([before[asked], self.word[asked]])
-            by = np.lexsort((pair[1], pair[0]))
-            sorted_ = pair[:, by]
-            new = np.concatenate([[True], (sorted_[:, 1:] != sorted_[:, :-1]).any(0)]) if len(by) else np.zeros(0, dtype=bool)
-            which = np.empty(len(by), dtype=np.int64)
-            which[by] = np.cumsum(new) - 1
-            context, word = sorted_[0][new].astype(np.uint64), sorted_[1][new].astype(np.uint64)
+            context, word, which = self._distinct(before[asked], self.word[asked])
             keys = context * np.uint64(0x9E3779B97F4A7C15) + word  # only spreads them over shards
             self.levels.append((asked, which, context, word, keys, np.where(before >= 0, before_count, 0)))
+            del before, before_count
             if level not in self.by_level:  # still to be asked, or nothing was
                 break
-            code, c, n = self._answers(level, keys)
-            node, node_count = np.full(len(tokens), -1, dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
-            node[asked], node_count[asked] = n[which], c[which]
+            code, *more = self._answers(level, keys)
             self.levels[-1] += (code,)
+            if level < order:
+                c, n = more
+                node, node_count = np.full(len(tokens), -1, dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
+                node[asked], node_count[asked] = n[which], c[which]
+
+    @staticmethod
+    def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs in order, and which of them each pair is."""
+        span = int(word.max(initial=0)) + 1
+        if (int(context.max(initial=0)) + 1) * span < 1 << 63:
+            pairs, which = np.unique(context * span + word, return_inverse=True)
+            return (pairs // span).astype(np.uint64), (pairs % span).astype(np.uint64), which
+        by = np.lexsort((word, context))
+        c, w = context[by], word[by]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+        which = np.empty(len(by), dtype=np.int64)
+        which[by] = np.cumsum(new) - 1
+        return c[new].astype(np.uint64), w[new].astype(np.uint64), which
 
     def _answers(self, level: int, keys: np.ndarray) -> list[np.ndarray]:
         """The shards' answers in the order of ``keys``."""
@@ -261,7 +283,7 @@ class _State:
         above_of = np.zeros(len(context), dtype=np.int64)
         above_of[which] = above[asked]
         order, bounds = routed(keys, self.shards)
-        rows = [(s, block, level, packed(keys[p], context[p], word[p], counts[p], above_of[p]))
+        rows = [(s, block, level, packed(steps(context[p]), word[p], counts[p], above_of[p]))
                 for s in range(self.shards) if len(p := order[bounds[s]:bounds[s + 1]])]
         return pd.DataFrame(rows, columns=["shard", "block", "level", "payload"])
 
@@ -308,7 +330,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_fold: int = 1, or
         def send(row, known, level=level):
             return _State(row, known, shards, level).requests(int(row["block"]), level)
         asked = _joined(blocks, answers, send, MESSAGE)
-        answers = answers.unionByName(written(asked.groupBy("shard").applyInPandas(_answer_grams(shards, level, weight, folder), MESSAGE), f"lm-grams-{level}"))
+        answers = answers.unionByName(written(asked.groupBy("shard").applyInPandas(_answer_grams(shards, level, weight, folder, level == order), MESSAGE), f"lm-grams-{level}"))
 
     def score(row, known):
         return _State(row, known, shards, order).scores(total, distinct, weight)
