@@ -28,7 +28,7 @@ from .common import blank, fold, written
 from .eliasfano import CODE_STEP, TrieLevel
 
 END = b"\n"  # no word holds it
-BLOCK_TOKENS, BLOCK_WORDS = 5_000_000, 800_000
+BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 600_000
 BLOCK = "block bigint, texts binary, tokens binary, words binary, counts binary"
 MESSAGE = "shard int, block bigint, level int, payload binary"
 
@@ -66,6 +66,11 @@ def routed(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers where they fit."""
+    return values.astype(np.int32) if len(values) == 0 or max(abs(int(values.min())), int(values.max())) < 1 << 31 else values
+
+
 def steps(values: np.ndarray) -> np.ndarray:
     """Differences of a non-decreasing array; ``np.cumsum`` undoes it."""
     return np.diff(values, prepend=values.dtype.type(0))
@@ -223,7 +228,7 @@ class _State:
         self.train = np.repeat(~self.held, self.lengths)
         self.by_level = {int(k): dict(zip(g["shard"], g["payload"])) for k, g in answers.groupby("level")}
         count, number = self._answers(1, words)
-        number = number - 1
+        count, number = narrow(count), narrow(number - 1)
         self.word, self.known = number[tokens], count[tokens]
         # the context of each position: the (level - 1)-gram that ends before it
         self.levels = []
@@ -238,10 +243,11 @@ class _State:
                     late = begin + k
                     inner[late[late < len(tokens)]] = False
                 before = np.where(inner, before, -1)
-            asked = np.flatnonzero((before >= 0) & (self.word >= 0))
+            asked = narrow(np.flatnonzero((before >= 0) & (self.word >= 0)))
             context, word, which = self._distinct(before[asked], self.word[asked])
             keys = context * np.uint64(0x9E3779B97F4A7C15) + word  # only spreads them over shards
-            self.levels.append((asked, which, context, word, keys, np.where(before >= 0, before_count, 0)))
+            before_count[before < 0] = 0
+            self.levels.append((asked, which, context, word, keys, before_count))
             del before, before_count
             if level not in self.by_level:  # still to be asked, or nothing was
                 break
@@ -257,8 +263,8 @@ class _State:
         """The distinct pairs in order, and which of them each pair is."""
         span = int(word.max(initial=0)) + 1
         if (int(context.max(initial=0)) + 1) * span < 1 << 63:
-            pairs, which = np.unique(context * span + word, return_inverse=True)
-            return (pairs // span).astype(np.uint64), (pairs % span).astype(np.uint64), which
+            pairs, which = np.unique(context.astype(np.int64) * span + word, return_inverse=True)
+            return (pairs // span).astype(np.uint64), (pairs % span).astype(np.uint64), narrow(which)
         by = np.lexsort((word, context))
         c, w = context[by], word[by]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
@@ -280,7 +286,7 @@ class _State:
     def requests(self, block: int, level: int):
         asked, which, context, word, keys, above = self.levels[level - 2][:6]
         counts = np.bincount(which[self.train[asked]], minlength=len(context)).astype(np.uint32)
-        above_of = np.zeros(len(context), dtype=np.int64)
+        above_of = np.zeros(len(context), dtype=above.dtype)
         above_of[which] = above[asked]
         order, bounds = routed(keys, self.shards)
         rows = [(s, block, level, packed(steps(context[p]), word[p], counts[p], above_of[p]))
