@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import default_ranges, scratch_path
 from .common import blank, written
 
 INDEX = "page_id bigint, bundle string, frame bigint, offset bigint, record_type string"
@@ -228,12 +229,14 @@ def _records(with_payload: bool):
     return run
 
 
-def read_archives(spark: SparkSession, bundles: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, bundles: DataFrame, with_payload: bool = True, task_bytes: int = 1 << 25) -> DataFrame:
     """Every record of the bundles named by the first column: the seek tables are read first,
     then the frames are dealt to tasks and read each on its own."""
     names = bundles.select(F.col(bundles.columns[0]).alias("bundle")).distinct()
     frames = written(names.mapInArrow(_frames, "bundle string, frame bigint, start bigint, packed bigint"), "warc-frames")
-    return frames.repartition("bundle", "frame").mapInArrow(_records(with_payload), RECORD)
+    size = frames.agg(F.sum("packed")).first()[0] or 0
+    tasks = max(default_ranges(spark), ceil(size / task_bytes))  # by bytes: the frame rows themselves are tiny
+    return frames.repartition(tasks, "bundle", "frame").mapInArrow(_records(with_payload), RECORD)
 
 
 def fetch_records(spark: SparkSession, index: DataFrame, ids: DataFrame) -> DataFrame:
