@@ -90,12 +90,13 @@ def fingerprint_documents(docs: DataFrame, k: int = 5, s: int = 2, size: int = 6
     ids = rows.groupBy("doc_id").agg((F.max(F.length("text")) / 3).cast("bigint").alias("need"))
     after = written(ids.join(next_ids(rows), ids["doc_id"].eqNullSafe(F.col("id"))).select(
         id_key("doc_id").alias("key"), id_key("next_id").alias("next_key"), "need"), "next-documents")
-    dealt = rows.withColumn("key", id_key("doc_id")).repartition(n_ranges, "key")  # texts move once
-    sent = dealt.select("text", F.col("key").alias("next_key")).join(after, "next_key")
-    sent = sent.select("key", F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
-    sent = sent.repartition(n_ranges, "key").groupBy("key").agg(F.min("prefix").alias("prefix"))
+    # texts move once: both joins read the same columns of the same exchange
+    dealt = rows.withColumn("key", id_key("doc_id")).repartition(n_ranges, "key")
+    sent = dealt.withColumnsRenamed({"key": "next_key", "doc_id": "next_id"}).join(after, "next_key")
+    sent = sent.select("key", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), "next_id").alias("next"))
+    sent = sent.repartition(n_ranges, "key").groupBy("key").agg(F.min("next").alias("next"))
     n, taken = F.length("text"), (F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - taken), F.substring("prefix", F.lit(1), taken))
+    edited = F.concat(F.substring("text", F.lit(1), n - taken), F.substring("next.prefix", F.lit(1), taken))
     both = dealt.join(sent, "key").select("doc_id", "key", "text", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"))
     both = with_anchors(with_anchors(both, "text", "own", k, s), "edited", "other", k, s)
     marked = written(both.select("doc_id", "key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
