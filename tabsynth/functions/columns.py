@@ -134,8 +134,11 @@ def hash_u32(seed: int, stream: str | int, *cols: Column | str) -> Column:
 
 
 def uniform(seed: int, stream: str | int, *cols: Column | str) -> Column:
-    """Uniform draw in (0, 1) from :func:`hash_u32`."""
-    return (hash_u32(seed, stream, *cols).cast("double") + 0.5) / TWO_POW_32
+    """Uniform draw in (0, 1) with 52 bits of the same md5, so that a draw times the number of
+    rows reaches every row of any table."""
+    parts = [F.lit(str(seed)), F.lit(str(stream))] + [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
+    return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
 # --- normal distribution in Column arithmetic ----------------------------------------

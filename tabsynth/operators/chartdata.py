@@ -74,7 +74,7 @@ def distribution_comparison(real: DataFrame, synth: DataFrame, column: str, bins
         return F.coalesce(x, F.lit(0.0)) if zero_missing else x
 
     both = real.select(vals(real).alias("x"), F.lit("real").alias("side")).unionByName(
-        synth.select(vals(synth).alias("x"), F.lit("synthetic").alias("side"))
+        synth.select(vals(synth).alias("x"), F.lit("generated").alias("side"))
     ).where(F.col("x").isNotNull())
     mm = both.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     lo, hi = mm.select("lo").scalar(), mm.select("hi").scalar()

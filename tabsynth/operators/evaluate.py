@@ -1,4 +1,4 @@
-"""Real-vs-synthetic evaluation.
+"""Real-vs-generated evaluation.
 
 Every statistic is one grouped job over the long (column, value) form of both tables;
 the two-sample Kolmogorov-Smirnov statistic uses the distributed running-count kernel
@@ -68,7 +68,7 @@ def compare_column_statistics(real: DataFrame, synth: DataFrame) -> DataFrame:
 
 
 def compare_column(real: DataFrame, synth: DataFrame, column: str) -> DataFrame:
-    """(metric, real, synthetic, pct_error) for Mean, Std Dev, Min, Max of one column."""
+    """(metric, real, generated, pct_error) for Mean, Std Dev, Min, Max of one column."""
     def side(df: DataFrame) -> DataFrame:
         v = P.present(df, column).cast("double")
         return df.agg(F.avg(v).alias("Mean"), F.stddev_samp(v).alias("Std Dev"), F.min(v).alias("Min"),
@@ -84,8 +84,8 @@ def compare_column(real: DataFrame, synth: DataFrame, column: str) -> DataFrame:
     from ..functions.columns import pct_error
 
     return (
-        longify(r, "real").join(longify(s, "synthetic"), "metric")
-        .select("metric", "real", "synthetic", pct_error(F.col("real"), F.col("synthetic")).alias("pct_error"))
+        longify(r, "real").join(longify(s, "generated"), "metric")
+        .select("metric", "real", "generated", pct_error(F.col("real"), F.col("generated")).alias("pct_error"))
     )
 
 
@@ -211,13 +211,13 @@ def quality_insights(real: DataFrame, synth: DataFrame) -> DataFrame:
         return m.select(F.lit(name).alias("side"), "missing_cells",
                         (df.select(F.count(F.lit(1))).scalar() - dup).alias("duplicate_rows"))
 
-    return side(real, "real").unionByName(side(synth, "synthetic"))
+    return side(real, "real").unionByName(side(synth, "generated"))
 
 
 def correlation_side_by_side(real: DataFrame, synth: DataFrame) -> DataFrame:
     """(side, col_a, col_b, r) for both tables' numeric columns."""
     r = P.correlation_matrix(real).withColumn("side", F.lit("real"))
-    s = P.correlation_matrix(synth).withColumn("side", F.lit("synthetic"))
+    s = P.correlation_matrix(synth).withColumn("side", F.lit("generated"))
     return r.unionByName(s).select("side", "col_a", "col_b", "r")
 
 
@@ -230,4 +230,4 @@ def overview(real: DataFrame, synth: DataFrame) -> DataFrame:
             F.lit(len(tc.text_columns(df))).alias("text_columns"),
         )
 
-    return side(real, "real").unionByName(side(synth, "synthetic"))
+    return side(real, "real").unionByName(side(synth, "generated"))

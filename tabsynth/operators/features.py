@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profile import present
 from ..functions import typeclass as tc
 from ..functions.columns import ID_TERMS
 from ..functions.names import has_any_term
@@ -22,7 +23,7 @@ def reduce_features(df: DataFrame, protected: list[str] | None = None,
     protected = set(protected or [])
     cols = df.columns
     cnt = F.approx_count_distinct if approx else F.countDistinct
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[cnt(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[cnt(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     rows = row["_rows"]
     text = set(tc.text_columns(df))
     dropped = []

@@ -198,7 +198,7 @@ def fit_copula(df: DataFrame, m: int = KNOTS, discrete_max: int = DISCRETE_MAX)
 
 
 def sample_copula(model: CopulaModel, spark, n: int, seed: int = SEED) -> DataFrame:
-    """n synthetic rows with the fitted marginals and normal-score correlation."""
+    """n generated rows with the fitted marginals and normal-score correlation."""
     d = len(model.order)
     base = spark.range(n).withColumnRenamed("id", "_id")
     e = [box_muller(uniform(seed, f"e{j}a", F.col("_id")), uniform(seed, f"e{j}b", F.col("_id"))) for j in range(d)]

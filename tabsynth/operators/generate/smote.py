@@ -146,8 +146,8 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
 
 def smote_balance(df: DataFrame, target: str, seed: int = SEED,
                   k: int | None = None) -> tuple[DataFrame, list[str], dict]:
-    """Originals plus synthetic rows so every class has as many rows as the largest
-    (encoded features, ``_y`` class label, ``_synthetic`` flag), the feature column names
+    """Originals plus generated rows so every class has as many rows as the largest
+    (encoded features, ``_y`` class label, ``_generated`` flag), the feature column names
     and the decoding information."""
     if not target or target not in df.columns:
         raise ValueError("SMOTE requires a valid target column.")
@@ -165,10 +165,10 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     keyed = base.withColumn("_h", hash_u32(seed, "smote-key", *fcols, "_y"))
     keyed = K.positions(keyed, ["_y"], [F.col("_h"), *[F.col(c) for c in fcols]], name="_pos")
     keyed = K._persist(keyed.withColumn("_key", F.concat_ws("#", F.col("_pos").cast("string"), F.col("_y"))))
-    # synthetic draws: class c needs mx - cnt rows
+    # generated draws: class c needs mx - cnt rows
     need = K._persist(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")))
     if need.isEmpty():
-        return keyed.select("_y", *fcols, F.lit(False).alias("_synthetic")), fcols, info
+        return keyed.select("_y", *fcols, F.lit(False).alias("_generated")), fcols, info
     draws = need.select("_y", "_cnt", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s"))
     draws = draws.select(
         "_y", "_s",
@@ -182,8 +182,8 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     nbr = keyed.select(F.col("_key").alias("nn_key"), *[F.col(c).alias(f"nb_{c}") for c in fcols])
     syn = bases.join(nn.select(F.col("_key"), "nn_key", "nn_rank"), ["_key", "nn_rank"]).join(nbr, "nn_key")
     syn = syn.select("_y", *[(F.col(c) + F.col("_gap") * (F.col(f"nb_{c}") - F.col(c))).alias(c) for c in fcols],
-                     F.lit(True).alias("_synthetic"))
-    orig = keyed.select("_y", *fcols, F.lit(False).alias("_synthetic"))
+                     F.lit(True).alias("_generated"))
+    orig = keyed.select("_y", *fcols, F.lit(False).alias("_generated"))
     return orig.unionByName(syn), fcols, info
 
 

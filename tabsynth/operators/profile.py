@@ -33,7 +33,7 @@ class DataProfile:
 
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN folded to NULL for float types (pandas counts NaN as missing)."""
-    c = F.col(name)
+    c = F.col(_q(name))
     if tc.is_float(tc.field_type(df, name)):
         return F.nanvl(c, F.lit(None).cast("double")).alias(name)
     return c
@@ -82,13 +82,12 @@ def profile_frame(df: DataFrame) -> DataFrame:
 def build_profile(df: DataFrame) -> DataProfile:
     r = profile_frame(df).first()
     if r is None or r["rows"] == 0:
-        raise ValueError("Dataset is empty.")
-    split = lambda s: [x for x in s.split(",") if x]
+        raise ValueError("there are no rows to profile")
     return DataProfile(
         rows=r["rows"], columns=r["columns"],
-        numerical_columns=split(r["numerical_columns"]),
-        categorical_columns=split(r["categorical_columns"]),
-        datetime_columns=split(r["datetime_columns"]),
+        numerical_columns=tc.numeric_columns(df),
+        categorical_columns=tc.categorical_columns(df),
+        datetime_columns=tc.datetime_columns(df),
         missing_cells=r["missing_cells"], missing_percent=r["missing_percent"],
     )
 

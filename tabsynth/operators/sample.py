@@ -18,7 +18,6 @@ from ..plans import kernels as K
 from . import profile as P
 
 SEED = 42
-TOPK_MAX = 200_000  # above this many rows a top-k is ranked with the range kernel instead
 SMALL_WARNING_ROWS = 100
 
 
@@ -30,11 +29,9 @@ def sample_hash(df: DataFrame, key_cols: list[str] | None = None, seed: int = SE
     return hash_u32(seed, stream, *_keys(df, key_cols))
 
 
-def _smallest(df: DataFrame, n: int, order: list[Column], total: int | None = None) -> DataFrame:
-    """Exactly the ``n`` first rows of ``order`` (unique order): top-k for small n, the
-    range-split position kernel otherwise."""
-    if n <= TOPK_MAX:
-        return df.orderBy(*order).limit(n)
+def _smallest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """Exactly the ``n`` first rows of ``order`` (a unique order), ranked by the range-split
+    position kernel at every size."""
     pos = K.positions(df, [], order, name="_p")
     return pos.where(F.col("_p") < n).drop("_p")
 

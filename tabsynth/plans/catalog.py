@@ -2,7 +2,7 @@
 the driver tables, with an equivalent DuckDB SQL oracle.
 
 Inputs used throughout (all whole tables):
-* real / synthetic = ``lineitem`` rows with ``l_returnflag = 'R'`` / the other rows;
+* real / generated = ``lineitem`` rows with ``l_returnflag = 'R'`` / the other rows;
 * ``dl`` = ``documents LEFT JOIN labels`` (601 of 1,000 label cells missing at sf0.01);
 Every double in a result is rounded to 6 decimals on both sides.
 """
@@ -336,7 +336,7 @@ def q_compare_stats(spark, sf):
 
 
 @register("compare_column", union_all([
-    f"""SELECT '{m}' AS metric, round(r.v, 6) AS real, round(s.v, 6) AS synthetic,
+    f"""SELECT '{m}' AS metric, round(r.v, 6) AS real, round(s.v, 6) AS generated,
  round(CASE WHEN r.v IS NULL OR s.v IS NULL THEN 0.0 WHEN r.v = 0 THEN abs(r.v - s.v) * 100.0
        ELSE abs(r.v - s.v) / abs(r.v) * 100.0 END, 6) AS pct_error
 FROM (SELECT {f}(l_extendedprice) AS v FROM {REAL}) r, (SELECT {f}(l_extendedprice) AS v FROM {SYNTH}) s"""
@@ -391,7 +391,7 @@ def q_evaluation_report(spark, sf):
 @register("quality_insights", union_all([
     f"""SELECT '{n}' AS side, CAST(count(*) * 11 - ({' + '.join(f'count({c})' for c in LINE_ALL)}) AS BIGINT) AS missing_cells,
  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS duplicate_rows FROM {src}"""
-    for n, src in [("real", REAL), ("synthetic", SYNTH)]
+    for n, src in [("real", REAL), ("generated", SYNTH)]
 ]))
 def q_quality_insights(spark, sf):
     r, s = real_synth(spark, sf)
@@ -400,7 +400,7 @@ def q_quality_insights(spark, sf):
 
 @register("corr_side_by_side", union_all([
     f"SELECT side, col_a, col_b, round(r, 6) AS r FROM ({corr_sql(src, LINE_NUM, extra=f"'{n}' AS side, ")})"
-    for n, src in [("real", REAL), ("synthetic", SYNTH)]
+    for n, src in [("real", REAL), ("generated", SYNTH)]
 ]))
 def q_corr_side_by_side(spark, sf):
     r, s = real_synth(spark, sf)
@@ -409,7 +409,7 @@ def q_corr_side_by_side(spark, sf):
 
 @register("overview", union_all([
     f"SELECT '{n}' AS side, rows, 11 AS columns, bytes, 8 AS numeric_columns, 2 AS text_columns FROM ({bytes_sql(src, LINE_FIXED, LINE_TEXT)})"
-    for n, src in [("real", REAL), ("synthetic", SYNTH)]
+    for n, src in [("real", REAL), ("generated", SYNTH)]
 ]))
 def q_overview(spark, sf):
     r, s = real_synth(spark, sf)
@@ -434,7 +434,7 @@ def q_missing_heatmap(spark, sf):
 
 @register("distribution_comparison", hist_sql(
     f"(SELECT 'real' AS side, CAST(l_extendedprice AS DOUBLE) AS x FROM {REAL} UNION ALL "
-    f"SELECT 'synthetic', CAST(l_extendedprice AS DOUBLE) FROM {SYNTH})"))
+    f"SELECT 'generated', CAST(l_extendedprice AS DOUBLE) FROM {SYNTH})"))
 def q_distribution_comparison(spark, sf):
     r, s = real_synth(spark, sf)
     return R6(V.distribution_comparison(r, s, "l_extendedprice"))
@@ -442,7 +442,7 @@ def q_distribution_comparison(spark, sf):
 
 @register("distribution_comparison_zero", hist_sql(
     f"(SELECT 'real' AS side, coalesce(CAST(nullif(l_discount, 0) AS DOUBLE), 0.0) AS x FROM {REAL} UNION ALL "
-    f"SELECT 'synthetic', coalesce(CAST(nullif(l_discount, 0) AS DOUBLE), 0.0) FROM {SYNTH})"))
+    f"SELECT 'generated', coalesce(CAST(nullif(l_discount, 0) AS DOUBLE), 0.0) FROM {SYNTH})"))
 def q_distribution_comparison_zero(spark, sf):
     r, s = real_synth(spark, sf)
     nz = lambda df: df.withColumn("l_discount", F.expr("nullif(l_discount, 0)"))
@@ -653,6 +653,12 @@ def hash_sql(stream: str, expr: str, seed: int = 42) -> str:
     return f"CAST(('0x' || substr(md5('{seed}:{stream}:' || CAST({expr} AS VARCHAR)), 1, 8)) AS BIGINT)"
 
 
+def uniform_sql(stream: str, expr: str, seed: int = 42) -> str:
+    """The 52-bit draw of ``functions.columns.uniform``."""
+    digits = f"substr(md5('{seed}:{stream}:' || CAST({expr} AS VARCHAR)), 1, 13)"
+    return f"((CAST(CAST(('0x' || {digits}) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
+
+
 def quarter(df: DataFrame) -> int:
     return df.count() // 4
 
@@ -689,7 +695,7 @@ def q_sample_recent(spark, sf):
 
 @register("bootstrap", f"""WITH t AS (SELECT count(*) AS total FROM orders),
 idx AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('boot-order', 'o_orderkey')}, o_orderkey) - 1 AS _idx FROM orders),
-d AS (SELECT CAST(floor((CAST({hash_sql('boot', 'r.range')} AS DOUBLE) + 0.5) / 4294967296.0 * t.total) AS BIGINT) AS _idx
+d AS (SELECT CAST(floor({uniform_sql('boot', 'r.range')} * t.total) AS BIGINT) AS _idx
       FROM t, range(t.total) r)
 SELECT {', '.join('idx.' + c for c in ORD_COLS)} FROM d JOIN idx ON d._idx = idx._idx""")
 def q_bootstrap(spark, sf):
@@ -774,18 +780,18 @@ CUST_KEY = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in CUST_RED)
 t AS (SELECT count(*) AS total FROM base),
 idx AS (SELECT *, row_number() OVER (ORDER BY CAST(('0x' || substr(md5('42:boot-order:' || {CUST_KEY}), 1, 8)) AS BIGINT),
         {', '.join(CUST_RED)}) - 1 AS _idx FROM base),
-d AS (SELECT CAST(floor((CAST({hash_sql('boot', 'r.range')} AS DOUBLE) + 0.5) / 4294967296.0 * t.total) AS BIGINT) AS _idx
+d AS (SELECT CAST(floor({uniform_sql('boot', 'r.range')} * t.total) AS BIGINT) AS _idx
       FROM t, range(t.total) r)
 SELECT idx.c_custkey, 'NA' AS c_name, idx.c_nationkey, idx.c_acctbal, idx.c_mktsegment FROM d JOIN idx ON d._idx = idx._idx""")
 def q_generate_fallback(spark, sf):
     c = table(spark, sf, "customer")
-    return generate_with_fallback(c, "BOOTSTRAP", c.count()).synthetic_df
+    return generate_with_fallback(c, "BOOTSTRAP", c.count()).rows
 
 
 @register("full_pipeline")
 def q_full_pipeline(spark, sf):
     from .pipeline import run_full_pipeline
-    return R6(run_full_pipeline(spark, f"{sf.rstrip('/')}/orders.parquet").evaluation_report)
+    return R6(run_full_pipeline(spark, f"{sf.rstrip('/')}/orders.parquet").tables["evaluation"])
 
 
 # ---- sources ---------------------------------------------------------------------------------
@@ -982,7 +988,7 @@ from ..functions.names import common_columns  # noqa: E402
 
 @register("common_columns", "SELECT " + ", ".join(c for c in LINE_ALL if c != "l_tax") + f" FROM {REAL}")
 def q_common_columns(spark, sf):
-    """The real table on the columns the synthetic table also has (order of the real)."""
+    """The real table on the columns the generated table also has (order of the real)."""
     real, synth = real_synth(spark, sf)
     synth = synth.drop("l_tax")
     return real.select(*common_columns(real.columns, synth.columns))

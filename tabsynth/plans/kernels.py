@@ -29,10 +29,14 @@ def to_long(df: DataFrame, cols: list[str], value_type: str | None = "double",
     """Unpivot ``cols`` into (ids..., column, value); ``value_type`` casts first so the
     columns share one type (None keeps the types, which must then agree)."""
     ids = ids or []
-    sel = [F.col(c) for c in ids] + [
-        (F.col(c).cast(value_type) if value_type else F.col(c)).alias(c) for c in cols
-    ]
-    return df.select(*sel).unpivot(ids, cols, name, value)
+    def quoted(c: str) -> Column:
+        return F.col("`" + c.replace("`", "``") + "`")
+
+    plain = [f"v{i}" for i in range(len(cols))]  # names may hold dots and commas
+    sel = [quoted(c) for c in ids] + [(quoted(c).cast(value_type) if value_type else quoted(c)).alias(p) for c, p in zip(cols, plain)]
+    long = df.select(*sel).unpivot([quoted(c) for c in ids], plain, name, value)
+    back = F.create_map(*[F.lit(x) for p, c in zip(plain, cols) for x in (p, c)])
+    return long.withColumn(name, back[F.col(name)]) if cols else long
 
 
 def value_counts_long(df: DataFrame, cols: list[str], value_type: str | None = "string",

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,6 @@ from ..functions.names import make_unique
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 10
 HEADER_SCAN = 15
-SNIFF_LINES = 20
 
 
 @dataclass
@@ -126,10 +126,9 @@ def detect_header_row_from_lines(spark: SparkSession, lines: list[str], sep: str
 
 def header_names(line: str, sep: str, width: int) -> list[str]:
     """Header cells; blank cells become ``Unnamed: i`` (dropped later as unnamed)."""
-    cells = line.split(sep)
-    cells += [""] * (width - len(cells))
-    names = [c.strip().strip('"') or f"Unnamed: {i}" for i, c in enumerate(cells[:width])]
-    return make_unique(names)
+    cells = next(csv.reader([line], delimiter=sep), [])
+    names = [c.strip() or f"Unnamed: {i}" for i, c in enumerate(cells)]
+    return make_unique(names + [f"extra_{i}" for i in range(len(names), width)])
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, header_row: int | None = None,
@@ -144,9 +143,15 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header_row:
     h = 0 if h is None else h
     diag.detected_header_row = h
     if not head or h >= len(head):
-        raise ValueError("Uploaded file is empty.")
-    width = max(len(x.split(delim)) for x in head)
+        raise ValueError(f"{path} has no header line")
+    bare = F.regexp_replace("value", '"[^"]*"', "")  # delimiters inside quotes do not count
+    wide = numbered_lines(spark, path).where(F.col("line_no").isNull() | (F.col("line_no") > h)).select(F.size(split_cells(bare, delim)).alias("cells"))
+    own = len(header_names(head[h], delim, 0))
+    most = wide.agg(F.max("cells").alias("most"), F.count(F.when(F.col("cells") > own, 1)).alias("over")).first()
+    width = max(own, most["most"] or 0)
     names = header_names(head[h], delim, width)
+    if most["over"]:
+        diag.notes.append(f"{most['over']} lines have more cells than the header; they are in extra_* columns.")
     schema = ", ".join(f"`c{i}` STRING" for i in range(width))
     lines = numbered_lines(spark, path).where(F.col("line_no").isNull() | (F.col("line_no") > h))
     parsed = lines.select(F.from_csv(F.col("value"), schema, {"sep": delim}).alias("r")).select("r.*")

@@ -135,8 +135,8 @@ def test_f5_model_choice_and_smote(spark):
     bal, _, _ = smote_balance(df, "cls")
     counts = {r["_y"]: r["count"] for r in bal.groupBy("_y").count().collect()}
     assert counts == {"n": 20, "p": 20}
-    # synthetic minority rows stay inside the minority's bounding box (interpolation)
-    syn = bal.where("_synthetic").agg(F.min("_n0"), F.max("_n0")).first()
+    # generated minority rows stay inside the minority's bounding box (interpolation)
+    syn = bal.where("_generated").agg(F.min("_n0"), F.max("_n0")).first()
     assert 100.0 <= syn[0] and syn[1] <= 104.0
 
 
@@ -182,3 +182,42 @@ def test_common_columns_and_variant_header(spark):
     assert detect_header_row_from_lines(spark, lines, ";", variant=False) == 1
     assert detect_header_row_from_lines(spark, [], ";", variant=True) == 0
     assert detect_header_row_from_lines(spark, [], ";", variant=False) is None
+
+
+def test_names_with_dots_and_commas(spark):
+    from tabsynth.operators.features import reduce_features
+    from tabsynth.operators.profile import build_profile
+    df = spark.createDataFrame([(1, 2.0, float("nan"), "x"), (2, None, 5.0, "y")], "`S.No` int, `a,b` double, one double, t string")
+    p = build_profile(df)
+    assert p.numerical_columns == ["S.No", "a,b", "one"] and p.missing_cells == 2
+    assert reduce_features(df)[1] == ["a,b", "one"]
+
+
+def test_csv_keeps_cells_beyond_the_header(spark, tmp_path):
+    from tabsynth.sources.csv import read_csv
+    path = tmp_path / "wide.csv"
+    path.write_text('id,"name, full",v\n' + "".join(f"{i},n{i},{i}\n" for i in range(30)) + "99,x,5,EXTRA\n" + '7,"a,b",1\n')
+    df, diag = read_csv(spark, f"file:{path}")
+    assert df.columns == ["id", "name, full", "v", "extra_3"]
+    assert [r["extra_3"] for r in df.where("id = '99'").collect()] == ["EXTRA"] and df.where("id = '7' and v = '1'").count() == 1
+    assert any("1 lines" in n for n in diag.notes)
+
+
+def test_draws_reach_rows_beyond_32_bits(spark):
+    from pyspark.sql import functions as F
+    from tabsynth.functions.columns import uniform
+    n = 10**11
+    got = spark.range(2000).select(F.floor(uniform(42, "boot", F.col("id")) * n).alias("i")).agg(F.max("i"), F.countDistinct(F.col("i") % 16)).first()
+    assert got[0] > 2**32 and got[1] == 16
+
+
+def test_fallback_reports_attempts(spark):
+    import pytest
+    from tabsynth.operators.generate.fallback import generate_with_fallback
+    df = spark.range(60).selectExpr("id % 7 as a", "id * 1.5 as b")
+    made = generate_with_fallback(df, "BOOTSTRAP", 25)
+    assert made.rows.count() == 25 and [(a.model, a.ok) for a in made.attempts] == [("BOOTSTRAP", True)]
+    made = generate_with_fallback(df, "SMOTE", 10)
+    assert [(a.model, a.ok) for a in made.attempts][:2] == [("SMOTE", False), ("CTGAN", False)] and made.rows.count() == 10
+    with pytest.raises(ValueError):
+        generate_with_fallback(df.limit(0), "BOOTSTRAP", 5)
