@@ -16,6 +16,9 @@ HEADER_HINTS = ("id", "sno", "s.no", "date", "timestamp", "name", "category", "t
 HEADER_HINTS_VARIANT = ("sno", "s_no", "s_no_", "s_no.", "s.no", "id", "date", "name", "value", "type")
 # Text that means "missing" after trimming:
 NULL_TOKENS = ("", "nan", "None", "null")
+# Text that a delimited-file reader takes for "missing" (the defaults of pandas):
+READER_NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                      "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 # Name fragments of identifier-like text columns dropped before generation:
 ID_TERMS = ("id", "uuid", "guid", "key", "index", "hash")
 # Name fragments that suggest a time column:
@@ -41,6 +44,14 @@ DATETIME_SHAPES = {
     "M/d/yyyy": rf"^{_D2}/{_D2}/\d{{4}}$",
     "d-M-yyyy": rf"^{_D2}-{_D2}-\d{{4}}$",
     "d MMM yyyy": rf"^{_D2} [A-Za-z]{{3}} \d{{4}}$",
+    "d/M/yyyy": rf"^{_D2}/{_D2}/\d{{4}}$",
+    "M/d/yyyy H:m": rf"^{_D2}/{_D2}/\d{{4}} {_D2}:{_D2}$",
+    "M/d/yyyy H:m:s": rf"^{_D2}/{_D2}/\d{{4}} {_D2}:{_D2}:{_D2}$",
+    "yyyy.M.d": rf"^\d{{4}}\.{_D2}\.{_D2}$",
+    "MMM d, yyyy": rf"^[A-Za-z]{{3}} {_D2}, \d{{4}}$",
+    "d-MMM-yyyy": rf"^{_D2}-[A-Za-z]{{3}}-\d{{4}}$",
+    "yyyy-M-d'T'H:m:s[.SSSSSS]XXX": rf"^\d{{4}}-{_D2}-{_D2}T{_D2}:{_D2}:{_D2}(\.\d{{1,6}})?(Z|[+-]\d{{2}}:\d{{2}})$",
+    "yyyy-M-d H:m:s[.SSSSSS]XXX": rf"^\d{{4}}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}(\.\d{{1,6}})?(Z|[+-]\d{{2}}:\d{{2}})$",
 }
 DATETIME_FORMATS = tuple(DATETIME_SHAPES)
 
@@ -60,10 +71,10 @@ def normalize_token(c: Column, variant: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(low, sep, "_"), r"[^a-z0-9_.]", "")
 
 
-def null_if_token(c: Column) -> Column:
+def null_if_token(c: Column, tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
     """Trimmed text with the missing-value tokens folded to NULL."""
     t = strip_ws(c.cast("string"))
-    return F.when(t.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(t)
+    return F.when(t.isin(*tokens), F.lit(None).cast("string")).otherwise(t)
 
 
 def float_to_null(c: Column) -> Column:
@@ -78,10 +89,14 @@ def parse_number(c: Column) -> Column:
 
 
 def parse_datetime(c: Column, fmt: str) -> Column:
-    """Text to ``timestamp_ntz`` with one pattern; failures become NULL."""
+    """Text to ``timestamp_ntz`` with one pattern; failures become NULL.  Text with a zone
+    offset becomes the wall clock of UTC."""
     t = strip_ws(c.cast("string"))
     shape = DATETIME_SHAPES.get(fmt)
-    parsed = F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(t, F.lit(fmt))
+    if "XXX" in fmt:
+        parsed = F.timestamp_add("MICROSECOND", F.unix_micros(parsed), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    parsed = parsed.cast("timestamp_ntz")
     return F.when(t.rlike(shape), parsed) if shape else parsed
 
 

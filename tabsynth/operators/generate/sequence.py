@@ -45,7 +45,9 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     ranked = K.positions(base.withColumn("_tie", tie), ["_seq"], [F.col(f"`{time_col}`"), F.col("_tie")], name="_p")
     ranked = K._persist(ranked)
-    seqs = ranked.groupBy("_seq").agg(F.count(F.lit(1)).alias("_len"), F.min(f"`{time_col}`").alias("_t0"))
+    held = [f"_ctx{i}" for i in range(len(ctx))]  # first value of each context column, carried along
+    seqs = ranked.groupBy("_seq").agg(F.count(F.lit(1)).alias("_len"), F.min(f"`{time_col}`").alias("_t0"),
+                                      *[F.min_by(f"`{c}`", "_p").alias(h) for c, h in zip(ctx, held)])
     seqs = K._persist(K.positions(seqs, [], [F.col("_seq")], name="_si"))
     stats = seqs.agg(F.count(F.lit(1)).alias("k"), F.avg("_len").alias("m")).first()
     if not stats["k"]:
@@ -64,9 +66,9 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
             break
         g_count *= 2
     outs = outs.where(F.col("_cum_len") - F.col("_len") < n)
-    rows = outs.select("_g", "_seq", "_len", "_t0", (F.col("_cum_len") - F.col("_len")).alias("_start"),
-                       F.explode(F.sequence(F.lit(0), F.col("_len") - 1)).alias("_j"))
-    rows = rows.where(F.col("_start") + F.col("_j") < n)
+    left = F.lit(n) - (F.col("_cum_len") - F.col("_len"))  # rows still wanted when the sequence begins
+    outs = outs.select("_g", "_seq", "_len", "_t0", *held, F.least(F.col("_len"), left).alias("_take"))
+    rows = K.numbered(outs, "_take", "_j", ["_g"])
     blen = F.least(F.lit(block), F.col("_len"))
     b = F.floor(F.col("_j") / F.lit(block)).cast("long")
     off = F.floor(uniform(seed, "seq-block", F.col("_g"), b) * (F.col("_len") - blen + 1)).cast("long")
@@ -86,9 +88,6 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     cum = K.prefix_sums(src, ["_g"], [F.col("_j")], ["_gap"], prefix="_cum")
     new_t = F.timestamp_add("MICROSECOND", F.col("_cum_gap"), F.col("_t0").cast("timestamp_ntz")).cast(
         tc.field_type(df, time_col) if tc.is_datetime(tc.field_type(df, time_col)) else "timestamp_ntz")
-    if ctx:
-        first = ranked.where(F.col("_p") == 0).select("_seq", *[F.col(f"`{c}`").alias(f"_ctx_{c}") for c in ctx])
-        cum = cum.join(first, "_seq", "left")
     sel = []
     for c in df.columns:
         if c == time_col:
@@ -96,7 +95,7 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
         elif key and c == key:
             v = F.col("_g").cast(tc.field_type(df, c)) if tc.is_numeric(tc.field_type(df, c)) else F.concat(F.lit("seq-"), F.col("_g").cast("string"))
         elif c in ctx:
-            v = F.col(f"_ctx_{c}")
+            v = F.col(held[ctx.index(c)])
         else:
             v = F.col(f"`{c}`")
         sel.append(v.alias(c))

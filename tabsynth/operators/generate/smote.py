@@ -169,7 +169,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     need = K._persist(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")))
     if need.isEmpty():
         return keyed.select("_y", *fcols, F.lit(False).alias("_generated")), fcols, info
-    draws = need.select("_y", "_cnt", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s"))
+    draws = K.numbered(need, "_m", "_s", ["_y"])
     draws = draws.select(
         "_y", "_s",
         F.floor(uniform(seed, "smote-base", F.col("_y"), F.col("_s")) * F.col("_cnt")).cast("long").alias("_pos"),

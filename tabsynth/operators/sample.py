@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TWO_POW_32, hash_u32, uniform
@@ -62,10 +62,10 @@ def largest_remainder_quotas(counts: DataFrame, n: int, total: int, cls: str = "
     q = counts.select(F.col(cls), F.col("_c"), F.floor(exact).cast("long").alias("_base"),
                       (exact - F.floor(exact)).alias("_rem"))
     left = q.select(F.lit(n) - F.sum("_base")).scalar()
-    w = Window.orderBy(F.desc("_rem"), F.col(cls).asc_nulls_first())  # one row per class
-    return q.select(
+    ranked = K.positions(q, [], [F.desc("_rem"), F.col(cls).asc_nulls_first()], name="_rank")
+    return ranked.select(
         F.col(cls), F.col("_c"),
-        (F.col("_base") + F.when(F.row_number().over(w) <= left, 1).otherwise(0)).alias("_quota"),
+        (F.col("_base") + F.when(F.col("_rank") < left, 1).otherwise(0)).alias("_quota"),
     )
 
 

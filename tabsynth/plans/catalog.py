@@ -462,6 +462,7 @@ def q_top_categories(spark, sf):
 
 # ---- cleaning ------------------------------------------------------------------------------
 
+from ..functions.columns import READER_NULL_TOKENS  # noqa: E402
 from ..operators import clean as C  # noqa: E402
 from ..operators import features as FT  # noqa: E402
 
@@ -561,7 +562,7 @@ def _infer_sql(cols: dict[str, str]) -> str:
  WHEN count(CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 1 END) = count(v) THEN 'bigint'
  WHEN count(CASE WHEN regexp_matches(v, '{NUM_RE}') THEN 1 END) = count(v) THEN 'double'
  ELSE 'string' END AS inferred_type
-FROM (SELECT CASE WHEN trim({expr}) IN ('', 'nan', 'None', 'null') THEN NULL ELSE trim({expr}) END AS v FROM lineitem)""")
+FROM (SELECT CASE WHEN trim({expr}) IN {READER_NULL_TOKENS!r} THEN NULL ELSE trim({expr}) END AS v FROM lineitem)""")
     return union_all(parts)
 
 
@@ -570,6 +571,7 @@ INFER_COLS = {
     "l_quantity": "CAST(l_quantity AS VARCHAR)",
     "l_returnflag": "l_returnflag",
     "big_qty": "CAST(l_quantity > 25 AS VARCHAR)",
+    "gaps": "CASE l_returnflag WHEN 'A' THEN 'NA' WHEN 'R' THEN '#N/A' ELSE CAST(l_quantity AS VARCHAR) END",
 }
 
 
@@ -577,7 +579,8 @@ INFER_COLS = {
 def q_infer_types(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("l_orderkey"), F.col("l_quantity").cast("string").alias("l_quantity"),
-        "l_returnflag", (F.col("l_quantity") > 25).cast("string").alias("big_qty"))
+        "l_returnflag", (F.col("l_quantity") > 25).cast("string").alias("big_qty"),
+        F.when(F.col("l_returnflag") == "A", "NA").when(F.col("l_returnflag") == "R", "#N/A").otherwise(F.col("l_quantity").cast("string")).alias("gaps"))
     return C.infer_column_types(li)
 
 

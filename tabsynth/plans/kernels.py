@@ -200,5 +200,17 @@ def dense_index(df: DataFrame, order_cols: list[str | Column], name: str = "_idx
     return positions(df, [], order_cols, name=name, n_ranges=n_ranges)
 
 
+def numbered(df: DataFrame, length: str, name: str, keys: list[str], step: int = 1 << 16) -> DataFrame:
+    """``length`` copies of every row, numbered 0, 1, ... in ``name``.  Rows are first copied
+    once for each ``step`` numbers and those copies dealt over the tasks, so no row holds an
+    array of all its numbers and one long row is still split."""
+    last = F.floor((F.col(length) - 1) / F.lit(step)).cast("long")
+    parts = df.where(F.col(length) > 0).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    parts = parts.repartition(default_ranges(df.sparkSession), *keys, "_part")
+    first = F.col("_part") * F.lit(step).cast("long")
+    end = F.least(first + F.lit(step), F.col(length).cast("long")) - 1
+    return parts.withColumn(name, F.explode(F.sequence(first, end))).drop("_part")
+
+
 def chunked(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]

@@ -53,7 +53,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     first = raw.where(F.col("_blk") == 0).groupBy("file").agg(F.min("_mid").alias("_base"))
-    return raw.join(F.broadcast(first), "file", "left").select(  # one row per file
+    return raw.join(first, "file", "left").select(  # one row per file; its measured size decides the join
         "file",
         F.when(F.col("_blk") == 0, F.col("_mid") - F.col("_base")).alias("line_no"),
         "value",
