@@ -371,8 +371,8 @@ def metadata_frame(df: DataFrame) -> DataFrame:
     cand = [c for c in cat if tc.is_text(tc.field_type(df, c)) and ("date" in c.lower() or "time" in c.lower())]
     p = profile_frame(df)
     checks = [
-        F.max(F.coalesce(*[parse_datetime(F.col(c), f) for f in DATETIME_FORMATS]).isNotNull().cast("int")).alias(f"_d{i}")
-        for i, c in enumerate(cand)
+        F.max(F.coalesce(*[parse_datetime(F.col(f"`{c}`"), f) for f in DATETIME_FORMATS]).isNotNull().cast("int"))
+        for c in cand
     ]
     flags = checks or None
     types = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
@@ -385,7 +385,8 @@ def metadata_frame(df: DataFrame) -> DataFrame:
             "*", F.lit(",".join(num)).alias("numerical_columns"),
             F.lit(",".join(cat)).alias("categorical_columns"), F.lit(",".join(dts)).alias("datetime_columns"),
         )
-    hit = {c: df.select(checks[i]).scalar() == 1 for i, c in enumerate(cand)}
+    every = df.select(F.struct(*[check.alias(f"k{i}") for i, check in enumerate(checks)])).scalar()
+    hit = {c: every.getField(f"k{i}") == 1 for i, c in enumerate(cand)}
     dt_list = F.concat_ws(",", *[F.lit(c) for c in dts], *[F.when(hit[c], F.lit(c)) for c in cand])
     cat_list = F.concat_ws(",", *[F.when(~hit[c], F.lit(c)) if c in hit else F.lit(c) for c in cat])
     return out.select(

@@ -56,7 +56,9 @@ def time_column_expr(df: DataFrame) -> Column:
     cand = [c for c in df.columns if tc.is_text(tc.field_type(df, c)) and has_any_term(c, TIME_NAME_TERMS)]
     if not cand:
         return F.lit(None).cast("string")
-    rates = [df.select(F.avg(any_datetime(F.col(f"`{c}`")).isNotNull().cast("double"))).scalar() for c in cand]
+    # one struct, so all candidates share one scan (equal subqueries are reused)
+    every = df.select(F.struct(*[F.avg(any_datetime(F.col(f"`{c}`")).isNotNull().cast("double")).alias(f"r{i}") for i, c in enumerate(cand)])).scalar()
+    rates = [every.getField(f"r{i}") for i in range(len(cand))]
     out = F.when(rates[0] >= TIME_PARSE_RATE, F.lit(cand[0]))
     for c, r in zip(cand[1:], rates[1:]):
         out = out.when(r >= TIME_PARSE_RATE, F.lit(c))

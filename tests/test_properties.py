@@ -1,10 +1,14 @@
 """Properties: KS and correlation identities, exact sample sizes, partition invariance."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tabsynth.operators.profile import metadata_frame
+from tabsynth.operators.recommend import infer_time_frame
 from tabsynth.operators import evaluate as E
 from tabsynth.operators import sample as S
 from tabsynth.plans import kernels as K
@@ -107,3 +111,16 @@ def test_kernel_plan_has_no_single_partition_exchange(spark):
     ref = df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("t"))
     got = out.groupBy("l_returnflag").agg(F.max("cum_l_quantity").alias("t"))
     assert sorted(map(tuple, ref.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_time_candidates_share_one_scan(spark, tmp_path):
+    rows = [(f"x{i}", f"2024-01-{i + 1:02d}", "noon" if i else "2024-02-01", i) for i in range(10)]
+    spark.createDataFrame(rows, "`date.note` string, `start date` string, `some time` string, v int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    frame = infer_time_frame(df)
+    assert frame.collect()[0][0] == "start date"
+    ran = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in ran and len(set(re.findall(r"Subquery (subquery#\d+)", ran))) == 1, ran
+    meta = metadata_frame(df).first()
+    assert meta["datetime_columns"] == "start date,some time"
+    assert meta["categorical_columns"] == "date.note"
