@@ -139,11 +139,16 @@ def to_text_or_nan(c: Column) -> Column:
 
 # --- seeded hashing --------------------------------------------------------------------
 
+def named(column: str) -> Column:
+    """The column of exactly this name (names may hold dots)."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def hash_u32(seed: int, stream: str | int, *cols: Column | str) -> Column:
     """Deterministic 32-bit integer from md5 of 'seed:stream:cols...' (independent of
     partitioning and of row order).  Reproducible in any SQL engine that has md5."""
     parts = [F.lit(str(seed)), F.lit(str(stream))] + [
-        (F.col(c) if isinstance(c, str) else c).cast("string") for c in cols
+        (named(c) if isinstance(c, str) else c).cast("string") for c in cols
     ]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
@@ -151,7 +156,7 @@ def hash_u32(seed: int, stream: str | int, *cols: Column | str) -> Column:
 def uniform(seed: int, stream: str | int, *cols: Column | str) -> Column:
     """Uniform draw in (0, 1) with 52 bits of the same md5, so that a draw times the number of
     rows reaches every row of any table."""
-    parts = [F.lit(str(seed)), F.lit(str(stream))] + [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    parts = [F.lit(str(seed)), F.lit(str(stream))] + [(named(c) if isinstance(c, str) else c).cast("string") for c in cols]
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + 0.5) / float(1 << 52)
 

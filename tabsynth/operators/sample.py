@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import TWO_POW_32, hash_u32, uniform
+from ..functions.columns import TWO_POW_32, hash_u32, named, uniform
 from ..plans import kernels as K
 from . import profile as P
 
@@ -51,7 +51,7 @@ def sample_random(df: DataFrame, n: int, key_cols: list[str] | None = None, seed
     cand = withh.where(F.col("_h") < F.lit(thr))
     if frac < 1.0 and cand.count() < n:
         cand = withh
-    out = _smallest(cand, n, [F.col("_h"), *[F.col(k) for k in keys]])
+    out = _smallest(cand, n, [F.col("_h"), *[named(k) for k in keys]])
     return out.drop("_h")
 
 
@@ -79,29 +79,28 @@ def sample_stratified(df: DataFrame, n: int, target: str, key_cols: list[str] |
     total = df.count()
     if n >= total:
         return df
-    counts = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.groupBy(named(target).alias("_class")).agg(F.count(F.lit(1)).alias("_c"))
     stats = counts.agg(F.count(F.lit(1)).alias("k"), F.min("_c").alias("m")).first()
     if stats["m"] < 2 or n < stats["k"]:
         return sample_random(df, n, keys, seed)
-    quotas = largest_remainder_quotas(counts, n, total)
+    quotas = largest_remainder_quotas(counts, n, total, "_class")
     thr = F.least(F.lit(TWO_POW_32), F.ceil((F.col("_quota") / F.col("_c") * 1.05 + 32.0 / F.col("_c")) * TWO_POW_32))
     quotas = quotas.withColumn("_thr", thr)
-    withh = df.withColumn("_h", sample_hash(df, keys, seed)).alias("d")
-    qa = quotas.alias("q")
-    joined = withh.join(qa, withh[target].eqNullSafe(qa["class"]))  # one row per class
+    withh = df.withColumn("_h", sample_hash(df, keys, seed))
+    joined = withh.join(quotas, named(target).eqNullSafe(F.col("_class")))  # one row per class
     cand = joined.where(F.col("_h") < F.col("_thr"))
-    short = cand.groupBy("class", "_quota").agg(F.count(F.lit(1)).alias("_got")).where(F.col("_got") < F.col("_quota"))
+    short = cand.groupBy("_class", "_quota").agg(F.count(F.lit(1)).alias("_got")).where(F.col("_got") < F.col("_quota"))
     if not short.isEmpty():
         cand = joined
-    ranked = K.positions(cand, ["class"], [F.col("_h"), *[F.col(k) for k in keys]], name="_p")
-    return ranked.where(F.col("_p") < F.col("_quota")).select(*[F.col(f"`{c}`") for c in df.columns])
+    ranked = K.positions(cand, ["_class"], [F.col("_h"), *[named(k) for k in keys]], name="_p")
+    return ranked.where(F.col("_p") < F.col("_quota")).select(*[named(c) for c in df.columns])
 
 
 def sample_recent(df: DataFrame, n: int, time_col: str, key_cols: list[str] | None = None) -> DataFrame:
     """R3/T4s: the last n rows after sorting by time with missing times last -- i.e. rows
     without a time first, then the latest; key descending breaks ties."""
     keys = _keys(df, key_cols)
-    order = [F.col(time_col).desc_nulls_first(), *[F.col(k).desc() for k in keys if k != time_col]]
+    order = [named(time_col).desc_nulls_first(), *[named(k).desc() for k in keys if k != time_col]]
     return _smallest(df, n, order)
 
 
@@ -115,11 +114,11 @@ def bootstrap(df: DataFrame, n: int, key_cols: list[str] | None = None, seed: in
     if total == 0 or n <= 0:
         return df.limit(0)
     h = hash_u32(seed, "boot-order", *keys)
-    indexed = K.positions(df.withColumn("_h", h), [], [F.col("_h"), *[F.col(k) for k in keys]], name="_idx")
+    indexed = K.positions(df.withColumn("_h", h), [], [F.col("_h"), *[named(k) for k in keys]], name="_idx")
     draws = spark.range(n).select(
         F.floor(uniform(seed, "boot", F.col("id")) * F.lit(total)).cast("long").alias("_idx")
     )
-    return draws.join(indexed, "_idx").select(*[F.col(f"`{c}`") for c in df.columns])
+    return draws.join(indexed, "_idx").select(*[named(c) for c in df.columns])
 
 
 def resample_to(df: DataFrame, n: int, key_cols: list[str] | None = None, seed: int = SEED) -> DataFrame:

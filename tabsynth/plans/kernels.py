@@ -117,7 +117,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str | Col
     on = _null_safe_on(lo, of, ["_pid", *group_cols])
     names = [prefix + (w if isinstance(w, str) else str(i)) for i, w in enumerate(weights)]
     return lo.join(of, on, "inner").select(
-        *[lo[c] for c in df.columns],
+        *[lo["`" + c.replace("`", "``") + "`"] for c in df.columns],
         *[(lo[f"_lc{i}"] + of[f"_b{i}"]).alias(names[i]) for i in range(k)],
     )
 

@@ -124,3 +124,14 @@ def test_time_candidates_share_one_scan(spark, tmp_path):
     meta = metadata_frame(df).first()
     assert meta["datetime_columns"] == "start date,some time"
     assert meta["categorical_columns"] == "date.note"
+
+
+def test_sampling_takes_any_column_name(spark):
+    rows = [(i, f"k{i % 4}", i * 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "`S.No` int, class string, `a,b` int")
+    picked = S.sample_stratified(df, 12, "class")
+    assert picked.columns == df.columns
+    assert {r["class"]: r["count"] for r in picked.groupBy("class").count().collect()} == {f"k{i}": 3 for i in range(4)}
+    assert S.sample_random(df, 7).distinct().count() == 7
+    assert S.bootstrap(df, 9).exceptAll(S.bootstrap(df.repartition(5), 9)).isEmpty()
+    assert sorted(r["S.No"] for r in S.sample_recent(df, 3, "S.No").collect()) == [37, 38, 39]
