@@ -76,7 +76,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
-    return score_documents(spark, table(spark, sf_dir, "documents"))
+    return score_documents(spark, table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """N-gram language model over all training texts, held in sharded Elias-Fano trie levels.
 
-Texts become blocks of token numbers, written once.  Each block sends its distinct words, with
-their training counts, to word shards, which answer with global counts and numbers; then its
-distinct n-grams, level by level, to n-gram shards, which add the counts up, build their trie
-level, write it to the shared folder, map it, and answer each block by successor search.  So
-what moves is aggregated by block, no shard is larger than its share of the distinct n-grams
-(a frequent context is spread over shards by its successors), and nothing is broadcast.
+Texts become blocks of token numbers, each written once as a file of the shared folder, which
+the tasks of its block read; only its name moves.  Each block sends its distinct words, with
+their training counts, to word shards, which answer with global counts and numbers (the
+commonest first, so that most are small); then its distinct n-grams, level by level, to n-gram
+shards, which add the counts up, build their trie level, write it to the shared folder, map it,
+and answer each block by successor search.  A message has each context with its count once, and
+places in a trie level as steps.  So what moves is aggregated by block, no shard is larger than
+its share of the distinct n-grams (a frequent context is spread over shards by its successors),
+and nothing is broadcast.
 
 P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), down to the add-half unigram (``base``); a text
 starts in the context of an end of text.  The stored, quantised part is c(hw) / (c(h) + m)."""
@@ -29,7 +32,7 @@ from .eliasfano import CODE_STEP, TrieLevel
 
 END = b"\n"  # no word holds it
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 600_000
-BLOCK = "block bigint, texts binary, tokens binary, words binary, counts binary"
+BLOCK = "block bigint, file string"
 MESSAGE = "shard int, block bigint, level int, payload binary"
 
 
@@ -91,7 +94,7 @@ class _Block:
         self.held.append(held)
         self.size += len(words) + 1
 
-    def row(self, block: int) -> tuple:
+    def dump(self) -> bytes:
         import xxhash
 
         lengths = np.array([len(p) for p in self.parts], dtype=np.uint32)
@@ -100,29 +103,43 @@ class _Block:
         counts = np.bincount(tokens[train], minlength=len(self.number)).astype(np.uint32)
         words = np.fromiter(map(xxhash.xxh64_intdigest, self.number), dtype=np.uint64, count=len(self.number))
         none = np.array([i is None for i in self.ids], dtype=np.uint8)
-        texts = packed(np.array([i or 0 for i in self.ids], dtype=np.int64), none, np.array(self.held, dtype=np.uint8), lengths)
-        return block, texts, packed(tokens), packed(words), packed(counts)
+        ids = packed(np.array([i or 0 for i in self.ids], dtype=np.int64), none, np.array(self.held, dtype=np.uint8), lengths)
+        parts = packed(words), packed(counts), ids, packed(tokens)
+        return struct.pack("<4Q", *map(len, parts)) + b"".join(parts)
 
 
-def _blocks(batches):
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = [x.split()[0] for x in BLOCK.split(", ")]
-    task, made, block = TaskContext.get().partitionId(), 0, _Block()
+def _read_block(uri: str, first: int, last: int) -> list[list[np.ndarray]]:
+    """Parts ``first`` up to ``last`` of a block file: words, counts, ids, tokens."""
+    system, path = _file(uri)
+    with system.open_input_file(path) as f:
+        sizes = struct.unpack("<4Q", f.read(32))
+        f.seek(32 + sum(sizes[:first]))
+        return [unpacked(f.read(n)) for n in sizes[first:last]]
+
 
-    def end():
-        nonlocal made, block
-        row = block.row((task << 32) | made)
-        made, block = made + 1, _Block()
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
+def _blocks(folder: str):
+    def run(batches):
+        task, made, block = TaskContext.get().partitionId(), 0, _Block()
+
+        def end():
+            nonlocal made, block
+            number = (task << 32) | made
+            uri = f"{folder}/block-{number}-{uuid.uuid4().hex[:8]}"
+            system, path = _file(uri)
+            with system.open_output_stream(path, compression=None) as f:
+                f.write(block.dump())
+            made, block = made + 1, _Block()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([uri], pa.string())], names=["block", "file"])
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for doc_id, text, held in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                block.add(doc_id, text, held)
-                if block.size >= BLOCK_TOKENS or len(block.number) >= BLOCK_WORDS:
-                    yield end()
-    if block.ids:
-        yield end()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for doc_id, text, held in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    block.add(doc_id, text, held)
+                    if block.size >= BLOCK_TOKENS or len(block.number) >= BLOCK_WORDS:
+                        yield end()
+        if block.ids:
+            yield end()
+    return run
 
 
 def _send(shards: int, level: int, block: int, keys: np.ndarray, route: tuple, *arrays: np.ndarray):
@@ -137,8 +154,8 @@ def _send(shards: int, level: int, block: int, keys: np.ndarray, route: tuple, *
 def _send_words(shards: int):
     def run(batches):
         for batch in batches:
-            for block, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                (words,), (counts,) = unpacked(words), unpacked(counts)
+            for block, uri in zip(*(c.to_pylist() for c in batch.columns)):
+                (words,), (counts,) = _read_block(uri, 0, 2)
                 yield from _send(shards, 1, block, words, routed(words, shards), counts)
     return run
 
@@ -151,17 +168,19 @@ def _merge(payloads) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray
     return [len(p[0]) for p in parts], keys, back, joined[1:]
 
 
-def _answer_words(shards: int):
-    """Global count and number from 1 (0: not in training) of every word sent; one row more, of
-    level 0, has the shard's tokens and distinct words."""
+def _answer_words():
+    """Global count and place in the shard, by falling count (-1: not in training), of every word
+    sent; one row more, of level 0, has the shard's tokens and distinct words."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
         shard = int(frame["shard"].iloc[0])
         sizes, keys, back, (counts,) = _merge(frame["payload"])
         total = np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
-        number = np.where(total > 0, (np.cumsum(total > 0) - 1) * shards + shard, -1)
+        place = np.empty(len(keys), dtype=np.int64)
+        place[np.argsort(-total, kind="stable")] = np.arange(len(keys))
+        place[total == 0] = -1
         cuts = np.cumsum(sizes)[:-1]
-        answers = [packed(t, i) for t, i in zip(np.split(total[back], cuts), np.split(number[back] + 1, cuts))]
+        answers = [packed(t, i) for t, i in zip(np.split(total[back], cuts), np.split(place[back], cuts))]
         facts = struct.pack("<QQ", int(total.sum()), int((total > 0).sum()))
         return pd.DataFrame({"shard": shard, "block": [*frame["block"], -1], "level": [1] * len(answers) + [0], "payload": [*answers, facts]})
     return run
@@ -180,18 +199,18 @@ def _mapped(uri: str):
         return f.read_buffer()
 
 
-def _answer_grams(shards: int, level: int, weight: float, folder: str, last: bool):
+def _answer_grams(level: int, weight: float, folder: str, last: bool):
     """Build this shard's trie level, write and map it, answer each block from it: the code of
     every n-gram sent (65535: not in training) and, unless this is the last level, its count
-    and number (-1: not in training)."""
+    and place in the level as steps (that of one not in training says nothing)."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
         shard = int(frame["shard"].iloc[0])
         asked = []
         context, word, counts, above = [], [], [], []
         for p in frame["payload"]:
-            c, w, n, a = unpacked(p)
-            c = np.cumsum(c, dtype=np.uint64)
+            c, followers, a, w, n = unpacked(p)
+            c, a = np.repeat(np.cumsum(c, dtype=np.uint64), followers), np.repeat(a, followers)
             asked.append((c, w))
             seen = n > 0
             for whole, part in zip((context, word, counts, above), (c, w, n, a)):
@@ -209,9 +228,9 @@ def _answer_grams(shards: int, level: int, weight: float, folder: str, last: boo
             f.write(built.dump())
         trie, answers = TrieLevel.load(_mapped(uri)), []
         codes, total = np.append(trie.codes, np.uint16(65535)), np.append(total, 0)
-        for c, w in asked:  # in order of context
+        for c, w in asked:  # in order of context and word, so places rise
             place = trie.find(c, w)
-            more = () if last else (total[place], np.where(place >= 0, place * shards + shard, -1))
+            more = () if last else (total[place], steps(np.maximum.accumulate(place)))
             answers.append(packed(codes[place], *more))
         return pd.DataFrame({"shard": shard, "block": frame["block"], "level": level, "payload": answers})
     return run
@@ -222,13 +241,13 @@ class _State:
     ``order`` words, whose answers may still be missing."""
 
     def __init__(self, row, answers: pd.DataFrame, shards: int, order: int):
-        self.ids, self.none, held, self.lengths = unpacked(row["texts"])
-        (tokens,), (words,) = unpacked(row["tokens"]), unpacked(row["words"])
+        ((words,),) = _read_block(row["file"], 0, 1)
+        (self.ids, self.none, held, self.lengths), (tokens,) = _read_block(row["file"], 2, 4)
         self.shards, self.tokens, self.held = shards, tokens, held.astype(bool)
         self.train = np.repeat(~self.held, self.lengths)
         self.by_level = {int(k): dict(zip(g["shard"], g["payload"])) for k, g in answers.groupby("level")}
         count, number = self._answers(1, words)
-        count, number = narrow(count), narrow(number - 1)
+        count, number = narrow(count), narrow(number)
         self.word, self.known = number[tokens], count[tokens]
         # the context of each position: the (level - 1)-gram that ends before it
         self.levels = []
@@ -273,11 +292,15 @@ class _State:
         return c[new].astype(np.uint64), w[new].astype(np.uint64), which
 
     def _answers(self, level: int, keys: np.ndarray) -> list[np.ndarray]:
-        """The shards' answers in the order of ``keys``."""
+        """The shards' answers in the order of ``keys``; places become numbers over all shards."""
         order, bounds = routed(keys, self.shards)
         out: list[np.ndarray] = []
         for s, payload in self.by_level[level].items():
-            for k, a in enumerate(unpacked(payload)):
+            arrays = unpacked(payload)
+            if len(arrays) > 1:
+                place = arrays[-1] if level == 1 else np.where(arrays[0] < 65535, np.cumsum(arrays[-1]), -1)
+                arrays[-1] = np.where(place >= 0, place * self.shards + s, -1)
+            for k, a in enumerate(arrays):
                 if k == len(out):
                     out.append(np.zeros(len(keys), dtype=a.dtype))
                 out[k][order[bounds[s]:bounds[s + 1]]] = a
@@ -289,8 +312,13 @@ class _State:
         above_of = np.zeros(len(context), dtype=above.dtype)
         above_of[which] = above[asked]
         order, bounds = routed(keys, self.shards)
-        rows = [(s, block, level, packed(steps(context[p]), word[p], counts[p], above_of[p]))
-                for s in range(self.shards) if len(p := order[bounds[s]:bounds[s + 1]])]
+        rows = []
+        for s in range(self.shards):
+            if len(p := order[bounds[s]:bounds[s + 1]]):
+                c = context[p]
+                heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                followers = np.diff(heads, append=len(c)).astype(np.uint32)
+                rows.append((s, block, level, packed(steps(c[heads]), followers, above_of[p][heads], word[p], counts[p])))
         return pd.DataFrame(rows, columns=["shard", "block", "level", "payload"])
 
     def scores(self, total: int, distinct: int, weight: float) -> pd.DataFrame:
@@ -311,8 +339,7 @@ def _joined(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFram
     """``run(block row, its answers)`` for every block."""
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return run(left.iloc[0], right)
-    needed = blocks.select("block", "texts", "tokens", "words")
-    return needed.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(both, schema)
+    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(both, schema)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, held_fold: int = 1, order: int = 2, weight: float = 50.0) -> DataFrame:
@@ -327,16 +354,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_fold: int = 1, or
     if isinstance(system, fs.LocalFileSystem):
         system.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), blank("text").alias("text"), (fold("doc_id") == held_fold).alias("held"))
-    blocks = written(rows.mapInArrow(_blocks, BLOCK), "lm-blocks")
-    asked = blocks.select("block", "words", "counts").mapInArrow(_send_words(shards), MESSAGE)
-    answers = written(asked.groupBy("shard").applyInPandas(_answer_words(shards), MESSAGE), "lm-words")
+    blocks = written(rows.mapInArrow(_blocks(folder), BLOCK), "lm-blocks")
+    asked = blocks.mapInArrow(_send_words(shards), MESSAGE)
+    answers = written(asked.groupBy("shard").applyInPandas(_answer_words(), MESSAGE), "lm-words")
     facts = [struct.unpack("<QQ", bytes(r["payload"])) for r in answers.where("level = 0").select("payload").collect()]  # one row a shard
     total, distinct = sum(t for t, _ in facts), sum(d for _, d in facts)
     for level in range(2, order + 1):
         def send(row, known, level=level):
             return _State(row, known, shards, level).requests(int(row["block"]), level)
         asked = _joined(blocks, answers, send, MESSAGE)
-        answers = answers.unionByName(written(asked.groupBy("shard").applyInPandas(_answer_grams(shards, level, weight, folder, level == order), MESSAGE), f"lm-grams-{level}"))
+        answers = answers.unionByName(written(asked.groupBy("shard").applyInPandas(_answer_grams(level, weight, folder, level == order), MESSAGE), f"lm-grams-{level}"))
 
     def score(row, known):
         return _State(row, known, shards, order).scores(total, distinct, weight)

@@ -365,6 +365,42 @@ def test_lm_third_order_uses_longer_contexts(spark, docs):
     assert sum(s for h, s in three.values() if not h) > sum(two[i] for i, (h, _) in three.items() if not h)
 
 
+def brute_lm3(rows, m=50.0):
+    """(id, score) at order 3; no context reaches over the beginning of a text."""
+    rows = [(i, [*(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+    c, b, t = Counter(), Counter(), Counter()
+    for i, w in rows:
+        if held(i) != 1:
+            c.update(w)
+            b.update(zip([b"\n", *w], w))
+            t.update(zip([b"\n", *w], w, w[1:]))
+    n, v, out = sum(c.values()), len(c), []
+    for i, w in rows:
+        score, past = 0.0, [b"\n", *w]
+        for k, x in enumerate(w):
+            p = (c[x] + 0.5) / (n + 0.5 * (v + 1))
+            p = (b[past[k], x] + m * p) / (c[past[k]] + m)
+            if k:
+                h = (past[k - 1], past[k])
+                p = (t[*h, x] + m * p) / (b[h] + m)
+            score += math.log10(p)
+        out.append((str(i), len(w), score))
+    return out
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_lm_query_follows_two_words_of_context(spark, request, tmp_path, name):
+    from tabsynth.llm import catalog
+
+    df = request.getfixturevalue(name)
+    df.write.parquet(f"file:{tmp_path}/documents.parquet")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in catalog.op9_lm_scoring(spark, f"file:{tmp_path}").collect())
+    want = sorted(brute_lm3(pairs(df)))
+    assert len(got) == len(want)
+    for a, e in zip(got, want):
+        assert a[:2] == e[:2] and a[2] == pytest.approx(e[2], abs=1.2e-3 * a[1] + 1e-9)  # half a quantisation step a level and token
+
+
 def test_elias_fano_and_trie():
     import numpy as np
 
