@@ -163,12 +163,14 @@ def _links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """One row per input row: doc_id, fingerprint, component_id, text_sha256.
+    """One row per input row: doc_id, fingerprint, component_id, text_sha256, root.
 
     A null text is empty; a text without words has fingerprint zero and links like any other.
     component_id is the smallest id reachable over links of at most ``radius`` bits (null ids
-    are passed over, and null is the answer only where a component has no other).  Repeated
-    rows link to each other.  No rows give no rows; other columns are not read."""
+    are passed over, and null is the answer only where a component has no other).  Where ids
+    are null or repeat, two components may share it; root, the component's smallest fingerprint,
+    is its own.  Repeated rows link to each other.  No rows give no rows; other columns are not
+    read."""
     text = blank("text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text"))
     marked = written(rows.mapInArrow(_fingerprints(words), "doc_id bigint, sha string, fp bigint"), "fingerprints")
@@ -176,15 +178,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     roots = connected_components(_links(classes.select("fp"), radius))
     of = classes.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of.join(smallest, "root").select("fp", "component_id")
+    named = of.join(smallest, "root").select("fp", "component_id", "root")
     return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("sha").alias("text_sha256"))
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("sha").alias("text_sha256"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, the smallest id, with all its columns."""
     found = near_duplicates(docs, words, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256"))
-    root = F.coalesce(F.col("component_id").cast("string"), F.lit("~"))
-    kept = found.groupBy(root.alias("component")).agg(first.alias("first")).select("first.doc_id", "first.text_sha256")
+    kept = found.groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.text_sha256")
     return keep_rows(docs, kept, lambda text: F.sha2(blank(text).cast("binary"), 256))

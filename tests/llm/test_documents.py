@@ -135,6 +135,13 @@ def test_drop_near_keeps_one_of_each(odd):
     assert Counter(r["doc_id"] for r in left.collect()) == {i: 1 for i in want}
 
 
+def test_drop_near_keeps_unrelated_texts_that_share_an_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = spark.createDataFrame([(None, a), (None, b), (None, b), (4, c), (4, d), (5, d)], "doc_id bigint, text string")
+    left = simhash.drop_near_duplicates(rows).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(None, a), (None, b), (4, c), (4, d)], key=repr)
+
+
 # packing
 
 def brute_pieces(rows, limit=2048):
