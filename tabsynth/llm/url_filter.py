@@ -53,10 +53,10 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
         F.when(F.instr(url, "#") > 0, F.lit("fragment")))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, max_terms: int = 2) -> DataFrame:
-    """(terms, confidence) from (tokens array<string>, bad boolean): combinations of at most
-    ``max_terms`` tokens of which at least ``min_confidence`` of the URLs are bad.  A rule that
-    a smaller one makes needless (its terms are a part, its confidence no less) is pruned."""
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+    """(terms, confidence) from (tokens array<string>, bad boolean): combinations of tokens, of
+    any size, of which at least ``min_confidence`` of the URLs are bad.  A rule that a smaller
+    one makes needless (its terms are a part, its confidence no less) is pruned."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "terms array<string>, confidence double")
     labelled = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0))
@@ -66,11 +66,13 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
 
     baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = rules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_terms))
+    rules = rules.where(F.col("consequent") == F.array(F.lit(BAD)))
     rules = rules.select(F.array_sort("antecedent").alias("terms"), "confidence").persist()
-    small = rules.select(F.explode("terms").alias("term"), "terms", "confidence")
-    single = rules.where("size(terms) = 1").select(F.col("terms")[0].alias("term"), F.col("confidence").alias("least"))
-    needless = small.where("size(terms) > 1").join(single, "term").where("least >= confidence").select("terms").distinct()
+    # every proper part of a rule, by the bits of a number: at most 254 of eight tokens
+    parts = rules.where("size(terms) > 1").select("terms", "confidence", F.explode(F.expr(
+        "transform(sequence(1, shiftleft(1, size(terms)) - 2), n -> filter(terms, (t, i) -> shiftright(n, i) % 2 = 1))")).alias("part"))
+    smaller = rules.select(F.col("terms").alias("part"), F.col("confidence").alias("least"))
+    needless = parts.join(smaller, "part").where("least >= confidence").select("terms").distinct()
     return rules.join(needless, "terms", "left_anti")
 
 

@@ -80,6 +80,50 @@ def test_mined_rules(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_rules_of_three_tokens_block(spark):
+    def rows(host, folder, kind, bad, n=40):
+        return [(f"http://{host}.com/{folder}/{i}.{kind}", bad) for i in range(n)]
+    # all three tokens together are bad, each pair of them is mostly clean
+    labelled = spark.createDataFrame(rows("aa", "play", "php", True) + [r for h, f, k in (("aa", "play", "txt"), ("aa", "post", "php"), ("bb", "play", "php")) for r in rows(h, f, k, False, 60)], "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://aa.com/play/x.php"), (2, "http://aa.com/play/x.txt"), (3, "http://aa.com/post/x.php"), (4, "http://bb.com/play/x.php")], "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark, pages, labelled, [], 0.05, 0.5).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+    learn = [(["a", "b", "c", "d"], i < 9) for i in range(10)] + [(["a", "b"], False)] * 40 + [(["c", "d"], False)] * 40
+    mined = url_filter.mine_rules(spark.createDataFrame(learn, "tokens array<string>, bad boolean"), 0.05, 0.5).collect()
+    assert sorted(r["terms"] for r in mined) == [["a", "c"], ["a", "d"], ["b", "c"], ["b", "d"]]  # larger ones are no surer
+
+
+def test_url_query_against_rules_of_every_size(spark):
+    import re
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    u = F.col("url")
+    tokens = url_filter.url_tokens(u, url_filter.host_of(u), url_filter.path_of(u))
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", tokens.alias("tokens")).collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    n, bad, total = Counter(), Counter(), 0
+    for r in pages.values():
+        number = re.match(r"[^?#]*?://[^/?#]*[^?#]*?/([0-9]{1,18})", r["url"] or "")
+        label = labels.get(int(number[1])) if number else None
+        if label is None or not r["tokens"] or (label["quality"] is None or label["toxic"] is None):
+            continue
+        total += 1
+        for k in range(1, 9):
+            for part in combinations(sorted(r["tokens"]), k):
+                n[part] += 1
+                bad[part] += label["quality"] == 0 or label["toxic"] == 1
+    rules = [set(x) for x in bad if bad[x] >= math.ceil(0.005 * total) and bad[x] >= 0.5 * n[x]]
+    assert any(len(x) > 2 for x in rules)
+    listed = dict((r, v) for v, r in catalog.URL_RULES)
+    got = catalog.op8_url_filter(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        mined = "block" if any(x <= set(pages[r["page_id"]]["tokens"]) for x in rules) else "allow"
+        assert r["verdict"] == listed.get(r["rule"], mined)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
