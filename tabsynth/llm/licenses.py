@@ -1,10 +1,11 @@
 """Licence notices by a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines.  A multinomial logistic regression on hashed word 1- and 2-grams tells the
-licence families and an unknown class apart; a second regression on held-out rows turns its
-margin into a calibrated probability; a family is confirmed when the paragraph holds enough of
-the word pairs of one of its templates.  A confirmed paragraph holds a cue word (every template
-does), so lines without one need not be scored.
+Paragraphs are lines and, for notices that are wrapped, blocks of lines between blank ones.  A
+multinomial logistic regression on hashed word 1- and 2-grams tells the licence families and an
+unknown class apart; a second regression on held-out rows turns its margin into a calibrated
+probability; a family is confirmed when the paragraph holds enough of the word pairs of one of
+its templates.  What can be confirmed is always scored: to hold that share of a template's pairs,
+a text must hold at least one of any set of them that is larger than the rest (``pair_filter``).
 
 Training rows are made from the templates (words dropped, foreign words around them) and, for
 the unknown class, from a bounded sample of about ``sample`` lines of the corpus and from
@@ -12,6 +13,8 @@ templates cut down to a few words."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -44,6 +47,16 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def pairs_in(words: Column) -> Column:
+    """``pairs_of`` for a column, also inside a lambda."""
+    return once(words, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(w))
+
+
 def pairs_of(words: str) -> Column:
     """Neighbouring words joined by a blank; a single word is its own pair."""
     return F.expr(f"case when size({words}) > 1 then transform(sequence(0, size({words}) - 2), i -> concat({words}[i], ' ', {words}[i + 1])) else {words} end")
@@ -54,6 +67,60 @@ def templates(spark: SparkSession, listed: list[tuple[str, str]] = TEMPLATES) ->
     return rows.withColumn("words", words_of(F.col("notice"))).withColumn("pairs", F.array_distinct(pairs_of("words"))).drop("notice")
 
 
+def template_pairs(spark: SparkSession) -> list[list[str]]:
+    """The word pairs of each template, by its number."""
+    return [r["pairs"] for r in templates(spark).select("template", "pairs").orderBy("template").collect()]
+
+
+def pair_filter(parts: list[list[str]], least_coverage: float) -> str:
+    """Pattern found in every lower-case text that holds ``least_coverage`` of the pairs of one of
+    the lists: of each list, the longest pairs, one more than such a text may lack."""
+    gap, chosen = r"[^\p{L}\p{N}]+", set()
+    for pairs in parts:
+        may_lack = len(pairs) - max(1, math.ceil(least_coverage * len(pairs) - 1e-9))
+        chosen.update(sorted(pairs, key=lambda p: (-len(p), p))[:may_lack + 1])
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(p.replace(' ', gap) for p in sorted(chosen))})(?![\p{{L}}\p{{N}}])"
+
+
+def reached(pairs: Column, parts: list[list[str]], least_coverage: float) -> Column:
+    """Numbers of the templates of whose pairs at least ``least_coverage`` are among ``pairs``."""
+    forms = F.array(*[F.struct(F.lit(i).alias("template"), F.array(*map(F.lit, p)).alias("parts")) for i, p in enumerate(parts)])
+    return once(pairs, lambda own: F.transform(F.filter(
+        forms, lambda t: F.size(F.array_intersect(t["parts"], own)) / F.size(t["parts"]) >= least_coverage), lambda t: t["template"]))
+
+
+def paragraphs(docs: DataFrame, parts: list[list[str]], least_coverage: float) -> DataFrame:
+    """(doc_id, paragraph, n_lines, words, pairs, by_line) from (doc_id, text): every line that has
+    a cue word or reaches a template, and every block of several lines that reaches one which none
+    of its lines does; ``by_line`` are those that its lines reach."""
+    maybe = pair_filter(parts, least_coverage)
+
+    def kept(text):
+        return text.rlike(CUE) | F.lower(text).rlike(maybe)
+
+    def empty(line):
+        return F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
+    lines, at = F.col("lines"), F.sequence(F.lit(0), F.size("lines") - 1)
+    first = F.filter(at, lambda i: ~empty(F.get(lines, i)) & ((i == 0) | empty(F.get(lines, i - 1))))
+    last = F.filter(at, lambda i: ~empty(F.get(lines, i)) & ((i == F.size(lines) - 1) | empty(F.get(lines, i + 1))))
+    blocks = docs.where(kept(F.col("text"))).withColumn("lines", F.split("text", "\n"))
+    blocks = blocks.select("doc_id", "lines", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("block"))
+    blocks = blocks.select("doc_id", F.col("block.first").alias("first"), F.slice("lines", F.col("block.first") + 1, F.col("block.last") - F.col("block.first") + 1).alias("lines"))
+    blocks = blocks.where(kept(F.array_join("lines", "\n"))).withColumn("none", F.array().cast("array<int>"))
+
+    def held(text):
+        """The templates that a text reaches; only texts with a pair that they need are split."""
+        return F.when(F.lower(text).rlike(maybe), reached(pairs_in(words_of(text)), parts, least_coverage)).otherwise(F.col("none"))
+    blocks = blocks.withColumn("held", F.transform("lines", held)).withColumn("by_line", F.array_distinct(F.flatten("held")))
+    single = blocks.select("doc_id", "none", "first", F.posexplode(F.arrays_zip("lines", "held")).alias("k", "line"))
+    single = single.where(F.col("line.lines").rlike(CUE) | (F.size("line.held") > 0)).select(
+        "doc_id", (F.col("first") + F.col("k")).alias("paragraph"), F.lit(1).alias("n_lines"), F.col("line.lines").alias("text"), F.col("none").alias("by_line"))
+    whole = blocks.where("size(lines) > 1").withColumn("text", F.array_join("lines", "\n")).where(F.size(F.array_except(held(F.col("text")), F.col("by_line"))) > 0)
+    whole = whole.select("doc_id", F.col("first").alias("paragraph"), F.size("lines").alias("n_lines"), "text", "by_line")
+    rows = single.unionByName(whole).withColumn("words", words_of(F.col("text"))).where("size(words) > 0")
+    return rows.withColumn("pairs", pairs_of("words")).drop("text")
+
+
 def _draw(*what) -> Column:
     """A number in [0, 1) fixed by its arguments."""
     return F.pmod(F.xxhash64(*what), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -65,8 +132,10 @@ def training_rows(spark: SparkSession, docs: DataFrame, sample: int = 4000, vari
     total = docs.count()
     drawn = docs.where(_draw(F.lit("licence sample"), F.col("doc_id")) < F.lit(min(1.0, sample / 4 / max(1, total))))
     lines = drawn.select("doc_id", F.posexplode(F.split(blank("text"), "\n")).alias("at", "line"))
-    lines = lines.where((_draw(F.lit("line"), F.col("doc_id"), F.col("at")) < 0.5) & ~F.col("line").rlike(CUE))
-    plain = lines.select(F.lit(UNKNOWN).alias("family"), F.slice(words_of(F.col("line")), 1, 60).alias("words")).where("size(words) > 0")
+    lines = lines.where(_draw(F.lit("line"), F.col("doc_id"), F.col("at")) < 0.5)
+    plain = lines.select(words_of(F.col("line")).alias("words")).where("size(words) > 0")
+    plain = plain.where(F.size(reached(pairs_in(F.col("words")), template_pairs(spark), 0.6)) == 0)  # cue words alone make no notice
+    plain = plain.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 60).alias("words"))
     lost = F.filter("words", lambda w, i: _draw(F.lit("drop"), F.col("template"), F.col("variant"), i) >= 0.08)
     strange = F.transform(F.sequence(F.lit(1), (_draw(F.lit("around"), F.col("template"), F.col("variant")) * 7).cast("int") + 1),
                           lambda i: F.concat(F.lit("w"), F.xxhash64(F.col("template"), F.col("variant"), i).cast("string")))
@@ -106,26 +175,26 @@ def _margins(scored: DataFrame) -> DataFrame:
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, least_probability: float = 0.5, least_coverage: float = 0.6) -> DataFrame:
-    """One row for each line with a cue word: doc_id, paragraph (line number from 0), family,
-    predicted, probability, coverage, template, confirmed.  family is the predicted one where
-    the calibrated probability and the share of a template's word pairs both reach their
-    bounds, else ``unknown``.  Null and empty texts have no such lines; repeated rows repeat
-    theirs; other columns are not read."""
+    """One row for each line with a cue word or enough of a template's word pairs, and for each
+    block of several lines that has enough of a template which no line of it has: doc_id,
+    paragraph (number of its first line from 0), family, predicted, probability, coverage,
+    template, confirmed, n_lines.  family is the predicted one where the calibrated probability
+    and the share of a template's word pairs both reach their bounds, else ``unknown``.  Null and
+    empty texts have no such lines; repeated rows repeat theirs; other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), blank("text").alias("text"))
     classify, calibrate = fit(spark, docs).stages
-    lines = docs.where(F.col("text").rlike(CUE)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike(CUE)).withColumn("words", words_of(F.col("line"))).where("size(words) > 0")
-    lines = lines.withColumn("pairs", pairs_of("words")).withColumn("grams", F.concat("words", "pairs"))
+    lines = paragraphs(docs, template_pairs(spark), least_coverage).withColumn("grams", F.concat("words", "pairs"))
     scored = calibrate.transform(_margins(classify.transform(lines)))
     names = F.array(*[F.lit(f) for f in _families()])
-    scored = scored.select("doc_id", "paragraph", "pairs", names[F.col("prediction").cast("int")].alias("predicted"),
+    scored = scored.select("doc_id", "paragraph", "n_lines", "pairs", "by_line", names[F.col("prediction").cast("int")].alias("predicted"),
                            vector_to_array("calibrated")[1].alias("probability"))
     by_family = F.broadcast(templates(spark).groupBy(F.col("family").alias("predicted")).agg(F.collect_list(F.struct("template", F.col("pairs").alias("parts"))).alias("forms")))
-    compared = F.transform("forms", lambda t: F.struct(
+    own = F.filter("forms", lambda t: ~F.array_contains(F.col("by_line"), t["template"]))
+    compared = F.transform(own, lambda t: F.struct(
         (F.size(F.array_intersect(t["parts"], F.col("pairs"))) / F.size(t["parts"])).alias("coverage"), (-t["template"]).alias("order")))
     best = F.array_max(compared)
     out = scored.join(by_family, "predicted", "left").withColumn("best", best)
     confirmed = (F.col("probability") >= least_probability) & (F.coalesce(F.col("best.coverage"), F.lit(0.0)) >= least_coverage)
     return out.select("doc_id", "paragraph", F.when(confirmed, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted",
                       F.round("probability", 6).alias("probability"), F.round(F.coalesce("best.coverage", F.lit(0.0)), 6).alias("coverage"),
-                      (-F.col("best.order")).alias("template"), confirmed.alias("confirmed"))
+                      (-F.col("best.order")).alias("template"), confirmed.alias("confirmed"), "n_lines")

@@ -343,6 +343,19 @@ def test_license_scan(spark, docs, odd, none):
     assert licenses.scan_licenses(spark, odd).count() == 0 and licenses.scan_licenses(spark, none).count() == 0
 
 
+def test_license_lines_without_cue_and_wrapped_notices(spark, docs):
+    mit, gpl = licenses.TEMPLATES[1][1].split(), licenses.TEMPLATES[5][1].split()
+    wrapped = "\n".join(" ".join(mit[i:i + 7]) for i in range(0, len(mit), 7))
+    header = "\n".join("# " + " ".join(gpl[i:i + 9]) for i in range(0, len(gpl), 9))
+    bsd = licenses.TEMPLATES[10][1].split(" ", 1)[1]
+    texts = {1: "x y z\n\nunder CC BY-NC 4.0", 2: "Released under the MIT", 3: bsd, 4: f"some words first\n\n{wrapped}\n\nand after", 5: header,
+             6: "She had the permission of the owner.\nHis licence was taken away"}
+    extra = spark.createDataFrame([(10**9 + i, t, "en", None, len(t)) for i, t in texts.items()], docs.schema)
+    rows = licenses.scan_licenses(spark, docs.union(extra)).where(f"doc_id > {10**9}").collect()
+    got = {(r["doc_id"] - 10**9, r["paragraph"], r["n_lines"]): r["family"] for r in rows if r["confirmed"]}
+    assert got == {(1, 2, 1): "CC-BY-NC-4.0", (2, 0, 1): "MIT", (3, 0, 1): "BSD-3-Clause", (4, 2, wrapped.count("\n") + 1): "MIT", (5, 0, header.count("\n") + 1): "GPL-3.0"}
+
+
 # language model
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
