@@ -137,7 +137,7 @@ def predict_languages(spark: SparkSession, docs: DataFrame, **options) -> DataFr
         F.col("row.doc_id").alias("doc_id"), (fold("row.doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents in a determined language, with all their columns."""
     model = fit(docs.select("doc_id", "text", "lang").where(fold("doc_id") != 0))
-    return identify(spark, docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+    return identify(spark, docs, model).where(F.col("lang_pred") != UNDETERMINED).select("row.*")

@@ -271,6 +271,14 @@ def test_language_odd_rows(spark, odd, none):
     assert left.columns == odd.columns and not {2, 3, 7, 8} & {r["doc_id"] for r in left.collect()}
 
 
+def test_language_stage_keeps_unsure_documents(spark):
+    rows = [(k, f"{w} {w}", w[:1]) for k, w in enumerate(["aaa", "bbb", "ccc", "ddd"] * 20)] + [(100, "漢字", None), (101, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    scores = {r["doc_id"]: r["score"] for r in language_id.predict_languages(spark, df).collect()}
+    assert scores[100] < 0.5
+    assert {r["doc_id"] for r in language_id.keep_identified(spark, df).collect()} == {*range(80), 100}
+
+
 def test_language_backs_off():
     import numpy as np
 
