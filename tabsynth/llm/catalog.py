@@ -85,10 +85,29 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import rank_documents
+
+    return rank_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data_digest
+
+    return personal_data_digest(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants
+
+    return group_variants(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_document_fingerprints, op3_license_scan, op4_best_fit_packing, op5_simhash_near_dup,
-        op6_bpe_codec, op7_exact_dedup, op8_url_filter, op9_lm_scoring, op10_warc_bundles)
+        op6_bpe_codec, op7_exact_dedup, op8_url_filter, op9_lm_scoring, op10_warc_bundles, op11_lexical_search, op12_personal_data,
+        op13_spelling_variants)
 }
 
 ORACLE: dict[str, str] = {}
@@ -145,3 +164,22 @@ SELECT page_id, host, path, rule,
        ELSE CASE WHEN mined THEN 'block' ELSE 'allow' END END AS verdict
 FROM judged
 """
+
+ORACLE["op11_lexical_search"] = r"""
+WITH tokens AS (
+  SELECT doc_id, row_number() OVER () AS k,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+docs AS (SELECT *, len(terms) AS n FROM tokens WHERE len(terms) > 0),
+total AS (SELECT count(*) AS nn, sum(n) AS ll FROM docs),
+items AS (
+  SELECT i, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t
+  FROM (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL))),
+tf AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(terms) AS t FROM docs) WHERE t IN (SELECT t FROM items) GROUP BY k, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+scores AS (
+  SELECT i, item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll))))) AS BIGINT) AS score
+  FROM items JOIN tf USING (t) JOIN weights USING (t) JOIN docs USING (k), total GROUP BY i, item_id, k, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
