@@ -805,38 +805,74 @@ from ..sources import load as LD  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 
 
-def messy_nation_csv(spark: SparkSession, sf: str) -> str:
-    """``nation`` written as a ';' file with two junk lines above an 'ID;Name;Region' header."""
-    path = scratch_path(spark, "nation-csv")
-    n = table(spark, sf, "nation")
-    junk = spark.createDataFrame([(-3, "Nation export;;"), (-2, ";;"), (-1, "ID;Name;Region")], "k long, value string")
-    data = n.select(F.col("n_nationkey").cast("long").alias("k"),
-                    F.concat_ws(";", "n_nationkey", "n_name", "n_regionkey").alias("value"))
-    junk.unionByName(data).orderBy("k").coalesce(1).select("value").write.text(path)
+CSV_SHAPES = (  # separator, lines above the header, columns of a file
+    (",", ["Order export", ""], ["ID", "customer", "status", "price", "date", "priority"]),
+    (";", [";;;;;", "made by hand;;;;;", ";;"], ["date", "ID", "price", "customer", "priority", "status"]),
+    ("|", [], ["priority", "status", "ID", "date", "customer", "price"]),
+    ("\t", ["no note here"], ["ID", "price", "priority", "customer", "date", "status"]))
+
+
+def messy_orders_csv(spark: SparkSession, sf: str, files: int = 8) -> str:
+    """``orders`` as several files, written by their tasks: each with its own separator, lines
+    above the header and column order; the priority is quoted and holds a line break, a doubled
+    quote and every separator."""
+    path = scratch_path(spark, "orders-csv")
+
+    def lines(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        sep, junk, names = shapes[TaskContext.get().partitionId() % len(shapes)]
+        yield pa.RecordBatch.from_arrays([pa.array([*junk, sep.join(names)])], names=["value"])
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in names))
+            yield pa.RecordBatch.from_arrays([pa.array([sep.join(r) for r in rows], pa.string())], names=["value"])
+
+    shapes = CSV_SHAPES
+    o = table(spark, sf, "orders")
+    text = o.select(F.col("o_orderkey").cast("string").alias("ID"), F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderstatus").alias("status"),
+                    F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+                    F.concat(F.lit('"'), "o_orderpriority", F.lit('\n\nsaid ""now"", ; | \t."')).alias("priority"))
+    text.repartition(files, "ID").mapInArrow(lines, "value string").write.text(path)
     return path
 
 
-@register("csv_scan", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", n_name AS "Name", CAST(n_regionkey AS BIGINT) AS "Region" FROM nation')
+ORDERS_TEXT = """CAST(o_orderkey AS BIGINT) AS "ID", CAST(o_custkey AS BIGINT) AS customer, o_orderstatus AS status,
+ round(o_totalprice, 2) AS price, strftime(o_orderdate, '%Y-%m-%d') AS date,
+ o_orderpriority || chr(10) || chr(10) || 'said "now", ; | ' || chr(9) || '.' AS priority"""
+
+
+@register("csv_scan", f"SELECT {ORDERS_TEXT} FROM orders")
 def q_csv_scan(spark, sf):
-    return LD.load_dataset(spark, messy_nation_csv(spark, sf), fmt="csv")[0]
+    df = LD.load_dataset(spark, messy_orders_csv(spark, sf), fmt="csv")[0]
+    return df.withColumn("price", F.round("price", 2))
+
+
+FILE_SHAPES = " UNION ALL ".join(
+    f"SELECT {'chr(9)' if sep == chr(9) else repr(sep)} AS delimiter, {sum(bool(x.strip()) for x in junk)} AS header_row, '{'+'.join(names)}' AS names, CAST(2 AS BIGINT) AS files"
+    for sep, junk, names in CSV_SHAPES)
 
 
-@register("header_detect", "SELECT 2 AS header_row, ';' AS delimiter, CAST(count(*) AS BIGINT) AS data_rows FROM nation")
+@register("header_detect", f"SELECT header_row, delimiter, files FROM ({FILE_SHAPES})")
 def q_header_detect(spark, sf):
-    df, diag = LD.load_dataset(spark, messy_nation_csv(spark, sf), fmt="csv")
-    return df.agg(F.count(F.lit(1)).alias("data_rows")).select(
-        F.lit(diag.detected_header_row).alias("header_row"), F.lit(diag.detected_delimiter).alias("delimiter"), "data_rows")
+    """Header row and separator of each file, and how many files have them."""
+    heads = SC.scan_files(spark, messy_orders_csv(spark, sf)).heads
+    return heads.groupBy(F.col("header").alias("header_row"), "delimiter").agg(F.count(F.lit(1)).alias("files"))
 
 
-@register("csv_delimiter")
+@register("csv_delimiter", f"SELECT delimiter, files FROM ({FILE_SHAPES})")
 def q_csv_delimiter(spark, sf):
-    path = messy_nation_csv(spark, sf)
-    return spark.range(1).select(F.lit(SC.detect_delimiter_from_lines(spark, SC.head_lines(spark, path))).alias("delimiter"))
+    lines = SC.physical_lines(spark, messy_orders_csv(spark, sf))
+    found = SC.detect_delimiters(SC.numbered(lines).where(F.col("rec") < SC.HEADER_SCAN))
+    return found.groupBy("delimiter").agg(F.count(F.lit(1)).alias("files"))
 
 
-@register("ingest_diagnostics")
+@register("ingest_diagnostics", f"SELECT delimiter, header_row, names, files, (SELECT count(*) FROM orders) AS data_rows FROM ({FILE_SHAPES})")
 def q_ingest_diagnostics(spark, sf):
-    return LD.load_dataset(spark, messy_nation_csv(spark, sf), fmt="csv")[1].to_frame(spark)
+    """What the load found out about its files, and the rows that it returned."""
+    df, diag = LD.load_dataset(spark, messy_orders_csv(spark, sf), fmt="csv")
+    found = diag.files.groupBy("delimiter", F.col("header").alias("header_row"), F.array_join("cells", "+").alias("names")).agg(F.count(F.lit(1)).alias("files"))
+    return found.crossJoin(df.agg(F.count(F.lit(1)).alias("data_rows")))
 
 
 @register("row_ffill", f"""SELECT doc_id, lang, coalesce(CAST(quality AS VARCHAR), lang) AS quality,

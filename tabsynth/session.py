@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session used with this library should carry.  AQE re-plans joins from
 # runtime sizes (so "broadcast if small" is decided on measured bytes) and splits skewed
@@ -70,6 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tabsynth-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: later passes do not
+    compute it anew, and a lost executor costs nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_ranges(spark: SparkSession) -> int:
     """Number of range partitions the kernels use when the caller does not say."""
     try:

@@ -1,39 +1,49 @@
 """Messy delimited files.
 
-* ``spark.read.text`` with ``_metadata.file_path`` keeps every line of every file;
-  blank lines are skipped (as the reference's reader does).
-* Line numbers inside a file: lines of a file's first split are read in order, so the
-  position is ``monotonically_increasing_id`` minus the smallest id of that file's first
-  split.  Only lines of the first split can be junk/header, so no global numbering is
-  needed -- every file is handled in parallel.
-* Delimiter and header row are decided from the head of the first file (metadata-sized),
-  then every file drops its first ``h + 1`` lines and the rest is parsed by ``from_csv``
-  (quotes honoured) with an all-text schema; strict type inference follows (P9).
+Every file is judged on its own: its separator from its first lines, its header row from its
+first records, its column names from that header.  The findings are a small table (one row a
+file) that is joined back to the records, and the cells of each file are put under the columns
+of all files by name.  So files with other junk lines, another separator or another column
+order load into one table.
+
+* ``records`` gives the records of all files, with quoted line breaks kept.
+* Cells are split by one regular expression a separator (quotes honoured, a doubled quote is
+  one), all as text; strict type inference follows (P9).
+* The driver sees one entry for each distinct header, never a record.
 """
 
 from __future__ import annotations
 
-import csv
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import HEADER_HINTS, HEADER_HINTS_VARIANT, normalize_token
 from ..functions.names import make_unique
+from ..session import ensure_checkpoint_dir, written
+from .records import numbered, physical_lines, records, split_cells
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 10
 HEADER_SCAN = 15
+PREVIEW = 10
 
 
 @dataclass
 class IngestionDiagnostics:
+    """What was found out about a load; separator and header row are those of the first file,
+    ``files`` has them for every file, the previews are the first records raw and cleaned."""
+
     file_name: str
     file_type: str
     detected_header_row: int | None = None
     detected_delimiter: str = ","
     notes: list[str] = field(default_factory=list)
+    files: DataFrame | None = None
+    raw_preview: DataFrame | None = None
+    cleaned_preview: DataFrame | None = None
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
@@ -42,121 +52,152 @@ class IngestionDiagnostics:
         )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) for the non-blank lines of the first split of every file plus
-    (file, NULL, value) for lines of later splits (never junk or header)."""
-    raw = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("_blk"))
-        .where(F.trim(F.col("value")) != "")
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    first = raw.where(F.col("_blk") == 0).groupBy("file").agg(F.min("_mid").alias("_base"))
-    return raw.join(first, "file", "left").select(  # one row per file; its measured size decides the join
-        "file",
-        F.when(F.col("_blk") == 0, F.col("_mid") - F.col("_base")).alias("line_no"),
-        "value",
-    )
-
-
-def head_lines(spark: SparkSession, path: str, n: int = HEADER_SCAN) -> list[str]:
-    """First ``n`` non-blank lines of the first file (by name)."""
-    lines = numbered_lines(spark, path).where(F.col("line_no") < n)
-    first_file = lines.select(F.min("file")).scalar()
-    rows = lines.where(F.col("file") == first_file).orderBy("line_no").select("value").collect()
-    return [r["value"] for r in rows]
+def _regex_quote(d: str) -> str:
+    return {"|": r"\|", "\t": "\t"}.get(d, d)
 
 
-def detect_delimiter_from_lines(spark: SparkSession, lines: list[str]) -> str:
-    """Among , ; tab |, the delimiter whose per-line count is non-zero and most
-    consistent (lowest deviation, then highest mean, then list order); ``,`` otherwise."""
-    if not lines:
-        return ","
-    df = spark.createDataFrame([(x,) for x in lines], "value string")
-    aggs = []
+def detect_delimiters(lines: DataFrame) -> DataFrame:
+    """(file, delimiter) from (file, rec, value) of the first lines: among , ; tab |, the one
+    whose count a line is non-zero and most consistent (lowest deviation, then highest mean,
+    then list order); ``,`` where none occurs.  Quoted cells, over several lines or cut off at
+    the end, are taken out first."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec", "value"))), lambda x: x["value"]), "\n")  # a few lines
+    bare = F.regexp_replace(whole, r'(?m)(^|[,;\t|])"[^"]*+(?:""[^"]*+)*+(?:"|\z)', "$1")
+    lines = lines.groupBy("file").agg(bare.alias("bare")).select("file", F.explode(F.split("bare", "\n")).alias("value"))
+    aggs, found = [], []
     for i, d in enumerate(DELIMITERS):
-        cnt = F.size(F.split(F.col("value"), _regex_quote(d))) - 1
-        aggs += [F.avg(cnt).alias(f"m{i}"), F.stddev_pop(cnt).alias(f"s{i}"), F.min(cnt).alias(f"z{i}")]
-    row = df.agg(*aggs).first()
-    best, key = ",", None
-    for i, d in enumerate(DELIMITERS):
-        if row[f"m{i}"] is None or row[f"m{i}"] <= 0:
-            continue
-        k = (row[f"s{i}"] or 0.0, -row[f"m{i}"], i)
-        if key is None or k < key:
-            best, key = d, k
-    return best
+        n = F.size(F.split("value", _regex_quote(d))) - 1
+        aggs += [F.avg(n).alias(f"m{i}"), F.stddev_pop(n).alias(f"s{i}")]
+        found.append(F.when(F.col(f"m{i}") > 0, F.struct(F.col(f"s{i}").alias("s"), (-F.col(f"m{i}")).alias("m"), F.lit(i).alias("i"), F.lit(d).alias("d"))))
+    return lines.groupBy("file").agg(*aggs).select("file", F.coalesce(F.least(*found)["d"], F.lit(",")).alias("delimiter"))
 
 
-def _regex_quote(d: str) -> str:
-    return {"|": r"\|", "\t": "\t"}.get(d, d)
+def cells_of(value: Column, delimiter: Column, seps: list[str]) -> Column:
+    """Cells by the separator of the record's file, one of ``seps``."""
+    if len(seps) == 1:
+        return split_cells(value, seps[0])
+    return reduce(lambda c, s: c.when(delimiter == s, split_cells(value, s)), seps[1:], F.when(delimiter == seps[0], split_cells(value, seps[0])))
+
+
+def detect_headers(head: DataFrame, variant: bool = False) -> DataFrame:
+    """(file, header) from (file, rec, cells) of the first records: the record with the
+    most hint words (first on ties); without any, the one with the most cells that are not
+    blank if there are two or more; else 0."""
+    hints = HEADER_HINTS_VARIANT if variant else HEADER_HINTS
+    full = F.filter("cells", lambda c: F.trim(c) != "")
+    hits = F.size(F.filter(full, lambda c: normalize_token(c, variant=variant).isin(*hints)))
+    rows = head.select("file", "rec", F.size(full).alias("full"), hits.alias("hits"))
+    best = rows.groupBy("file").agg(F.max(F.struct("hits", (-F.col("rec")).alias("r"))).alias("by_hint"), F.max(F.struct("full", (-F.col("rec")).alias("r"))).alias("by_size"))
+    return best.select("file", F.when(F.col("by_hint.hits") > 0, -F.col("by_hint.r")).when(F.col("by_size.full") >= 2, -F.col("by_size.r")).otherwise(0).cast("int").alias("header"))
+
 
+def _as_file(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([("", i, x) for i, x in enumerate(lines)], "file string, rec bigint, value string")
 
-def split_cells(value: Column, sep: str) -> Column:
-    """Cells of one raw line (no quote handling; used only on the head)."""
-    return F.split(value, _regex_quote(sep))
+
+def detect_delimiter_from_lines(spark: SparkSession, lines: list[str]) -> str:
+    """S2 for the lines of one file; ``,`` without any."""
+    return detect_delimiters(_as_file(spark, lines)).select("delimiter").first()[0] if lines else ","
 
 
 def detect_header_row_from_lines(spark: SparkSession, lines: list[str], sep: str, variant: bool = False,
                                  scan: int = HEAD_LINES) -> int | None:
-    """Row with most hint-word hits among the first rows (first on ties); if no
-    hits, the first row with the most non-empty cells when that is >= 2; else 0; no rows
-    -> None (variant: 0)."""
+    """S3/S3b for the lines of one file; no lines -> None (variant: 0)."""
     if not lines:
         return 0 if variant else None
-    hints = HEADER_HINTS_VARIANT if variant else HEADER_HINTS
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines[:scan])], "row int, value string")
-    cells = df.select("row", F.posexplode(split_cells(F.col("value"), sep)).alias("pos", "cell"))
-    cells = cells.where(F.trim(F.col("cell")) != "")
-    tok = normalize_token(F.col("cell"), variant=variant)
-    per = cells.groupBy("row").agg(
-        F.count(F.lit(1)).alias("non_null"), F.sum(tok.isin(*hints).cast("int")).alias("hits")
-    )
-    rows = {r["row"]: (r["non_null"], r["hits"]) for r in per.collect()}  # <= scan rows
-    allrows = list(range(min(len(lines), scan)))
-    best_hit = max(allrows, key=lambda r: (rows.get(r, (0, 0))[1], -r))
-    if rows.get(best_hit, (0, 0))[1] > 0:
-        return best_hit
-    best_dense = max(allrows, key=lambda r: (rows.get(r, (0, 0))[0], -r))
-    if rows.get(best_dense, (0, 0))[0] >= 2:
-        return best_dense
-    return 0
-
-
-def header_names(line: str, sep: str, width: int) -> list[str]:
-    """Header cells; blank cells become ``Unnamed: i`` (dropped later as unnamed)."""
-    cells = next(csv.reader([line], delimiter=sep), [])
-    names = [c.strip() or f"Unnamed: {i}" for i, c in enumerate(cells)]
+    head = _as_file(spark, lines[:scan]).select("file", "rec", split_cells(F.col("value"), sep).alias("cells"))
+    return detect_headers(head, variant).select("header").first()[0]
+
+
+def header_names(cells: list[str | None], width: int) -> list[str]:
+    """Names from header cells; blank cells become ``Unnamed: i`` (dropped later as unnamed),
+    cells beyond the header ``extra_i``."""
+    names = [(c or "").strip() or f"Unnamed: {i}" for i, c in enumerate(cells)]
     return make_unique(names + [f"extra_{i}" for i in range(len(names), width)])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, header_row: int | None = None,
-             variant: bool = False) -> tuple[DataFrame, IngestionDiagnostics]:
-    """S1 + S2 + S3 + S4: parse with the (detected or given) delimiter and header row;
-    columns are text here -- type inference and post-processing follow in ``load``."""
-    head = head_lines(spark, path, HEADER_SCAN)
-    diag = IngestionDiagnostics(file_name=path.rstrip("/").split("/")[-1], file_type="csv")
-    delim = sep or detect_delimiter_from_lines(spark, head)
-    diag.detected_delimiter = delim
-    h = header_row if header_row is not None else detect_header_row_from_lines(spark, head, delim, variant)
-    h = 0 if h is None else h
-    diag.detected_header_row = h
-    if not head or h >= len(head):
+@dataclass
+class Scan:
+    """Records of all files with what is known of each file: (file, rec, value) and (file,
+    delimiter, header, cells)."""
+
+    records: DataFrame
+    heads: DataFrame
+    seps: list[str]
+
+    def with_cells(self) -> DataFrame:
+        """(file, rec, cells ...) of the records below the headers."""
+        rows = self.records.join(self.heads.drop("cells"), "file")  # one row a file; its measured size decides the join
+        rows = rows.where(F.col("rec").isNull() | (F.col("rec") > F.col("header")))
+        return rows.withColumn("cells", cells_of(F.col("value"), F.col("delimiter"), self.seps))
+
+
+def scan_files(spark: SparkSession, path: str | list[str], sep: str | None = None, header_row: int | None = None, variant: bool = False) -> Scan:
+    """Find separator and header of every file that has a line that is not blank."""
+    ensure_checkpoint_dir(spark)
+    lines = physical_lines(spark, path)
+    if sep:
+        sep_of = lines.where(F.trim("value") != "").select("file").distinct().withColumn("delimiter", F.lit(sep))
+    else:
+        sep_of = detect_delimiters(numbered(lines).where(F.col("rec") < HEADER_SCAN))
+    sep_of = sep_of.checkpoint()
+    seps = sorted(r[0] for r in sep_of.select("delimiter").distinct().collect())
+    if not seps:
         raise ValueError(f"{path} has no header line")
-    bare = F.regexp_replace("value", '"[^"]*"', "")  # delimiters inside quotes do not count
-    wide = numbered_lines(spark, path).where(F.col("line_no").isNull() | (F.col("line_no") > h)).select(F.size(split_cells(bare, delim)).alias("cells"))
-    own = len(header_names(head[h], delim, 0))
-    most = wide.agg(F.max("cells").alias("most"), F.count(F.when(F.col("cells") > own, 1)).alias("over")).first()
-    width = max(own, most["most"] or 0)
-    names = header_names(head[h], delim, width)
-    if most["over"]:
-        diag.notes.append(f"{most['over']} lines have more cells than the header; they are in extra_* columns.")
-    schema = ", ".join(f"`c{i}` STRING" for i in range(width))
-    lines = numbered_lines(spark, path).where(F.col("line_no").isNull() | (F.col("line_no") > h))
-    parsed = lines.select(F.from_csv(F.col("value"), schema, {"sep": delim}).alias("r")).select("r.*")
-    df = parsed.toDF(*names)
-    diag.notes.append(f"CSV parsed with delimiter='{delim}' and header index {h}.")
+    recs = records(spark, path, sep_of, seps)
+    last = HEAD_LINES if header_row is None else header_row + 1
+    head = recs.where(F.col("rec") < last).join(sep_of, "file")
+    head = head.select("file", "rec", "delimiter", cells_of(F.col("value"), F.col("delimiter"), seps).alias("cells")).checkpoint()
+    found = head.select("file").distinct().withColumn("header", F.lit(header_row)) if header_row is not None else detect_headers(head, variant)
+    heads = sep_of.join(found, "file").join(head.select("file", F.col("rec").cast("int").alias("header"), "cells"), ["file", "header"], "left")
+    heads = heads.select("file", "delimiter", "header", "cells").checkpoint()
+    short = heads.where("cells is null").select(F.min("file")).first()[0]
+    if short is not None:
+        raise ValueError(f"{short} has no header line")
+    return Scan(recs, heads, seps)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, header_row: int | None = None,
+             variant: bool = False) -> tuple[DataFrame, IngestionDiagnostics]:
+    """S1 + S2 + S3 + S4: every file by its own (or the given) separator and header row, the
+    columns of all files by name without regard to case: those of the first file by name, then
+    further ones of the next.  Cells a file does not have are NULL; columns are text here --
+    type inference and post-processing follow in ``load``."""
+    scan = scan_files(spark, path, sep, header_row, variant)
+    parsed = written(scan.with_cells().select("file", "cells"), "csv-cells")  # split once, read by every later pass
+    sizes = parsed.select("file", F.size("cells").alias("n")).join(scan.heads.select("file", F.size("cells").alias("own")), "file")
+    sizes = sizes.groupBy("file").agg(F.max("n").alias("most"), F.count(F.when(F.col("n") > F.col("own"), 1)).alias("over"))
+    width = F.greatest(F.size("cells"), F.coalesce("most", F.lit(0)))
+    files = scan.heads.join(sizes, "file", "left").select(
+        "file", "delimiter", "header", "cells", width.alias("width"), F.coalesce("over", F.lit(0)).alias("over")).checkpoint()
+    # one entry for each distinct header, in the order of the files
+    layouts = files.groupBy("cells", "width").agg(F.min("file").alias("first")).orderBy("first").collect()
+    columns: dict[str, str] = {}
+    named = [header_names(r["cells"], r["width"]) for r in layouts]
+    for names in named:
+        for n in names:
+            columns.setdefault(n.lower(), n)
+    at = [{n.lower(): i for i, n in enumerate(names)} for names in named]
+    places = [(r["cells"], r["width"], [place.get(c, -1) for c in columns]) for r, place in zip(layouts, at)]
+    places = spark.createDataFrame(places, "cells array<string>, width int, places array<int>")
+    if len(layouts) == 1:  # all files alike: nothing to join
+        rows, cells = parsed, [F.get("cells", F.lit(i)) for i in range(len(columns))]
+    else:
+        # a header without cells is an empty array, never null, so the join by value is safe
+        place_of = files.join(places, ["cells", "width"]).select("file", "places").checkpoint()
+        rows = parsed.join(place_of, "file")
+        cells = [F.when(F.col("places")[i] >= 0, F.get("cells", F.col("places")[i])) for i in range(len(columns))]
+    df = rows.select(*[c.alias(n) for c, n in zip(cells, columns.values())])
+    first = files.orderBy("file").first()
+    name = path if isinstance(path, str) else path[0]
+    diag = IngestionDiagnostics(name.rstrip("/").split("/")[-1], "csv", first["header"], first["delimiter"], files=files)
+    over = files.agg(F.sum("over")).first()[0]
+    if over:
+        diag.notes.append(f"{over} lines have more cells than the header; they are in extra_* columns.")
+    diag.notes.append(f"Read with separator {first['delimiter']!r}, header at row {first['header']}.")
+    if len(layouts) > 1:
+        diag.notes.append(f"{files.count()} files with {len(layouts)} headers were joined by column name.")
+    diag.raw_preview = scan.records.where(F.col("rec") < PREVIEW).select("file", "rec", "value").orderBy("file", "rec").limit(PREVIEW)
     return df, diag
 
 

@@ -123,7 +123,7 @@ def read_excel(spark: SparkSession, path: str, sheet: int | str = 0, header_row:
     diag.detected_header_row = h
     width = cells.select(F.max(F.size("cells"))).first()[0] or 0
     header = raw[h] if h < len(raw) else []
-    names = header_names(SEP.join("" if v is None else v for v in header), SEP, width)
+    names = header_names(header, width)
     data = cells.where(F.col("row_no") > h)
     df = data.select(*[F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
     diag.notes.append(f"Excel parsed with detected header row index {h}.")
