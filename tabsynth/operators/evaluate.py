@@ -1,14 +1,16 @@
 """Real-vs-generated evaluation.
 
-Every statistic is one grouped job over the long (column, value) form of both tables;
-the two-sample Kolmogorov-Smirnov statistic uses the distributed running-count kernel
-(no column is ever gathered into one task or onto the driver).
+Column statistics are one wide aggregate a table;
+the two-sample Kolmogorov-Smirnov statistic counts both sides in bins and opens only the
+bins that may hold it (no column is ever gathered into one task or onto the driver).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..plans import kernels as K
 from . import profile as P
 
 KS_TERMS = 100
+KS_BINS, KS_COLUMNS, KS_SAMPLE = 2048, 16, 20_000  # bins a column, columns counted in one job, rows that the edges come from
 
 
 def shared_numeric(real: DataFrame, synth: DataFrame) -> list[str]:
@@ -30,17 +33,15 @@ def both_numeric(real: DataFrame, synth: DataFrame) -> list[str]:
     return common_columns(tc.numeric_columns(real), tc.numeric_columns(synth))
 
 
-def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    wide = df.select(*[P.present(df, c).cast("double").alias(c) for c in cols]) if cols else df
-    return K.to_long(wide, cols, "double").where(F.col("value").isNotNull())
-
-
 def _side_stats(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
-    return _long_numeric(df, cols).groupBy("column").agg(
-        F.count("value").alias(f"{prefix}_n"),
-        F.avg("value").alias(f"{prefix}_mean"),
-        F.stddev_samp("value").alias(f"{prefix}_std"),
-    )
+    """One row a column from one wide aggregate."""
+    aggs = []
+    for i, c in enumerate(cols):
+        v = P.present(df, c).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias(f"{prefix}_n"), F.col(f"m{i}").alias(f"{prefix}_mean"), F.col(f"s{i}").alias(f"{prefix}_std"))
+            for i, c in enumerate(cols)]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def compare_column_statistics(real: DataFrame, synth: DataFrame) -> DataFrame:
@@ -105,32 +106,108 @@ def ks_test_report(real: DataFrame, synth: DataFrame, cols: list[str] | None = N
     """(column, ks_statistic, p_value, similarity_score) per shared numeric column with
     values on both sides, similarity descending.
 
-    D = max over distinct values of |F_real - F_synth|: values of both sides are counted
-    per (column, value) (map-side combine), running counts come from the range-split
-    prefix kernel, and the max is a grouped aggregate."""
+    D = max over distinct values of |F_real - F_synth|, by branch and bound.  Both sides are
+    counted in bins between sketched edges (a few hundred a column); the running counts at the
+    edges give the best D so far and, for every bin, the most that a value inside can reach.
+    Only the values of bins that may beat it are counted one by one and shuffled."""
     cols = cols if cols is not None else shared_numeric(real, synth)
     spark = real.sparkSession
+    schema = "column string, ks_statistic double, p_value double, similarity_score double"
     if not cols:
-        return spark.createDataFrame([], "column string, ks_statistic double, p_value double, similarity_score double")
-    lr = _long_numeric(real, cols).select("column", "value", F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-    ls = _long_numeric(synth, cols).select("column", "value", F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    vc = K._persist(lr.unionByName(ls).groupBy("column", "value").agg(F.sum("_a").alias("c1"), F.sum("_b").alias("c2")))
-    n = K._persist(vc.groupBy("column").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2")).where(
-        (F.col("n1") > 0) & (F.col("n2") > 0)
-    ))  # one row per column
-    cum = K.prefix_sums(vc, ["column"], ["value"], ["c1", "c2"], cut=False)
-    d = (
-        cum.join(F.broadcast(n), "column")  # one row per column: bounded
-        .groupBy("column", "n1", "n2")
-        .agg(F.max(F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))).alias("ks_statistic"))
-    )
-    return d.select(
-        "column", "ks_statistic",
-        ks_pvalue(F.col("ks_statistic"), F.col("n1").cast("double"), F.col("n2").cast("double")).alias("p_value"),
-        (1.0 - F.col("ks_statistic")).alias("similarity_score"),
+        return spark.createDataFrame([], schema)
+
+    def side(df: DataFrame, real_side: int) -> DataFrame:
+        return df.select(F.lit(real_side).alias("side"), *[K.finite(P.present(df, c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    both = side(real, 1).unionByName(side(synth, 0))
+    best, spans, rows = [], {}, both.count()
+    for some in K.chunked(list(range(len(cols))), KS_COLUMNS):
+        d, opened = _ks_bins(both, some, K.sampled(both, rows, 1, KS_SAMPLE))
+        best += d
+        spans.update(opened)
+    best = spark.createDataFrame(best, "i int, n1 bigint, n2 bigint, d double")
+    if spans:
+        best = best.join(_ks_inside(both, spans), "i", "left").withColumn("d", F.greatest("d", F.coalesce("inside", F.lit(0.0))))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
+    return best.select(
+        name.alias("column"), F.col("d").alias("ks_statistic"),
+        ks_pvalue(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double")).alias("p_value"),
+        (1.0 - F.col("d")).alias("similarity_score"),
     ).orderBy(F.desc("similarity_score"), "column")
 
 
+def _ks_bins(both: DataFrame, cols: list[int], sample: DataFrame) -> tuple[list, dict]:
+    """Best D at the edges, (i, n1, n2, d) for each column with values on both sides, and the
+    bins to open: {i: [(low, high, counts of both sides below, n1, n2)]}, low <= value < high."""
+    probs = np.arange(KS_BINS + 1) / KS_BINS
+    some = sample.select(*[f"v{i}" for i in cols]).toPandas()  # about KS_SAMPLE rows
+    edges = {}
+    for i in cols:  # any edges are right, sampled ones are even
+        v = some[f"v{i}"].dropna().to_numpy(float)
+        edges[i] = sorted({*np.quantile(v, probs, method="lower").tolist()}) if len(v) else [0.0]
+
+    def count(batches):
+        totals = {i: np.zeros((len(e) + 1, 2), np.int64) for i, e in edges.items()}
+        for batch in batches:
+            side = batch.column(0).to_numpy(zero_copy_only=False)
+            for (i, e), v in zip(edges.items(), batch.columns[1:]):
+                v = v.to_numpy(zero_copy_only=False)  # NULL is NaN here
+                given = ~np.isnan(v)
+                at = np.searchsorted(np.array(e), v[given], side="right") * 2 + (1 - side[given])
+                totals[i] += np.bincount(at, minlength=2 * len(e) + 2).reshape(-1, 2)
+        rows = [(i, k, int(c1), int(c2)) for i, t in totals.items() for k, (c1, c2) in enumerate(t) if c1 or c2]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, [pa.int32(), pa.int32(), pa.int64(), pa.int64()])], names=["i", "bin", "c1", "c2"])
+    counts = both.select("side", *[f"v{i}" for i in edges]).mapInArrow(count, "i int, bin int, c1 bigint, c2 bigint")
+    counts = counts.groupBy("i", "bin").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    by = {(r["i"], r["bin"]): (r["c1"], r["c2"]) for r in counts.collect()}  # columns x bins
+    best, spans = [], {}
+    for i, e in edges.items():
+        e = [float("-inf"), *e, None]  # bin k holds e[k] <= value < e[k + 1]
+        rows = [by.get((i, k), (0, 0)) for k in range(len(e) - 1)]
+        n1, n2 = (sum(r[s] for r in rows) for s in (0, 1))
+        if not n1 or not n2:
+            continue
+        below, d = [(0, 0)], 0.0
+        for c1, c2 in rows:
+            below.append((below[-1][0] + c1, below[-1][1] + c2))
+            d = max(d, abs(below[-1][0] / n1 - below[-1][1] / n2))
+        for k, (c1, c2) in enumerate(rows):
+            a, b = below[k], below[k + 1]
+            # inside the bin one side may already be counted in full while the other is not at all
+            if c1 and c2 and max(b[0] / n1 - a[1] / n2, b[1] / n2 - a[0] / n1) > d:
+                spans.setdefault(i, []).append((e[k], e[k + 1], *a, n1, n2))
+        best.append((i, n1, n2, d))
+    return best, spans
+
+
+def _ks_inside(both: DataFrame, spans: dict) -> DataFrame:
+    """(i, inside): largest difference at the values of the opened bins."""
+    keyed = [(i, k, *span) for i, found in spans.items() for k, span in enumerate(found)]
+    lows = {i: [x[0] for x in found] for i, found in spans.items()}
+    highs = {i: [float("inf") if x[1] is None else x[1] for x in found] for i, found in spans.items()}
+    last = {i: found[-1][1] is None for i, found in spans.items()}  # whether its last bin has no upper edge
+
+    def values(batches):
+        for batch in batches:
+            side = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, v in zip(lows, batch.columns[1:]):
+                v = v.to_numpy(zero_copy_only=False)
+                at = np.searchsorted(np.array(lows[i]), v, side="right") - 1
+                inside = ~np.isnan(v) & (at >= 0) & ((v < np.array(highs[i])[at]) | (last[i] & (at == len(lows[i]) - 1)))
+                distinct, of = np.unique(v[inside], return_inverse=True)
+                if len(distinct):
+                    c = np.bincount(of * 2 + (1 - side[inside]), minlength=2 * len(distinct)).reshape(-1, 2)
+                    bins = np.searchsorted(np.array(lows[i]), distinct, side="right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(distinct), i), pa.int32()), pa.array(bins, pa.int32()), pa.array(distinct), pa.array(c[:, 0]), pa.array(c[:, 1])],
+                        names=["i", "bin", "v", "c1", "c2"])
+    found = both.select("side", *[f"v{i}" for i in lows]).mapInArrow(values, "i int, bin int, v double, c1 bigint, c2 bigint")
+    values = found.groupBy("i", "bin", "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    cum = K.prefix_sums(values, ["i", "bin"], ["v"], ["c1", "c2"])
+    start = both.sparkSession.createDataFrame(keyed, "i int, bin int, low double, high double, b1 bigint, b2 bigint, n1 bigint, n2 bigint")
+    d = F.abs((F.col("b1") + F.col("cum_c1")) / F.col("n1") - (F.col("b2") + F.col("cum_c2")) / F.col("n2"))
+    return cum.join(F.broadcast(start), ["i", "bin"]).groupBy("i").agg(F.max(d).alias("inside"))  # columns x bins at most
+
+
 def _corr_pairs(real: DataFrame, synth: DataFrame) -> DataFrame | None:
     cols = both_numeric(real, synth)
     if len(cols) < 2:

@@ -121,14 +121,11 @@ def summary_statistics(df: DataFrame, include: str = "all") -> DataFrame:
             *[present(df, c).cast("double").alias(c) for c in num],
             *[_dt_seconds(df, c).alias(c) for c in dts],
         )
-        long = K.to_long(wide, numlike, "double")
-        stats = long.groupBy("column").agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
+        aggs = [f(K.quoted(c)).alias(f"{k}{i}") for i, c in enumerate(numlike) for k, f in (
+            ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+        stats = wide.agg(*aggs).select(F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), *[F.col(f"{k}{i}").alias(k) for k in ("mean", "std", "min", "max")])
+            for i, c in enumerate(numlike)])).alias("x")).select("x.*")
         q = K.exact_quantiles(wide, numlike, [0.25, 0.5, 0.75])
         qw = q.groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
         qw = qw.toDF("column", "p25", "p50", "p75")

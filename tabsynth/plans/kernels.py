@@ -10,14 +10,20 @@
   stays flat when kernels are chained.
 * ``positions`` (K1, rows): the same with weight 1 -> exact 0-based position in the group.
 * ``exact_quantiles`` (K2): linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``
-  rule) from ``positions``: only the 2 ranks per (column, probability) are picked out by a
-  broadcast join with a (#columns x #probs) table; nothing large reaches the driver.
+  rule).  A sample brackets each wanted rank, exact counts prove the bracket, brackets with many
+  rows are refined by a sample of their inside, and only the distinct values left in the
+  brackets are shuffled.  Many probabilities at once (the copula's knots) take the running
+  counts of all distinct values instead (``all_quantiles``).
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -130,10 +136,145 @@ def positions(df: DataFrame, group_cols: list[str], order_cols: list[str | Colum
     return out.withColumn(name, F.col("_cum0") - 1).drop("_cum0")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    n_ranges: int | None = None) -> DataFrame:
-    """Long table (column, prob, value): exact quantiles with linear interpolation between
-    the two neighbouring order statistics (NULL/NaN ignored; empty columns absent).
+def quoted(name: str) -> Column:
+    """Column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def finite(c: Column) -> Column:
+    """The number, NULL where it is NaN."""
+    return F.when(~F.isnan(c), c)
+
+
+@dataclass
+class _Bracket:
+    """The ranks ``first`` and ``last`` (next to each other) of a column lie among its values
+    from ``low`` to ``high``, of which there are ``inside``; ``below`` are smaller."""
+
+    column: str
+    prob: float
+    first: int
+    last: int
+    low: float
+    high: float
+    below: int
+    inside: int
+    part: float  # of the way from the first rank's value to the last one's
+
+    @property
+    def held(self) -> bool:
+        return self.below <= self.first and self.last < self.below + self.inside
+
+
+SKETCHED = 200_000  # rows of the sample that a bracket is drawn from; the counts prove it
+
+
+def sampled(df: DataFrame, rows: int, seed: int, wanted: int = SKETCHED) -> DataFrame:
+    """About ``wanted`` rows of ``rows``, for bounds that are proved by counts afterwards."""
+    return df if rows <= wanted else df.sample(wanted / rows, seed)
+
+
+def _sketch(df: DataFrame, brackets: list[_Bracket], share: float, seed: int) -> None:
+    """Narrow every bracket to what a sample of its inside puts around its ranks: ``share`` of
+    it to each side, or four standard deviations of the sample's rank if that is more."""
+    spans: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        spans.setdefault((b.column, b.low, b.high), []).append(b)
+    exprs, ends = [], []
+    for (c, low, high), some in spans.items():
+        v, inside = finite(quoted(c)), some[0].inside
+        width = max(share, 2 / math.sqrt(min(inside, SKETCHED)))
+        at = [(b.first - b.below) / max(1, inside - 1) for b in some]
+        ends.append([(x - width, x + width) for x in at])
+        exprs.append(F.percentile_approx(F.when(v.between(low, high), v), [min(1.0, max(0.0, e)) for pair in ends[-1] for e in pair], int(4 / share)))
+    rows = min(b.inside for b in brackets)
+    row = sampled(df, rows, seed).agg(*[e.alias(f"q{i}") for i, e in enumerate(exprs)]).first()
+    for some, pairs, found in zip(spans.values(), ends, row):
+        for k, (b, (least, most)) in enumerate(zip(some, pairs)):
+            if found:
+                b.low = b.low if least <= 0 else found[2 * k]
+                b.high = b.high if most >= 1 else found[2 * k + 1]
+
+
+def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
+    exprs = []
+    for i, b in enumerate(brackets):
+        v = finite(quoted(b.column))
+        exprs += [F.count(F.when(v < b.low, 1)).alias(f"b{i}"), F.count(F.when(v.between(b.low, b.high), 1)).alias(f"i{i}")]
+    row = df.agg(*exprs).first()
+    for i, b in enumerate(brackets):
+        b.below, b.inside = row[f"b{i}"], row[f"i{i}"]
+
+
+def _picked(df: DataFrame, brackets: list[_Bracket]) -> dict[int, tuple[float, float]]:
+    """The values at the first and last rank of each bracket, from the distinct values in it."""
+    cols = sorted({b.column for b in brackets})
+    spans = [(cols.index(b.column), b.low, b.high) for b in brackets]
+
+    def inside(batches):
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]  # NULL is NaN, which no bracket holds
+            for i, (j, low, high) in enumerate(spans):
+                v, c = np.unique(values[j][(values[j] >= low) & (values[j] <= high)], return_counts=True)
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i), pa.int32()), pa.array(v), pa.array(c, pa.int64())], names=["i", "v", "c"])
+    found = df.select(*[quoted(c).alias(f"v{j}") for j, c in enumerate(cols)]).mapInArrow(inside, "i int, v double, c bigint")
+    values = found.groupBy("i", "v").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy("v"))  # a bracket's few values
+    wanted = [F.struct(F.lit(b.first - b.below).alias("first"), F.lit(b.last - b.below).alias("last")) for b in brackets]
+    at = F.array(*wanted)[F.col("i")]
+    ranked = values.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("c")).withColumn("at", at)
+    found = ranked.groupBy("i").agg(*[F.max(F.when((F.col("from") <= F.col(f"at.{r}")) & (F.col(f"at.{r}") < F.col("upto")), F.col("v"))).alias(r) for r in ("first", "last")])
+    return {r["i"]: (r["first"], r["last"]) for r in found.collect()}
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], few: int = 100_000, share: float = 0.001, at_once: int = 24) -> DataFrame:
+    """Long table (column, prob, value): exact quantiles with linear interpolation between the
+    two neighbouring order statistics (NULL/NaN ignored; empty columns absent).
+
+    Rounds over the brackets of all columns: sample, count, until a bracket has at most ``few``
+    rows, one value, or shrinks no more.  A bracket that a sample put beside its ranks goes
+    back to the last one that held them.  The driver sees a few numbers a bracket."""
+    spark, schema = df.sparkSession, "column string, prob double, value double"
+    if not cols:
+        return spark.createDataFrame([], schema)
+    if len(probs) > 8:
+        return all_quantiles(df, cols, probs)
+    df = df.select(*[quoted(c).cast("double").alias(c) for c in cols])
+    ends = df.agg(*[f(finite(quoted(c))).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    out = []
+    for some in chunked([(i, c) for i, c in enumerate(cols) if ends[f"n{i}"]], max(1, at_once // len(probs))):
+        brackets = []
+        for i, c in some:
+            n = ends[f"n{i}"]
+            for p in probs:
+                h = (n - 1) * float(p)
+                brackets.append(_Bracket(c, float(p), math.floor(h), math.ceil(h), ends[f"a{i}"], ends[f"b{i}"], 0, n, h - math.floor(h)))
+        wide, seed = [b for b in brackets if b.inside > few and b.low < b.high], 0
+        while wide and seed < 8:
+            before, seed = [(b.low, b.high, b.below, b.inside) for b in wide], seed + 1
+            _sketch(df, wide, share, seed)
+            _count(df, wide)
+            further = []
+            for b, old in zip(wide, before):
+                if not b.held:  # unlucky sample: another one
+                    b.low, b.high, b.below, b.inside = old
+                    further.append(b)
+                elif b.inside > few and b.low < b.high and b.inside <= old[3] // 2:
+                    further.append(b)
+            wide = further
+        several = [b for b in brackets if b.low < b.high]
+        values = _picked(df, several) if several else {}
+        place = {id(b): values[i] for i, b in enumerate(several)}
+        for b in brackets:
+            first, last = place.get(id(b), (b.low, b.low))
+            out.append((b.column, b.prob, first if last == first else first + b.part * (last - first)))
+    return spark.createDataFrame(out, schema)
+
+
+def all_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                  n_ranges: int | None = None) -> DataFrame:
+    """``exact_quantiles`` for many probabilities.
 
     Values are counted first, so a value holding a third of the rows is one row before the
     range split; the running count over distinct values locates each needed rank."""
