@@ -250,7 +250,7 @@ REPORT_COLUMNS = [
 
 
 def build_evaluation_report(real: DataFrame, synth: DataFrame) -> DataFrame:
-    """One wide table -- ``summary`` rows (real_rows, synthetic_rows,
+    """One wide table -- ``summary`` rows (real_rows, generated_rows,
     correlation_similarity_score, avg_ks_similarity), then ``column_statistics`` (E1) and
     ``ks_test`` (E3) rows; without shared numeric columns only the summary (no section)."""
     stats = compare_column_statistics(real, synth)
@@ -266,7 +266,7 @@ def build_evaluation_report(real: DataFrame, synth: DataFrame) -> DataFrame:
         [
             base.select(F.lit(m).alias("metric"), v.alias("value"))
             for m, v in [
-                ("real_rows", real_rows), ("synthetic_rows", synth_rows),
+                ("real_rows", real_rows), ("generated_rows", synth_rows),
                 ("correlation_similarity_score", corr_v), ("avg_ks_similarity", avg_ks),
             ]
         ],

@@ -92,7 +92,7 @@ def build_profile(df: DataFrame) -> DataProfile:
     )
 
 
-def _dt_seconds(df: DataFrame, name: str) -> Column:
+def dt_seconds(df: DataFrame, name: str) -> Column:
     """Date/time as epoch seconds (double, microsecond fraction) so it shares the numeric
     statistics path; whole seconds keep sums exact in double arithmetic."""
     tz = df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
@@ -119,7 +119,7 @@ def summary_statistics(df: DataFrame, include: str = "all") -> DataFrame:
     if numlike:
         wide = df.select(
             *[present(df, c).cast("double").alias(c) for c in num],
-            *[_dt_seconds(df, c).alias(c) for c in dts],
+            *[dt_seconds(df, c).alias(c) for c in dts],
         )
         aggs = [f(K.quoted(c)).alias(f"{k}{i}") for i, c in enumerate(numlike) for k, f in (
             ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
@@ -311,15 +311,12 @@ def time_trend(df: DataFrame, time_col: str, value_col: str | None = None) -> Da
     """Per timestamp the mean of a numeric ``value_col`` (else the row count);
     unparseable or missing times dropped; ascending time."""
     dt = tc.field_type(df, time_col)
-    if tc.is_datetime(dt):
-        t = F.col(time_col).cast("timestamp_ntz") if not isinstance(dt, T.DateType) else F.col(time_col).cast("timestamp_ntz")
-    else:
-        t = F.coalesce(*[parse_datetime(F.col(time_col), f) for f in DATETIME_FORMATS])
-    base = df.select(t.alias(time_col), *([present(df, value_col)] if value_col and value_col in df.columns else []))
-    base = base.na.drop(subset=[time_col])
-    if value_col and value_col in df.columns and tc.is_numeric(tc.field_type(df, value_col)):
-        return base.groupBy(time_col).agg(F.avg(value_col).alias(value_col)).orderBy(time_col)
-    return base.groupBy(time_col).agg(F.count(F.lit(1)).alias("count")).orderBy(time_col)
+    time = K.quoted(time_col)
+    t = time.cast("timestamp_ntz") if tc.is_datetime(dt) else F.coalesce(*[parse_datetime(time, f) for f in DATETIME_FORMATS])
+    averaged = bool(value_col) and value_col in df.columns and tc.is_numeric(tc.field_type(df, value_col))
+    base = df.select(t.alias("_t"), *([present(df, value_col).alias("_v")] if averaged else [])).where(F.col("_t").isNotNull())
+    found = base.groupBy("_t").agg((F.avg("_v") if averaged else F.count(F.lit(1))).alias("_r")).orderBy("_t")
+    return found.select(F.col("_t").alias(time_col), F.col("_r").alias(value_col if averaged else "count"))
 
 
 _FIXED_WIDTH = {
@@ -329,7 +326,7 @@ _FIXED_WIDTH = {
 
 
 def _cell_bytes(df: DataFrame, f: T.StructField) -> Column:
-    c = F.col(f.name)
+    c = K.quoted(f.name)
     dt = f.dataType
     if isinstance(dt, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0))
@@ -396,7 +393,7 @@ def metadata_frame(df: DataFrame) -> DataFrame:
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (result tables are compared at this precision)."""
     return df.select(*[
-        (F.round(F.col(f.name), digits) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)).alias(f.name)
+        (F.round(K.quoted(f.name), digits) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else K.quoted(f.name)).alias(f.name)
         for f in df.schema.fields
     ])
 

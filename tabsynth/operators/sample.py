@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import typeclass as tc
 from ..functions.columns import TWO_POW_32, hash_u32, named, uniform
 from ..plans import kernels as K
 from . import profile as P
@@ -96,29 +97,80 @@ def sample_stratified(df: DataFrame, n: int, target: str, key_cols: list[str] |
     return ranked.where(F.col("_p") < F.col("_quota")).select(*[named(c) for c in df.columns])
 
 
+def _time_number(df: DataFrame, time_col: str) -> Column | None:
+    """Date/time as epoch seconds, a number as it is; None for other types."""
+    kind = tc.field_type(df, time_col)
+    if tc.is_datetime(kind):
+        return P.dt_seconds(df, time_col)
+    return K.finite(named(time_col).cast("double")) if tc.is_numeric(kind) else None
+
+
 def sample_recent(df: DataFrame, n: int, time_col: str, key_cols: list[str] | None = None) -> DataFrame:
     """R3/T4s: the last n rows after sorting by time with missing times last -- i.e. rows
-    without a time first, then the latest; key descending breaks ties."""
+    without a time first, then the latest; key descending breaks ties.
+
+    Counts find a time that about n rows reach (K2); only those rows, and rows without a time,
+    are ranked and shuffled."""
     keys = _keys(df, key_cols)
     order = [named(time_col).desc_nulls_first(), *[named(k).desc() for k in keys if k != time_col]]
+    number = _time_number(df, time_col)
+    if number is not None and n > 0:
+        timed = df.select(number.alias("_t"))
+        total, known = timed.agg(F.count(F.lit(1)), F.count("_t")).first()
+        wanted = n - (total - known)  # rows with a time that are needed
+        if wanted <= 0:
+            df = df.where(number.isNull())
+        elif wanted + 2 < known:
+            # two ranks lower than needed: the share is rounded, and more candidates do no harm
+            least = K.exact_quantiles(timed, ["_t"], [(known - wanted - 2) / (known - 1)]).first()["value"]
+            df = df.where(number.isNull() | (number >= F.lit(math.nextafter(least, -math.inf))))
     return _smallest(df, n, order)
 
 
+BUCKET_ROWS = 50_000
+
+
+def _indexed(df: DataFrame, total: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with (_bucket, _rank) and the buckets (_bucket, _from, _to), so that _from + _rank
+    is the place of a row in the order of ``_h`` and then ``order``.
+
+    A bucket is a range of the 32-bit hash ``_h`` with about ``BUCKET_ROWS`` rows: counts, not
+    a sort of the table, give the places of buckets.  Rows are ranked inside their bucket; a
+    bucket that repeated keys make much larger goes through the range-split kernel."""
+    buckets = max(1, total // BUCKET_ROWS)
+    rows = df.withColumn("_bucket", F.floor(F.col("_h") * F.lit(buckets) / F.lit(TWO_POW_32)).cast("long"))
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    places = K.prefix_sums(sizes, [], ["_bucket"], ["_n"]).select("_bucket", (F.col("cum__n") - F.col("_n")).alias("_from"), F.col("cum__n").alias("_to"), "_n")
+    large = [r[0] for r in places.where(F.col("_n") > 8 * BUCKET_ROWS).select("_bucket").collect()]  # fewer than total / (8 * BUCKET_ROWS)
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", *order)) - 1
+    ranked = (rows.where(~F.col("_bucket").isin(large)) if large else rows).withColumn("_rank", rank.cast("long"))
+    if large:
+        hot = K.positions(rows.where(F.col("_bucket").isin(large)), ["_bucket"], [F.col("_h"), *order], name="_rank")
+        ranked = ranked.unionByName(hot)
+    return ranked, places.drop("_n")
+
+
 def bootstrap(df: DataFrame, n: int, key_cols: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """N rows drawn with replacement.  Rows get a dense index in seeded-hash order
-    (range-split kernel); draw j picks index floor(u(seed, j) * N); an equi-join on the
-    index brings the rows (the drawn side is ``spark.range(n)``, partitioned by Spark)."""
+    """N rows drawn with replacement.  Draw j takes place floor(u(seed, j) * N) in
+    seeded-hash order; places are counted by hash bucket, so a draw finds its bucket among the
+    bucket ranges and its row by the rank in the bucket.  Rows are shuffled once, by bucket;
+    the result is the same under any partitioning."""
     keys = _keys(df, key_cols)
     spark = df.sparkSession
     total = df.count()
     if total == 0 or n <= 0:
         return df.limit(0)
     h = hash_u32(seed, "boot-order", *keys)
-    indexed = K.positions(df.withColumn("_h", h), [], [F.col("_h"), *[named(k) for k in keys]], name="_idx")
+    rows, places = _indexed(df.withColumn("_h", h), total, [named(k) for k in keys])
+    width = max(1, total // max(1, total // BUCKET_ROWS))
+    # a bucket of the usual size covers one or two cells of ``width`` places
+    cells = places.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / width).cast("long"), F.floor((F.col("_to") - 1) / width).cast("long"))))
     draws = spark.range(n).select(
         F.floor(uniform(seed, "boot", F.col("id")) * F.lit(total)).cast("long").alias("_idx")
-    )
-    return draws.join(indexed, "_idx").select(*[named(c) for c in df.columns])
+    ).withColumn("_cell", F.floor(F.col("_idx") / width).cast("long"))
+    found = draws.join(cells, "_cell").where((F.col("_from") <= F.col("_idx")) & (F.col("_idx") < F.col("_to")))
+    found = found.select("_bucket", (F.col("_idx") - F.col("_from")).alias("_rank"))
+    return found.join(rows, ["_bucket", "_rank"]).select(*[named(c) for c in df.columns])
 
 
 def resample_to(df: DataFrame, n: int, key_cols: list[str] | None = None, seed: int = SEED) -> DataFrame:

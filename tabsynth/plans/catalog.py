@@ -373,7 +373,7 @@ def report_sql(real: str, synth: str, cols: list[str]) -> str:
     return f"""WITH ks AS ({ks}), st AS ({stats_sql(real, synth, cols)})
 SELECT 'real_rows' AS metric, CAST((SELECT count(*) FROM {real}) AS DOUBLE) AS value, 'summary' AS section,
   CAST(NULL AS VARCHAR) AS {q('column')}, {nulls6}, {nulls3}
-UNION ALL SELECT 'synthetic_rows', CAST((SELECT count(*) FROM {synth}) AS DOUBLE), 'summary', NULL, {nulls6}, {nulls3}
+UNION ALL SELECT 'generated_rows', CAST((SELECT count(*) FROM {synth}) AS DOUBLE), 'summary', NULL, {nulls6}, {nulls3}
 UNION ALL SELECT 'correlation_similarity_score', (SELECT round(greatest(0.0, 1.0 - d), 6) FROM {corr_diff_sql(real, synth, cols)}),
   'summary', NULL, {nulls6}, {nulls3}
 UNION ALL SELECT 'avg_ks_similarity', round((SELECT avg(sim_raw) FROM ks), 6), 'summary', NULL, {nulls6}, {nulls3}

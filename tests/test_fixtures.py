@@ -16,7 +16,7 @@ def test_f1_evaluation_report(spark):
     synth = spark.createDataFrame([(1, 4), (2, 4), (2, 5)], "A bigint, B bigint")
     rep = {(r["section"], r["metric"], r["column"]): r for r in E.build_evaluation_report(real, synth).collect()}
     assert rep[("summary", "real_rows", None)]["value"] == 3
-    assert rep[("summary", "synthetic_rows", None)]["value"] == 3
+    assert rep[("summary", "generated_rows", None)]["value"] == 3
     assert rep[("summary", "correlation_similarity_score", None)]["value"] == pytest.approx(0.75)
     assert rep[("summary", "avg_ks_similarity", None)]["value"] == pytest.approx(2 / 3)
     a = rep[("column_statistics", None, "A")]
