@@ -34,9 +34,9 @@ def _as_time(df: DataFrame, time_col: str):
 def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str | None = None,
                        context_columns: list[str] | None = None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     if n <= 0:
-        raise ValueError("Sample size must be positive.")
+        raise ValueError(f"cannot draw {n} rows")
     if not time_col or time_col not in df.columns:
-        raise ValueError("Sequential mode requires a valid time column.")
+        raise ValueError("a sequence needs a column of times")
     spark = df.sparkSession
     key = sequence_key if sequence_key and sequence_key in df.columns and sequence_key != time_col else None
     ctx = [c for c in (context_columns or []) if c in df.columns and c not in (key, time_col)]
@@ -51,7 +51,7 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     seqs = K._persist(K.positions(seqs, [], [F.col("_seq")], name="_si"))
     stats = seqs.agg(F.count(F.lit(1)).alias("k"), F.avg("_len").alias("m")).first()
     if not stats["k"]:
-        raise ValueError("No rows with a valid time.")
+        raise ValueError("no row has a time")
     n_seq, mean_len = stats["k"], stats["m"]
     # output sequences: enough to cover n rows (a few spare, trimmed below)
     g_count = int(n / mean_len * 1.25) + 8

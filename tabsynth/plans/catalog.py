@@ -956,8 +956,9 @@ def q_sequence_bootstrap(spark, sf):
 
 # ---- workbooks ---------------------------------------------------------------------------------
 
-def _xlsx_bytes(rows: list[list[object]]) -> bytes:
-    """Minimal one-sheet workbook with inline strings (test fixture writer)."""
+def _xlsx_bytes(sheets: dict[str, list[list[object]]]) -> bytes:
+    """Minimal workbook with inline strings; a datetime becomes a number in a date style."""
+    import datetime
     import io
     import zipfile
     from xml.sax.saxutils import escape
@@ -970,33 +971,42 @@ def _xlsx_bytes(rows: list[list[object]]) -> bytes:
             s = chr(65 + r) + s
         return s
 
-    body = []
-    for r, row in enumerate(rows, start=1):
-        cells = []
-        for c, v in enumerate(row):
-            if v is None or v == "":
-                continue
-            ref = f"{col(c)}{r}"
-            if isinstance(v, (int, float)) and not isinstance(v, bool):
-                cells.append(f'<c r="{ref}"><v>{v}</v></c>')
-            else:
-                cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>')
-        body.append(f'<row r="{r}">{"".join(cells)}</row>')
+    def sheet(rows) -> str:
+        body = []
+        for r, row in enumerate(rows, start=1):
+            cells = []
+            for c, v in enumerate(row):
+                ref = f"{col(c)}{r}"
+                if v is None or v == "":
+                    continue
+                if isinstance(v, datetime.datetime):
+                    cells.append(f'<c r="{ref}" s="1"><v>{(v - datetime.datetime(1899, 12, 30)) / datetime.timedelta(days=1)!r}</v></c>')
+                elif isinstance(v, (int, float)) and not isinstance(v, bool):
+                    cells.append(f'<c r="{ref}"><v>{v!r}</v></c>')
+                else:
+                    cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>')
+            body.append(f'<row r="{r}">{"".join(cells)}</row>')
+        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{m}"><sheetData>{"".join(body)}</sheetData></worksheet>'
+
     m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    n = range(1, len(sheets) + 1)
     parts = {
-        "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        '<Default Extension="xml" ContentType="application/xml"/>'
-        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-        '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        "[Content_Types].xml": head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>'
+        + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in n) + "</Types>",
+        "_rels/.rels": head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
         f'<Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{m}" xmlns:r="{rel}"><sheets>'
-        '<sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-        f'<Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{m}"><sheetData>{"".join(body)}</sheetData></worksheet>',
+        "xl/workbook.xml": head + f'<workbook xmlns="{m}" xmlns:r="{rel}"><sheets>'
+        + "".join(f'<sheet name="{name}" sheetId="{i}" r:id="rId{i}"/>' for i, name in zip(n, sheets)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>",
+        "xl/styles.xml": head + f'<styleSheet xmlns="{m}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+        **{f"xl/worksheets/sheet{i}.xml": sheet(rows) for i, rows in zip(n, sheets.values())},
     }
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
@@ -1005,19 +1015,70 @@ def _xlsx_bytes(rows: list[list[object]]) -> bytes:
     return buf.getvalue()
 
 
-@register("xlsx_scan", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", n_name AS "Name", CAST(n_regionkey AS BIGINT) AS "Region" FROM nation')
+def orders_workbooks(spark: SparkSession, sf: str, files: int = 4) -> str:
+    """``orders`` as workbooks written by tasks: a title row and an empty row above the header
+    of sheet "Orders" (columns in another order in every other workbook), and a second sheet
+    "Days" with key and date."""
+    folder = scratch_path(spark, "orders-xlsx")
+    make, names = _xlsx_bytes, ["ID", "status", "price", "date", "priority"]
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        order = names if k % 2 == 0 else names[::-1]
+        rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in order))]
+        days = [(r[order.index("ID")], r[order.index("date")]) for r in rows]
+        book = make({"Orders": [["Order list"], [], order, *rows], "Days": [["ID", "date"], *days]})
+        store, path = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if not folder.startswith("file://") and folder.startswith("file:/") else folder)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/orders-{k}.xlsx") as f:
+            f.write(book)
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], names=["n"])
+
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ID"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"),
+        F.col("o_orderdate").alias("date"), F.col("o_orderpriority").alias("priority"))
+    o.repartition(files, "ID").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return folder
+
+
+@register("xlsx_scan", """SELECT CAST(o_orderkey AS BIGINT) AS "ID", o_orderstatus AS status, round(o_totalprice, 2) AS price,
+ CAST(o_orderdate AS TIMESTAMP) AS date, o_orderpriority AS priority FROM orders""")
 def q_xlsx_scan(spark, sf):
-    """``nation`` as a workbook (title row and a merged-looking header above the data)."""
-    import os
-
-    folder = scratch_path(spark, "nation-xlsx")
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-    os.makedirs(local, exist_ok=True)
-    rows = [[r["n_nationkey"], r["n_name"], r["n_regionkey"]]
-            for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25-row fixture
-    with open(os.path.join(local, "nation.xlsx"), "wb") as fh:
-        fh.write(_xlsx_bytes([["Nation list", None, None], [], ["ID", "Name", "Region"], *rows]))
-    return LD.load_dataset(spark, folder, fmt="excel")[0]
+    """The first sheet of every workbook, found by place, columns aligned by name."""
+    return LD.load_dataset(spark, orders_workbooks(spark, sf), fmt="excel")[0].select("ID", "status", F.round("price", 2).alias("price"), "date", "priority")
+
+
+@register("xlsx_sheet", 'SELECT CAST(o_orderkey AS BIGINT) AS "ID", CAST(o_orderdate AS TIMESTAMP) AS date FROM orders')
+def q_xlsx_sheet(spark, sf):
+    """A sheet by its name."""
+    return LD.load_dataset(spark, orders_workbooks(spark, sf), fmt="excel", sheet="Days")[0]
+
+
+# ---- further profile and sink operators ------------------------------------------------------
+
+@register("value_counts", "SELECT o_orderpriority AS value, count(*) AS \"count\" FROM orders GROUP BY 1")
+def q_value_counts(spark, sf):
+    return P.value_counts(table(spark, sf, "orders"), "o_orderpriority")
+
+
+@register("column_type_counts", """SELECT CASE WHEN data_type IN ('VARCHAR') THEN 'categorical' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'numeric' END AS type_class,
+ CAST(count(*) AS BIGINT) AS n_columns FROM (SELECT unnest(['BIGINT', 'BIGINT', 'VARCHAR', 'DOUBLE', 'TIMESTAMP', 'VARCHAR']) AS data_type FROM (SELECT count(*) FROM orders)) GROUP BY 1""")
+def q_column_type_counts(spark, sf):
+    return P.column_type_counts(table(spark, sf, "orders"))
+
+
+@register("report_csv_sink", """SELECT 'o_totalprice' AS "column", round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 6) AS real_mean,
+ round(avg(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 6) AS synth_mean FROM orders""")
+def q_report_csv_sink(spark, sf):
+    """A report written as CSV and read again."""
+    o = table(spark, sf, "orders").select("o_totalprice", "o_orderstatus")
+    path = scratch_path(spark, "report-csv")
+    SK.write_report_csv(E.compare_column_statistics(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'")), path)
+    return R6(LD.load(spark, path, fmt="csv").select("column", "real_mean", "synth_mean"))
 
 
 # ---- set operations --------------------------------------------------------------------------

@@ -157,19 +157,10 @@ def scan_files(spark: SparkSession, path: str | list[str], sep: str | None = Non
     return Scan(recs, heads, seps)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, header_row: int | None = None,
-             variant: bool = False) -> tuple[DataFrame, IngestionDiagnostics]:
-    """S1 + S2 + S3 + S4: every file by its own (or the given) separator and header row, the
-    columns of all files by name without regard to case: those of the first file by name, then
-    further ones of the next.  Cells a file does not have are NULL; columns are text here --
-    type inference and post-processing follow in ``load``."""
-    scan = scan_files(spark, path, sep, header_row, variant)
-    parsed = written(scan.with_cells().select("file", "cells"), "csv-cells")  # split once, read by every later pass
-    sizes = parsed.select("file", F.size("cells").alias("n")).join(scan.heads.select("file", F.size("cells").alias("own")), "file")
-    sizes = sizes.groupBy("file").agg(F.max("n").alias("most"), F.count(F.when(F.col("n") > F.col("own"), 1)).alias("over"))
-    width = F.greatest(F.size("cells"), F.coalesce("most", F.lit(0)))
-    files = scan.heads.join(sizes, "file", "left").select(
-        "file", "delimiter", "header", "cells", width.alias("width"), F.coalesce("over", F.lit(0)).alias("over")).checkpoint()
+def by_name(parsed: DataFrame, files: DataFrame) -> tuple[DataFrame, int]:
+    """The cells of (file, cells) under the columns of all files, from (file, cells: the
+    header's, width), and the number of distinct headers."""
+    spark = parsed.sparkSession
     # one entry for each distinct header, in the order of the files
     layouts = files.groupBy("cells", "width").agg(F.min("file").alias("first")).orderBy("first").collect()
     columns: dict[str, str] = {}
@@ -187,7 +178,23 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None,
         place_of = files.join(places, ["cells", "width"]).select("file", "places").checkpoint()
         rows = parsed.join(place_of, "file")
         cells = [F.when(F.col("places")[i] >= 0, F.get("cells", F.col("places")[i])) for i in range(len(columns))]
-    df = rows.select(*[c.alias(n) for c, n in zip(cells, columns.values())])
+    return rows.select(*[c.alias(n) for c, n in zip(cells, columns.values())]), len(layouts)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, header_row: int | None = None,
+             variant: bool = False) -> tuple[DataFrame, IngestionDiagnostics]:
+    """S1 + S2 + S3 + S4: every file by its own (or the given) separator and header row, the
+    columns of all files by name without regard to case: those of the first file by name, then
+    further ones of the next.  Cells a file does not have are NULL; columns are text here --
+    type inference and post-processing follow in ``load``."""
+    scan = scan_files(spark, path, sep, header_row, variant)
+    parsed = written(scan.with_cells().select("file", "cells"), "csv-cells")  # split once, read by every later pass
+    sizes = parsed.select("file", F.size("cells").alias("n")).join(scan.heads.select("file", F.size("cells").alias("own")), "file")
+    sizes = sizes.groupBy("file").agg(F.max("n").alias("most"), F.count(F.when(F.col("n") > F.col("own"), 1)).alias("over"))
+    width = F.greatest(F.size("cells"), F.coalesce("most", F.lit(0)))
+    files = scan.heads.join(sizes, "file", "left").select(
+        "file", "delimiter", "header", "cells", width.alias("width"), F.coalesce("over", F.lit(0)).alias("over")).checkpoint()
+    df, layouts = by_name(parsed, files)
     first = files.orderBy("file").first()
     name = path if isinstance(path, str) else path[0]
     diag = IngestionDiagnostics(name.rstrip("/").split("/")[-1], "csv", first["header"], first["delimiter"], files=files)
@@ -195,8 +202,8 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None,
     if over:
         diag.notes.append(f"{over} lines have more cells than the header; they are in extra_* columns.")
     diag.notes.append(f"Read with separator {first['delimiter']!r}, header at row {first['header']}.")
-    if len(layouts) > 1:
-        diag.notes.append(f"{files.count()} files with {len(layouts)} headers were joined by column name.")
+    if layouts > 1:
+        diag.notes.append(f"{files.count()} files with {layouts} headers were joined by column name.")
     diag.raw_preview = scan.records.where(F.col("rec") < PREVIEW).select("file", "rec", "value").orderBy("file", "rec").limit(PREVIEW)
     return df, diag
 

@@ -1,130 +1,197 @@
 """Workbooks (S5, S5b), re-aimed as a many-workbook job.
 
-``spark.read.format("binaryFile")`` lists the workbooks; ``mapInPandas`` opens each one
-(a zip of XML parts -- standard library only) and emits its cells as rows
-(path, sheet index, sheet name, row number, cells).  Everything after that -- sheet
-choice, header detection on the left-filled head (S6), column building, typing and
-post-processing -- is ordinary DataFrame work.  A workbook is one binary file, so one
-task parses one workbook; many workbooks parse in parallel.  Legacy ``.xls`` is not read.
+``spark.read.format("binaryFile")`` lists the workbooks; ``mapInArrow`` reads each one (a zip
+of XML parts -- standard library only) as a stream and gives its cells in slices of rows
+(file, sheet index, sheet name, row number, cells).  Everything after that -- sheet choice,
+header detection on the left-filled head of each workbook (S6), columns by name, typing and
+post-processing -- is ordinary DataFrame work.  A workbook is one binary file, so one task
+reads one workbook; many workbooks are read in parallel.  Legacy ``.xls`` is not read.
+
+A number whose style is a date becomes a time: the reader marks it, and a column whose cells
+are all marked is a timestamp column.
 """
 
 from __future__ import annotations
 
 import io
 import re
-import zipfile
+import sys
 import xml.etree.ElementTree as ET
+import zipfile
+from datetime import datetime, timedelta
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import kernels as K
-from .csv import HEADER_SCAN, IngestionDiagnostics, detect_header_row_from_lines, header_names
+from ..plans.kernels import quoted
+from ..session import ensure_checkpoint_dir, written
+from .csv import HEADER_SCAN, IngestionDiagnostics, by_name, detect_headers
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library installed
 
-NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
-      "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
-      "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
-CELLS_SCHEMA = "path string, sheet int, sheet_name string, row_no long, cells array<string>"
-SEP = "\x1f"
+# Fixed values of the workbook format: name spaces, ids of the built-in date formats.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+CELLS = "file string, sheet int, sheet_name string, rec bigint, cells array<string>"
+SLICE = 4096
+MARK = "\x1e"  # before a cell that is a time
 
 
-def _col_index(ref: str) -> int:
-    letters = re.match(r"[A-Z]+", ref).group(0)
+def _column(ref: str) -> int:
     n = 0
-    for ch in letters:
-        n = n * 26 + (ord(ch) - 64)
+    for ch in re.match(r"[A-Z]+", ref)[0]:
+        n = n * 26 + ord(ch) - 64
     return n - 1
 
 
-def _sheet_rows(data: bytes):
-    """Yield (sheet index, sheet name, row number (0-based), cells) of one workbook."""
-    zf = zipfile.ZipFile(io.BytesIO(data))
-    names = set(zf.namelist())
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in names:
-        root = ET.fromstring(zf.read("xl/sharedStrings.xml"))
-        for si in root.findall("m:si", NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")))
-    wb = ET.fromstring(zf.read("xl/workbook.xml"))
-    rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
-    target = {r.get("Id"): r.get("Target") for r in rels.findall("p:Relationship", NS)}
-    for idx, sh in enumerate(wb.find("m:sheets", NS).findall("m:sheet", NS)):
-        rid = sh.get(f"{{{NS['r']}}}id")
-        part = target[rid].lstrip("/")
-        part = part if part.startswith("xl/") else f"xl/{part}"
-        root = ET.fromstring(zf.read(part))
-        for row in root.iter(f"{{{NS['m']}}}row"):
-            rnum = int(row.get("r")) - 1
+def _elements(book: zipfile.ZipFile, part: str, tag: str):
+    """The elements ``tag`` of a part one by one; each is dropped before the next."""
+    with book.open(part) as f:
+        parents = []
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                parents.append(e)
+                continue
+            parents.pop()
+            if e.tag == MAIN + tag:
+                yield e
+                parents[-1].clear()
+
+
+def _text(e) -> str:
+    return "".join(t.text or "" for t in e.iter(MAIN + "t"))
+
+
+def _is_date_code(code: str) -> bool:
+    """Whether a format code shows a date or time: a d, m, y, h or s outside quotes, brackets
+    and escapes."""
+    return bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code), re.I))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ET.fromstring(book.read("xl/styles.xml"))
+    custom = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(MAIN + "numFmt")}
+    formats = [int(x.get("numFmtId", 0)) for group in root.findall(MAIN + "cellXfs") for x in group.findall(MAIN + "xf")]
+    return {i for i, f in enumerate(formats) if (_is_date_code(custom[f]) if f in custom else f in DATE_FORMATS)}
+
+
+def _moment(serial: str, base: datetime) -> str | None:
+    """Days since ``base`` as a marked time; None if it is no number or out of range."""
+    try:
+        return MARK + (base + timedelta(seconds=round(float(serial) * 86_400, 6))).strftime("%Y-%m-%d %H:%M:%S.%f")
+    except (ValueError, OverflowError):
+        return None
+
+
+def sheet_rows(data: bytes):
+    """(sheet index, sheet name, row number from 0, cells) of one workbook, row by row.  A row
+    or cell without a reference stands after the one before it."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    names = set(book.namelist())
+    shared = [_text(e) for e in _elements(book, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
+    dates = _date_styles(book)
+    workbook = ET.fromstring(book.read("xl/workbook.xml"))
+    properties = workbook.find(MAIN + "workbookPr")
+    base = datetime(1904, 1, 1) if properties is not None and properties.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+    target = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter(PACKAGE + "Relationship")}
+    for index, sheet in enumerate(workbook.iter(MAIN + "sheet")):
+        part = target[sheet.get(RELATION)].lstrip("/")
+        at = -1
+        for row in _elements(book, part if part.startswith("xl/") else f"xl/{part}", "row"):
+            at = int(row.get("r")) - 1 if row.get("r") else at + 1
             cells: dict[int, str | None] = {}
-            for c in row.findall("m:c", NS):
-                t = c.get("t")
-                v = c.find("m:v", NS)
-                if t == "s" and v is not None:
-                    val = shared[int(v.text)]
-                elif t == "inlineStr":
-                    val = "".join(x.text or "" for x in c.iter(f"{{{NS['m']}}}t"))
-                elif t == "b" and v is not None:
-                    val = "true" if v.text == "1" else "false"
+            place = -1
+            for c in row.findall(MAIN + "c"):
+                place = _column(c.get("r")) if c.get("r") else place + 1
+                kind, v = c.get("t"), c.find(MAIN + "v")
+                if kind == "inlineStr":
+                    value = _text(c)
+                elif v is None or v.text is None:
+                    value = None
+                elif kind == "s":
+                    value = shared[int(v.text)]
+                elif kind == "b":
+                    value = "true" if v.text == "1" else "false"
+                elif kind in (None, "n") and int(c.get("s", 0)) in dates:
+                    value = _moment(v.text, base) or v.text
                 else:
-                    val = v.text if v is not None else None
-                cells[_col_index(c.get("r"))] = val
-            width = max(cells) + 1 if cells else 0
-            yield idx, sh.get("name"), rnum, [cells.get(i) for i in range(width)]
+                    value = v.text
+                cells[place] = value
+            yield index, sheet.get("name"), at, [cells.get(i) for i in range(max(cells, default=-1) + 1)]
 
 
-def _parse_batches(batches):
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for idx, name, rnum, cells in _sheet_rows(bytes(content)):
-                out.append((path, idx, name, rnum, cells))
-        yield pd.DataFrame(out, columns=["path", "sheet", "sheet_name", "row_no", "cells"])
+def _read(batches):
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string())]
+
+    def out(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "sheet", "sheet_name", "rec", "cells"])
+        rows.clear()
+        return batch
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1)):
+            rows = []
+            for row in sheet_rows(content.as_py()):
+                rows.append((path.as_py(), *row))
+                if len(rows) == SLICE:
+                    yield out(rows)
+            if rows:
+                yield out(rows)
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, sheet_name, row_no, cells) for every row of every sheet of every
-    workbook under ``path`` (file, glob or folder)."""
-    # ship this module's parser by value: Python workers need not have tabsynth installed
-    import sys
+    """(file, sheet, sheet_name, rec, cells) for every row of every sheet of every workbook
+    under ``path`` (file, glob or folder)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_read, CELLS)
 
-    from pyspark import cloudpickle
 
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_parse_batches, CELLS_SCHEMA)
+def _typed_times(df: DataFrame) -> DataFrame:
+    """Columns whose cells are all marked become times; in other columns the mark goes."""
+    row = df.agg(*[f.alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, f in (
+        ("n", F.count(quoted(c))), ("t", F.count(F.when(quoted(c).startswith(MARK), 1))))]).first()
+    out = []
+    for i, c in enumerate(df.columns):
+        bare = F.regexp_replace(quoted(c), MARK, "")
+        if row[f"t{i}"] and row[f"t{i}"] == row[f"n{i}"]:
+            out.append(bare.try_cast("timestamp_ntz").alias(c))
+        else:
+            # a time among other values: without the zeros that say nothing
+            out.append((F.when(quoted(c).startswith(MARK), F.regexp_replace(F.regexp_replace(bare, r"\.0+$", ""), " 00:00:00$", "")).otherwise(quoted(c)) if row[f"t{i}"] else quoted(c)).alias(c))
+    return df.select(*out)
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0, header_row: int | None = None,
                variant: bool = False) -> tuple[DataFrame, IngestionDiagnostics]:
-    """The chosen sheet of every workbook as text columns; header found on the
-    left-filled first 15 rows of the first workbook (S6), blank header cells become
-    ``Unnamed: i``."""
+    """The chosen sheet (by place or name) of every workbook, columns by name; each
+    workbook's header is found on its left-filled first 15 rows (S6), blank header cells become
+    ``Unnamed: i``.  Columns are text, or times where every cell is a date."""
+    ensure_checkpoint_dir(spark)
     cells = workbook_cells(spark, path)
-    cells = cells.where(F.col("sheet") == sheet) if isinstance(sheet, int) else cells.where(F.col("sheet_name") == sheet)
-    cells = K._persist(cells)  # parsed once, read by the head scan and the data select
-    first = cells.select(F.min("path")).first()[0]
+    cells = written(cells.where(F.col("sheet") == sheet if isinstance(sheet, int) else F.col("sheet_name") == sheet), "workbook-cells")  # read once
+    bare = cells.withColumn("cells", F.transform("cells", lambda c: F.nullif(c, F.lit(""))))
+    last = HEADER_SCAN if header_row is None else header_row + 1
+    # S6, for the search only: a missing cell takes the last one to its left
+    filled = F.transform("cells", lambda c, i: F.coalesce(c, F.try_element_at(F.array_compact(F.slice("cells", F.lit(1), i + 1)), F.lit(-1))))
+    head = bare.where(F.col("rec") < last)
+    if header_row is None:
+        found = detect_headers(head.where(F.size(F.array_compact("cells")) > 0).select("file", "rec", filled.alias("cells")), variant)
+    else:
+        found = head.select("file").distinct().withColumn("header", F.lit(header_row))
+    header = head.select("file", F.col("rec").cast("int").alias("header"), "cells")
+    sizes = bare.groupBy("file").agg(F.max(F.size("cells")).alias("width"))
+    files = sizes.join(found.join(header, ["file", "header"]), "file").select("file", "header", "cells", "width").checkpoint()
+    first = files.orderBy("file").first()
     if first is None:
-        raise ValueError("Uploaded file is empty.")
-    head_rows = {r["row_no"]: r["cells"] for r in
-                 cells.where((F.col("path") == first) & (F.col("row_no") < HEADER_SCAN)).collect()}  # <= 15 rows
-    n_head = (max(head_rows) + 1) if head_rows else 0
-    raw = [head_rows.get(i, []) for i in range(n_head)]
-    filled = []
-    for row in raw:  # S6: left-to-right fill, for header detection only
-        acc, last = [], None
-        for v in row:
-            last = v if v not in (None, "") else last
-            acc.append(last)
-        filled.append(SEP.join("" if v is None else v for v in acc))
-    diag = IngestionDiagnostics(file_name=path.rstrip("/").split("/")[-1], file_type="excel")
-    h = header_row if header_row is not None else detect_header_row_from_lines(spark, filled, SEP, variant, HEADER_SCAN)
-    h = 0 if h is None else h
-    diag.detected_header_row = h
-    width = cells.select(F.max(F.size("cells"))).first()[0] or 0
-    header = raw[h] if h < len(raw) else []
-    names = header_names(header, width)
-    data = cells.where(F.col("row_no") > h)
-    df = data.select(*[F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
-    diag.notes.append(f"Excel parsed with detected header row index {h}.")
-    return df, diag
+        raise ValueError(f"{path} has no header row")
+    data = bare.join(files.select("file", "header"), "file").where(F.col("rec") > F.col("header")).select("file", "cells")
+    df, layouts = by_name(data, files)
+    diag = IngestionDiagnostics(path.rstrip("/").split("/")[-1], "excel", first["header"], files=files)
+    diag.notes.append(f"Sheet {sheet!r}, header at row {first['header']}" + (f", {layouts} different headers joined by name." if layouts > 1 else "."))
+    diag.raw_preview = cells.select("file", "rec", "cells").orderBy("file", "rec").limit(10)
+    return _typed_times(df), diag
