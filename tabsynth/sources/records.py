@@ -75,9 +75,11 @@ def files_with_open_lines(lines: DataFrame, sep_of: DataFrame, seps: list[str])
     delimiter).  Within a file all lines before the first such line are whole records."""
     opened = lines.where(F.contains("value", F.lit('"'))).groupBy("file").agg(
         *[F.max(line_code(F.col("value"), s).bitwiseAND(1)).alias(f"open{i}") for i, s in enumerate(seps)])
-    found = opened.join(sep_of, "file")
-    return {s: sorted(r["file"] for r in found.where((F.col("delimiter") == s) & (F.col(f"open{i}") == 1)).select("file").collect())
-            for i, s in enumerate(seps)}
+    own = F.coalesce(*[F.when(F.col("delimiter") == s, F.col(f"open{i}") == 1) for i, s in enumerate(seps)])
+    out: dict[str, list[str]] = {s: [] for s in seps}
+    for r in opened.join(sep_of, "file").where(own).select("file", "delimiter").orderBy("file").collect():
+        out[r["delimiter"]].append(r["file"])
+    return out
 
 
 def _runs(batches):
