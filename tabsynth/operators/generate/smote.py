@@ -51,9 +51,9 @@ def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     return df.join(enc, df[f"`{col}`"].cast("string") == enc["_v"], "left").drop("_v")
 
 
-def _features(df: DataFrame, target: str) -> tuple[DataFrame, list[str], dict]:
+def _features(df: DataFrame, target: str, empty: str = "missing") -> tuple[DataFrame, list[str], dict]:
     """Impute and encode the feature columns; returns (frame with _y and f_i doubles,
-    feature names, decode info)."""
+    feature names, decode info).  A text column without values is filled with ``empty``."""
     feats = [c for c in df.columns if c != target]
     if not feats:
         raise ValueError("there is no column beside the target")
@@ -66,7 +66,7 @@ def _features(df: DataFrame, target: str) -> tuple[DataFrame, list[str], dict]:
     base = df.select(
         y,
         *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(med[c]))).alias(f"_n{i}") for i, c in enumerate(num)],
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes.get(c, "missing"))).alias(f"_s{j}") for j, c in enumerate(other)],
+        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes.get(c, empty))).alias(f"_s{j}") for j, c in enumerate(other)],
     )
     info = {"num": num, "other": other, "types": types, "levels": {}}
     if other:
@@ -145,13 +145,13 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
 
 
 def smote_balance(df: DataFrame, target: str, seed: int = SEED,
-                  k: int | None = None) -> tuple[DataFrame, list[str], dict]:
+                  k: int | None = None, empty: str = "missing") -> tuple[DataFrame, list[str], dict]:
     """Originals plus generated rows so every class has as many rows as the largest
     (encoded features, ``_y`` class label, ``_generated`` flag), the feature column names
     and the decoding information."""
     if not target or target not in df.columns:
         raise ValueError(f"there is no target column {target!r}")
-    base, fcols, info = _features(df, target)
+    base, fcols, info = _features(df, target, empty)
     base = K._persist(base)
     counts = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_cnt"))
     st = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("_cnt").alias("mn"), F.max("_cnt").alias("mx")).first()
@@ -212,13 +212,18 @@ def decode(balanced: DataFrame, df: DataFrame, target: str, fcols: list[str], in
     return out.select(*[sel[c].alias(c) for c in df.columns])
 
 
-def generate_smote(df: DataFrame, target: str, n: int, seed: int = SEED, k: int | None = None) -> DataFrame:
-    """Balance classes with SMOTE, then resize to n rows."""
+EMPTY_VARIANT = "__missing__"  # fixed value: what the variant puts into a column without values
+
+
+def generate_smote(df: DataFrame, target: str, n: int, seed: int = SEED, k: int | None = None, variant: bool = False) -> DataFrame:
+    """Balance classes with SMOTE, then resize to n rows (R5).  G2b (``variant``): a text
+    column without values becomes ``__missing__``, and the balanced rows are only ever drawn
+    without replacement, so at most all of them come back."""
     if n <= 0:
         raise ValueError(f"cannot draw {n} rows")
-    bal, fcols, info = smote_balance(df, target, seed, k)
-    decoded = decode(bal, df, target, fcols, info)
-    return resample_to(K._persist(decoded), n, None, seed)
+    bal, fcols, info = smote_balance(df, target, seed, k, EMPTY_VARIANT if variant else "missing")
+    decoded = K._persist(decode(bal, df, target, fcols, info))
+    return resample_to(decoded, min(n, decoded.count()) if variant else n, None, seed)
 
 
 __all__ = ["label_encoding", "label_encode", "knn_within_class", "smote_balance", "generate_smote", "decode",

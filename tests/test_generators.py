@@ -58,3 +58,14 @@ def test_sequences(spark, key):
 @pytest.mark.parametrize("name", ["sequence_bootstrap", "smote_generate"])
 def test_generator_queries(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_smote_variant_fills_and_never_repeats(spark):
+    from tabsynth.operators.generate.smote import generate_smote
+
+    rows = [(float(i), float(i * i % 7), None, "n" if i < 20 else "p") for i in range(26)]
+    df = spark.createDataFrame(rows, "x double, y double, note string, cls string")
+    got = generate_smote(df, "cls", 1000, variant=True)
+    assert got.count() == 40 and {r["note"] for r in got.collect()} == {"__missing__"}
+    assert generate_smote(df, "cls", 7, variant=True).count() == 7
+    assert generate_smote(df, "cls", 100).count() == 100 and {r["note"] for r in generate_smote(df, "cls", 50).collect()} == {"missing"}
