@@ -38,13 +38,14 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) ->
 
 
 def sketch(anchors: Column, size: int = 64) -> Column:
-    """The smallest ``size`` distinct 32-bit anchor hashes, in order."""
-    low = F.transform(anchors, lambda a: F.pmod(a["hash"], F.lit(1 << 32)))
+    """The smallest ``size`` distinct 32-bit anchor hashes, in order; each less 2**31, so that
+    four bytes hold it and the order stays."""
+    low = F.transform(anchors, lambda a: (F.pmod(a["hash"], F.lit(1 << 32)) - F.lit(1 << 31)).cast("int"))
     return F.slice(F.array_sort(F.array_distinct(low)), 1, size)
 
 
 def sketch_text(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(values, lambda x: F.lower(F.lpad(F.hex(x.cast("bigint") + F.lit(1 << 31)), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column, size: int = 64) -> Column:
