@@ -135,7 +135,7 @@ def test_query_matches_oracle(spark, name):
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
 
 
 def brute_pipeline(rows):
