@@ -9,35 +9,41 @@ from .profile import present
 from ..functions import typeclass as tc
 from ..functions.columns import ID_TERMS
 from ..functions.names import has_any_term
+from ..plans.kernels import to_long
 
 HIGH_CARD_RATIO = 0.6
 HIGH_CARD_MIN = 50
 
 
+SKETCH_ERROR = 0.02  # relative standard deviation of the distinct-value sketch
+
+
 def reduce_features(df: DataFrame, protected: list[str] | None = None,
                     approx: bool = False) -> tuple[DataFrame, list[str]]:
     """Drop constant columns (at most one distinct value, any type), high-cardinality
     text (distinct/rows > 0.6 and distinct > 50) and text whose name contains an id-like
-    fragment; protected columns stay.  One aggregate job (exact distinct counts, or
-    HyperLogLog++ with ``approx``); dropped names keep schema order."""
+    fragment; protected columns stay.  Dropped names keep schema order.
+
+    One aggregate pass: a column is constant where its smallest value is its largest; text has a
+    mergeable sketch of its distinct values.  Only text whose sketch lies within six standard
+    deviations of a limit is counted exactly (never with ``approx``)."""
     protected = set(protected or [])
-    cols = df.columns
-    cnt = F.approx_count_distinct if approx else F.countDistinct
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[cnt(present(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    rows = row["_rows"]
+    free = [(i, c) for i, c in enumerate(df.columns) if c not in protected]
     text = set(tc.text_columns(df))
-    dropped = []
-    for i, c in enumerate(cols):
-        if c in protected:
-            continue
-        n = row[f"d{i}"]
-        if n <= 1:
-            dropped.append(c)
-        elif c in text and (n / max(1, rows) > HIGH_CARD_RATIO and n > HIGH_CARD_MIN):
-            dropped.append(c)
-        elif c in text and has_any_term(c, ID_TERMS):
-            dropped.append(c)
-    return df.select(*[F.col(f"`{c}`") for c in cols if c not in dropped]), dropped
+    judged = [(i, c) for i, c in free if c in text and not has_any_term(c, ID_TERMS)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.min(present(df, c)).eqNullSafe(F.max(present(df, c))).alias(f"same{i}") for i, c in free],
+                 *[F.approx_count_distinct(present(df, c), SKETCH_ERROR).alias(f"d{i}") for i, c in judged]).first()
+    limit = max(HIGH_CARD_RATIO * max(1, row["rows"]), HIGH_CARD_MIN)
+    distinct = {c: row[f"d{i}"] for i, c in judged if not row[f"same{i}"]}
+    near = [c for c, n in distinct.items() if abs(n - limit) <= 6 * SKETCH_ERROR * max(n, limit)]
+    if near and not approx:
+        held = df.select(*[present(df, c).alias(f"v{j}") for j, c in enumerate(near)])
+        values = to_long(held, held.columns, "string").where(F.col("value").isNotNull()).distinct()
+        exact = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        distinct.update({c: exact[f"v{j}"] for j, c in enumerate(near)})
+    dropped = [c for i, c in free if row[f"same{i}"] or (c in text and (c not in distinct or distinct[c] > limit))]
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in dropped]), dropped
 
 
 def reinject_columns(synth: DataFrame, original: DataFrame, dropped: list[str]) -> DataFrame:

@@ -41,7 +41,9 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     key = sequence_key if sequence_key and sequence_key in df.columns and sequence_key != time_col else None
     ctx = [c for c in (context_columns or []) if c in df.columns and c not in (key, time_col)]
     base = df.withColumn(time_col, _as_time(df, time_col)).where(F.col(f"`{time_col}`").isNotNull())
-    base = base.withColumn("_seq", F.col(f"`{key}`").cast("string") if key else F.lit("all"))
+    # rows without a key are one sequence of their own, before all others
+    named = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("")) if key else F.lit("all")
+    base = base.withColumn("_seq", named)
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     ranked = K.positions(base.withColumn("_tie", tie), ["_seq"], [F.col(f"`{time_col}`"), F.col("_tie")], name="_p")
     ranked = K._persist(ranked)
@@ -73,19 +75,15 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     b = F.floor(F.col("_j") / F.lit(block)).cast("long")
     off = F.floor(uniform(seed, "seq-block", F.col("_g"), b) * (F.col("_len") - blen + 1)).cast("long")
     rows = rows.select("*", F.least(off + F.col("_j") % F.lit(block), F.col("_len") - 1).alias("_p"))
-    gaps = ranked.select(
-        "_seq", "_p", *[F.col(f"`{c}`") for c in df.columns if c != time_col],
-        F.col(f"`{time_col}`").alias("_t"),
-    )
-    src = rows.join(gaps, ["_seq", "_p"])
-    # observed gap before the source position (first position: no gap)
-    prev = ranked.select("_seq", (F.col("_p") + 1).alias("_p"), F.col(f"`{time_col}`").alias("_tprev"))
-    src = src.join(prev, ["_seq", "_p"], "left")
-    ntz = T.TimestampNTZType()
-    gap_s = F.when(F.col("_j") == 0, F.lit(0)).otherwise(
-        F.coalesce(epoch_micros(F.col("_t"), ntz) - epoch_micros(F.col("_tprev"), ntz), F.lit(0)))
-    src = src.withColumn("_gap", gap_s)
-    cum = K.prefix_sums(src, ["_g"], [F.col("_j")], ["_gap"], prefix="_cum")
+    # the gap before each source position (none before the first) and its running sum: times and
+    # numbers only, so that the other columns are moved once, in the last join
+    times = ranked.select("_seq", "_p", epoch_micros(F.col(f"`{time_col}`"), T.TimestampNTZType()).alias("_at"))
+    before = times.select("_seq", (F.col("_p") + 1).alias("_p"), F.col("_at").alias("_prev"))
+    gaps = times.join(before, ["_seq", "_p"], "left").select("_seq", "_p", F.coalesce(F.col("_at") - F.col("_prev"), F.lit(0)).alias("_step"))
+    placed = rows.join(gaps, ["_seq", "_p"]).withColumn("_gap", F.when(F.col("_j") == 0, F.lit(0)).otherwise(F.col("_step")))
+    cum = K.prefix_sums(placed.select("_g", "_j", "_seq", "_p", "_t0", "_gap", *held), ["_g"], [F.col("_j")], ["_gap"], prefix="_cum")
+    payload = ranked.select("_seq", "_p", *[F.col(f"`{c}`") for c in df.columns if c != time_col])
+    cum = cum.join(payload, ["_seq", "_p"])
     new_t = F.timestamp_add("MICROSECOND", F.col("_cum_gap"), F.col("_t0").cast("timestamp_ntz")).cast(
         tc.field_type(df, time_col) if tc.is_datetime(tc.field_type(df, time_col)) else "timestamp_ntz")
     sel = []

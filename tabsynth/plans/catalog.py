@@ -948,7 +948,22 @@ def q_smote_generate(spark, sf):
     return G2.generate_smote(d, "quality", d.count())
 
 
-@register("sequence_bootstrap")
+@register("sequence_bootstrap", f"""WITH r AS (SELECT *, epoch_us(ts) AS t, row_number() OVER w - 1 AS p,
+        coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0) AS gap
+      FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS si, count(*) OVER () AS k
+      FROM (SELECT coalesce('k' || CAST(user_id AS VARCHAR), '') AS name, user_id, count(*) AS len, min(t) AS t0, arg_min(props, p) AS first_props
+            FROM r GROUP BY ALL)),
+n AS (SELECT count(*) AS n FROM events),
+g AS (SELECT range AS g, CAST(floor({uniform_sql('seq-src', 'range')} * (SELECT max(k) FROM s)) AS BIGINT) AS si
+      FROM range((SELECT n FROM n))),
+o AS (SELECT g.g, s.*, sum(len) OVER (ORDER BY g.g) - len AS begun FROM g JOIN s ON g.si = s.si),
+j AS (SELECT o.*, unnest(range(CAST(least(len, n.n - begun) AS BIGINT))) AS j FROM o, n WHERE begun < n.n),
+b AS (SELECT *, least(CAST(floor({uniform_sql('seq-block', "CAST(g AS VARCHAR) || ':' || CAST(j // 8 AS VARCHAR)")} * (len - least(8, len) + 1)) AS BIGINT)
+      + j % 8, len - 1) AS p FROM j)
+SELECT r.event_id, make_timestamp(CAST(b.t0 + sum(CASE WHEN b.j = 0 THEN 0 ELSE r.gap END) OVER (PARTITION BY b.g ORDER BY b.j) AS BIGINT)) AS ts,
+       b.g AS user_id, r.event_type, r.value, b.first_props AS props
+FROM b JOIN r ON r.user_id IS NOT DISTINCT FROM b.user_id AND r.p = b.p""")
 def q_sequence_bootstrap(spark, sf):
     ev = table(spark, sf, "events")
     return G4.generate_sequences(ev, ev.count(), "ts", sequence_key="user_id", context_columns=["props"])

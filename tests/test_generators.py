@@ -55,7 +55,40 @@ def test_sequences(spark, key):
         assert out.groupBy(key).agg(F.count_distinct("o_orderpriority").alias("n")).agg(F.max("n")).first()[0] == 1
 
 
-@pytest.mark.parametrize("name", ["sequence_bootstrap", "smote_generate"])
+def test_rows_without_a_key_are_a_sequence(spark):
+    rows = [(None if i % 3 else 7, datetime(2024, 1, 1, i % 24, i), f"v{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, t timestamp_ntz, v string")
+    got = generate_sequences(df, 200, "t", "k")
+    assert got.count() == 200 and {r["v"] for r in got.collect()} <= {f"v{i}" for i in range(30)}
+    lone = generate_sequences(df.where("k is null"), 50, "t", "k")
+    assert lone.count() == 50
+
+
+def test_sequences_stay_in_order_and_repeat(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    first = generate_sequences(ev, 500, "ts", "user_id")
+    again = generate_sequences(ev.repartition(13), 500, "ts", "user_id")
+    assert sorted(first.collect()) == sorted(again.collect())
+    steps = first.selectExpr("user_id", "ts", "lag(ts) over (partition by user_id order by ts) as before")
+    assert steps.where("before > ts").count() == 0
+
+
+def test_feature_reduction_near_the_limit(spark):
+    from tabsynth.operators.features import reduce_features
+
+    n = 1000
+    df = spark.range(n).selectExpr("id as n", "'x' as same", "cast(null as string) as none", "cast(id % 600 as string) as at_limit",
+                                   "cast(id % 601 as string) as over", "cast(id % 50 as string) as few", "cast(id % 610 as string) as `dotted.over`",
+                                   "cast(id as string) as kept", "cast('nan' as double) as nothing", "0.0D * (id - 5) as zeros")
+    out, dropped = reduce_features(df, ["kept"])
+    assert dropped == ["same", "none", "over", "dotted.over", "nothing", "zeros"]
+    assert out.columns == ["n", "at_limit", "few", "kept"] and out.count() == n
+    small = spark.range(51).selectExpr("cast(id % 50 as string) as fifty", "cast(id as string) as more")
+    assert reduce_features(small)[1] == ["more"]
+    assert reduce_features(df.limit(0))[0].columns == []
+
+
+@pytest.mark.parametrize("name", ["copula_sample", "full_pipeline", "smote_generate"])
 def test_generator_queries(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
