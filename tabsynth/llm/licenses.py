@@ -1,7 +1,8 @@
 """Licence notices by a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines and, for notices that are wrapped, blocks of lines between blank ones.  A
-multinomial logistic regression on hashed word 1- and 2-grams tells the licence families and an
+Paragraphs are lines and, for notices that are wrapped, blocks of lines between blank ones.  Where
+one reaches a template, the span of words that holds most of it is classified instead of the
+whole, so prose around a notice does not count (``spans``).  A multinomial logistic regression on hashed word 1- and 2-grams tells the licence families and an
 unknown class apart; a second regression on held-out rows turns its margin into a calibrated
 probability; a family is confirmed when the paragraph holds enough of the word pairs of one of
 its templates.  What can be confirmed is always scored: to hold that share of a template's pairs,
@@ -32,6 +33,10 @@ TEMPLATES = [
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -89,10 +94,39 @@ def reached(pairs: Column, parts: list[list[str]], least_coverage: float) -> Col
         forms, lambda t: F.size(F.array_intersect(t["parts"], own)) / F.size(t["parts"]) >= least_coverage), lambda t: t["template"]))
 
 
+def spans(pairs: Column, at: Column, parts: list[list[str]]) -> Column:
+    """Of each template numbered in ``at``, the leftmost stretch of ``pairs``, at most twice as
+    long as the template, that holds most of its pairs: structs (coverage, order, template,
+    start, end), end exclusive.  Of overlapping ones the best stays; ties go to the first
+    template.  Every place is the start of one stretch and looks at most at the places after it
+    that the stretch can hold, so long texts cost no more a word than short ones."""
+    forms = F.array(*[F.struct(F.lit(i).alias("template"), F.array(*map(F.lit, p)).alias("parts")) for i, p in enumerate(parts)])
+
+    def best(t, own):
+        reach = 2 * F.size(t["parts"])
+        every = F.filter(F.transform(own, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.array_contains(t["parts"], x["p"]))
+
+        def stretch(places, x, k):
+            inside = F.filter(F.slice(places, k + 1, reach), lambda y: y["i"] < x["i"] + reach)
+            return once(inside, lambda held: F.struct(
+                (F.size(F.array_distinct(F.transform(held, lambda y: y["p"]))) / F.size(t["parts"])).alias("coverage"),
+                (-x["i"]).alias("left"), (-F.size(held)).alias("held"), (F.element_at(held, -1)["i"] + 1).alias("end")))
+        top = once(every, lambda places: F.array_max(F.transform(places, lambda x, k: stretch(places, x, k))))
+        return once(top, lambda b: F.struct(b["coverage"].alias("coverage"), (-t["template"]).alias("order"), t["template"].alias("template"),
+                                            (-b["left"]).alias("start"), b["end"].alias("end")))
+
+    def better(b, a):
+        return (b["start"] < a["end"]) & (a["start"] < b["end"]) & (
+            (b["coverage"] > a["coverage"]) | ((b["coverage"] == a["coverage"]) & (b["order"] > a["order"])))
+    found = once(pairs, lambda own: F.transform(F.filter(forms, lambda t: F.array_contains(at, t["template"])), lambda t: best(t, own)))
+    return once(found, lambda all_: F.filter(all_, lambda a: ~F.exists(all_, lambda b: better(b, a))))
+
+
 def paragraphs(docs: DataFrame, parts: list[list[str]], least_coverage: float) -> DataFrame:
-    """(doc_id, paragraph, n_lines, words, pairs, by_line) from (doc_id, text): every line that has
-    a cue word or reaches a template, and every block of several lines that reaches one which none
-    of its lines does; ``by_line`` are those that its lines reach."""
+    """(doc_id, paragraph, n_lines, start, words, pairs, by_line) from (doc_id, text): every line
+    that has a cue word or reaches a template, and every block of several lines that reaches one
+    which none of its lines does; ``by_line`` are those that its lines reach.  A line or block that
+    reaches templates gives a row for each of their ``spans``, from its word number ``start``."""
     maybe = pair_filter(parts, least_coverage)
 
     def kept(text):
@@ -114,11 +148,17 @@ def paragraphs(docs: DataFrame, parts: list[list[str]], least_coverage: float) -
     blocks = blocks.withColumn("held", F.transform("lines", held)).withColumn("by_line", F.array_distinct(F.flatten("held")))
     single = blocks.select("doc_id", "none", "first", F.posexplode(F.arrays_zip("lines", "held")).alias("k", "line"))
     single = single.where(F.col("line.lines").rlike(CUE) | (F.size("line.held") > 0)).select(
-        "doc_id", (F.col("first") + F.col("k")).alias("paragraph"), F.lit(1).alias("n_lines"), F.col("line.lines").alias("text"), F.col("none").alias("by_line"))
-    whole = blocks.where("size(lines) > 1").withColumn("text", F.array_join("lines", "\n")).where(F.size(F.array_except(held(F.col("text")), F.col("by_line"))) > 0)
-    whole = whole.select("doc_id", F.col("first").alias("paragraph"), F.size("lines").alias("n_lines"), "text", "by_line")
+        "doc_id", (F.col("first") + F.col("k")).alias("paragraph"), F.lit(1).alias("n_lines"), F.col("line.lines").alias("text"), F.col("none").alias("by_line"), F.col("line.held").alias("reached"))
+    whole = blocks.where("size(lines) > 1").withColumn("text", F.array_join("lines", "\n"))
+    whole = whole.withColumn("reached", F.array_except(held(F.col("text")), F.col("by_line"))).where("size(reached) > 0")
+    whole = whole.select("doc_id", F.col("first").alias("paragraph"), F.size("lines").alias("n_lines"), "text", "by_line", "reached")
     rows = single.unionByName(whole).withColumn("words", words_of(F.col("text"))).where("size(words) > 0")
-    return rows.withColumn("pairs", pairs_of("words")).drop("text")
+    rows = rows.select("doc_id", "paragraph", "n_lines", "by_line", "words", F.explode_outer(F.when(
+        F.size("reached") > 0, spans(pairs_of("words"), F.col("reached"), parts))).alias("span"))
+    start = F.coalesce(F.col("span.start"), F.lit(0))
+    part = F.when(F.col("span").isNull(), F.col("words")).otherwise(F.slice("words", start + 1, F.col("span.end") - start + 1))
+    rows = rows.select("doc_id", "paragraph", "n_lines", "by_line", start.alias("start"), part.alias("words"))
+    return rows.withColumn("pairs", pairs_of("words"))
 
 
 def _draw(*what) -> Column:
@@ -175,10 +215,12 @@ def _margins(scored: DataFrame) -> DataFrame:
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, least_probability: float = 0.5, least_coverage: float = 0.6) -> DataFrame:
-    """One row for each line with a cue word or enough of a template's word pairs, and for each
-    block of several lines that has enough of a template which no line of it has: doc_id,
-    paragraph (number of its first line from 0), family, predicted, probability, coverage,
-    template, confirmed, n_lines.  family is the predicted one where the calibrated probability
+    """One row for each line with a cue word, for each span of a line that holds most of a
+    template, and for each such span of a block of several lines whose template no line has:
+    doc_id, paragraph (number of the first line from 0), family, predicted, probability, coverage,
+    template, confirmed, n_lines, start and n_words (the span in words of the line or block).  A
+    template is looked for once in a line or block, at its best and leftmost place; of equal
+    probabilities the classifier takes the first family by name.  family is the predicted one where the calibrated probability
     and the share of a template's word pairs both reach their bounds, else ``unknown``.  Null and
     empty texts have no such lines; repeated rows repeat theirs; other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), blank("text").alias("text"))
@@ -186,7 +228,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, least_probability: float
     lines = paragraphs(docs, template_pairs(spark), least_coverage).withColumn("grams", F.concat("words", "pairs"))
     scored = calibrate.transform(_margins(classify.transform(lines)))
     names = F.array(*[F.lit(f) for f in _families()])
-    scored = scored.select("doc_id", "paragraph", "n_lines", "pairs", "by_line", names[F.col("prediction").cast("int")].alias("predicted"),
+    scored = scored.select("doc_id", "paragraph", "n_lines", "start", F.size("words").alias("n_words"), "pairs", "by_line", names[F.col("prediction").cast("int")].alias("predicted"),
                            vector_to_array("calibrated")[1].alias("probability"))
     by_family = F.broadcast(templates(spark).groupBy(F.col("family").alias("predicted")).agg(F.collect_list(F.struct("template", F.col("pairs").alias("parts"))).alias("forms")))
     own = F.filter("forms", lambda t: ~F.array_contains(F.col("by_line"), t["template"]))
@@ -197,4 +239,4 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, least_probability: float
     confirmed = (F.col("probability") >= least_probability) & (F.coalesce(F.col("best.coverage"), F.lit(0.0)) >= least_coverage)
     return out.select("doc_id", "paragraph", F.when(confirmed, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted",
                       F.round("probability", 6).alias("probability"), F.round(F.coalesce("best.coverage", F.lit(0.0)), 6).alias("coverage"),
-                      (-F.col("best.order")).alias("template"), confirmed.alias("confirmed"), "n_lines")
+                      (-F.col("best.order")).alias("template"), confirmed.alias("confirmed"), "n_lines", "start", "n_words")

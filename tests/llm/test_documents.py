@@ -355,7 +355,7 @@ def test_license_lines_without_cue_and_wrapped_notices(spark, docs):
     mit, gpl = licenses.TEMPLATES[1][1].split(), licenses.TEMPLATES[5][1].split()
     wrapped = "\n".join(" ".join(mit[i:i + 7]) for i in range(0, len(mit), 7))
     header = "\n".join("# " + " ".join(gpl[i:i + 9]) for i in range(0, len(gpl), 9))
-    bsd = licenses.TEMPLATES[10][1].split(" ", 1)[1]
+    bsd = next(t for f, t in licenses.TEMPLATES if f == "BSD-3-Clause").split(" ", 1)[1]
     texts = {1: "x y z\n\nunder CC BY-NC 4.0", 2: "Released under the MIT", 3: bsd, 4: f"some words first\n\n{wrapped}\n\nand after", 5: header,
              6: "She had the permission of the owner.\nHis licence was taken away"}
     extra = spark.createDataFrame([(10**9 + i, t, "en", None, len(t)) for i, t in texts.items()], docs.schema)
@@ -364,6 +364,64 @@ def test_license_lines_without_cue_and_wrapped_notices(spark, docs):
     assert got == {(1, 2, 1): "CC-BY-NC-4.0", (2, 0, 1): "MIT", (3, 0, 1): "BSD-3-Clause", (4, 2, wrapped.count("\n") + 1): "MIT", (5, 0, header.count("\n") + 1): "GPL-3.0"}
 
 
+def _span_by_hand(pairs, parts):
+    """(coverage, start, end) of the best, then leftmost, then shortest stretch."""
+    places = [(i, p) for i, p in enumerate(pairs) if p in parts]
+    found = []
+    for i, _ in places:
+        held = [(j, p) for j, p in places if i <= j < i + 2 * len(parts)]
+        found.append((len({p for _, p in held}) / len(parts), -i, held[-1][0] + 1))
+    best = max(found)
+    return best[0], -best[1], best[2]
+
+
+def test_license_spans_by_brute_force(spark):
+    import random
+
+    import pyspark.sql.functions as F
+
+    parts, draw = licenses.template_pairs(spark), random.Random(3)
+    rows = []
+    for i in range(40):
+        t = draw.randrange(len(parts))
+        words = " ".join(p.split()[0] for p in parts[t]).split() + [parts[t][-1].split()[-1]]
+        foreign = [draw.choice(["red", "house", "license", "the", "under", "version"]) for _ in range(draw.randrange(300))]
+        cut = draw.randrange(len(foreign) + 1)
+        text = foreign[:cut] + [w for w in words if draw.random() > 0.1] + foreign[cut:] + (words if i % 3 == 0 else [])
+        rows.append((i, t, text))
+    df = spark.createDataFrame(rows, "i int, t int, words array<string>").withColumn("pairs", licenses.pairs_of("words"))
+    got = df.withColumn("span", licenses.spans(F.col("pairs"), F.array("t"), parts)[0]).collect()
+    for r in got:
+        want = _span_by_hand(r["pairs"], parts[r["t"]])
+        assert (r["span"]["coverage"], r["span"]["start"], r["span"]["end"]) == want
+    far = spark.createDataFrame([(["a b", "b c"],)], "pairs array<string>").select(licenses.spans(F.col("pairs"), F.array().cast("array<int>"), parts).alias("s"))
+    assert far.first()["s"] == []
+
+
+def test_licenses_amid_prose_and_siblings(spark, docs):
+    prose = " ".join(r["text"].replace("\n", " ") for r in docs.where("lang = 'en' and n_chars < 3000").orderBy("doc_id").limit(4).collect())[:4000]
+    texts, want = {}, {}
+    for i, (family, notice) in enumerate(licenses.TEMPLATES):
+        words = notice.split()
+        wrapped = "\n".join(" ".join(words[k:k + 8]) for k in range(0, len(words), 8))
+        texts[3 * i] = f"{prose} {notice} {prose}"
+        texts[3 * i + 1] = f"{prose}\n{wrapped}\n{prose}"
+        texts[3 * i + 2] = f"# {notice}"
+        want.update({3 * i + k: {family} for k in range(3)})
+    two = f"{prose} {licenses.TEMPLATES[1][1]} {prose} {licenses.TEMPLATES[5][1]} {prose}"
+    texts[10**6], want[10**6] = two, {"MIT", "GPL-3.0"}
+    texts[10**6 + 1] = f"{'word of the ' * 100_000}{licenses.TEMPLATES[1][1]}"
+    want[10**6 + 1] = {"MIT"}
+    extra = spark.createDataFrame([(10**9 + i, t, "en", None, len(t)) for i, t in texts.items()], docs.schema)
+    rows = licenses.scan_licenses(spark, docs.union(extra)).where(f"doc_id >= {10**9}").collect()
+    got = {}
+    for r in rows:
+        if r["confirmed"]:
+            got.setdefault(r["doc_id"] - 10**9, []).append(r["family"])
+    assert {k: set(v) for k, v in got.items()} == want
+    assert all(len(got[k]) == len(want[k]) for k in want)
+
+
 # language model
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
