@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -31,7 +32,29 @@ MARKS = r"!-&(-/:-@\[-`{-~"
 #: Cuts a text only where the byte-level pre-tokenisers cut too, so chunks encode on their own.
 CHUNK = (rf" ?[{LETTERS}]+(?=[ \n{MARKS}]|\Z)| ?[{MARKS}]+(?=[ \n{LETTERS}]|\Z)"
          rf"| ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-MEMO = 400_000  # chunks remembered by a worker
+MEMO = 400_000  # chunks of one generation; a worker remembers two
+
+
+class Recent(dict):
+    """Values by key, made when first asked for.  A full generation becomes the old one and the
+    old one goes, but for keys asked for again, so what is frequent stays and memory is bounded."""
+
+    def __init__(self, make, size: int = MEMO):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 class ChunkEncoder:
@@ -45,19 +68,25 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks, self.memo = re.compile(CHUNK), {}
+        self.chunks, self.memo = re.compile(CHUNK), Recent(self._whole)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [None if any(s in t for s in self.special) else self.chunks.findall(t) for t in texts]
-        fresh = list({c for p in parts if p for c in p if c not in self.memo})
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list({c for p in parts if p for c in p})
+        coded = dict.fromkeys(chain.from_iterable(p for p in parts if p))  # one look at the memo for a chunk
+        known = self.memo.get
+        for c in coded:
+            coded[c] = known(c)
+        for c in [c for c, ids in coded.items() if ids is None]:
+            ids = coded[c] = self.memo.old.pop(c, None)
+            if ids is not None:
+                self.memo.keep(c, ids)
+        fresh = [c for c, ids in coded.items() if ids is None]
         for i in range(0, len(fresh), 1024):
             some = fresh[i:i + 1024]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[c] = array("I", e.ids).tobytes()
-        get = self.memo.__getitem__
+                coded[c] = array("I", e.ids).tobytes()
+                self.memo.keep(c, coded[c])
+        get = coded.__getitem__
         return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
     def _whole(self, text: str) -> bytes:
