@@ -12,16 +12,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blank
-from .packing import CHUNK
+from .packing import CHUNK, Recent
 
 CODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-STATES, PIECES = 200_000, 400_000  # kept by a worker; beyond, the tables start anew
+STATES = 200_000  # kept by a worker; beyond, the table starts anew
+NEVER = 1 << 60
 
 
 def read_ranks(text: bytes) -> dict[bytes, int]:
@@ -31,75 +34,123 @@ def read_ranks(text: bytes) -> dict[bytes, int]:
 class BpeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: t for t, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        self.step: dict[int, int] = {}  # node << 8 | byte: the node below
+        self.token, inner = [-1], {0}
         for t, i in ranks.items():
             node = 0
             for b in t:
-                nxt = self.children[node].get(b)
-                if nxt is None:
-                    nxt = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                inner.add(node)
+                nxt = self.step.setdefault(node << 8 | b, len(self.token))
+                if nxt == len(self.token):
                     self.token.append(-1)
                 node = nxt
             self.token[node] = i
-        self.alone: dict[int, bool] = {}
+        self.leaf = bytearray(n not in inner for n in range(len(self.token)))
+        self.edges: dict[int, tuple | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self):
         start = ((0, -1, ()),)
         self.states, self.numbers = [start], {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple]] = {}  # state << 8 | byte: the next state, the tokens sure by then
 
-    def merged(self, data: bytes) -> list[int]:
-        """The defining procedure on a short string: merge the lowest rank, leftmost first."""
+    def merged(self, data: bytes, steps: list | None = None) -> list[int]:
+        """The defining procedure on a short string: merge the lowest rank, leftmost first.
+        ``steps`` receives (rank, first part, last part) of every merge."""
         parts = [data[i:i + 1] for i in range(len(data))]
         while True:
-            best = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
+            best = min(((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(NEVER, 0))
+            if best[0] == NEVER:
                 return [self.ranks[p] for p in parts]
             parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            if steps is not None:
+                steps.append((best[0], parts[0], parts[-1]))
+
+    def _edges(self, token: int):
+        """How the first and the last part of the token grow: two lists of (part, rank of the
+        merge that ends it).  () if its bytes merge to something else, None if its merges do not
+        come in the order of their ranks."""
+        got = self.edges.get(token, self)
+        if got is not self:
+            return got
+        data, steps = self.bytes_of[token], []
+        if self.merged(data, steps) != [token]:
+            got = ()
+        elif any(a[0] > b[0] for a, b in zip(steps, steps[1:])):
+            got = None
+        else:
+            got = ([], [])
+            for edge, part, at in ((got[0], data[:1], 1), (got[1], data[-1:], 2)):
+                for step in steps:
+                    if step[at] != part:
+                        edge.append((part, step[0]))
+                        part = step[at]
+                edge.append((part, NEVER))
+        self.edges[token] = got
+        return got
+
+    def _apart(self, before: int, token: int) -> bool:
+        """Whether the bytes of both merge to just these two: no last part of the first ever
+        merges with a first part of the second while both are there."""
+        left, right = self._edges(before), self._edges(token)
+        if not left or not right:
+            return self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        left, right, i, j, rank = left[1], right[0], 0, 0, self.ranks.get
+        while True:
+            (a, left_ends), (b, right_ends) = left[i], right[j]
+            joint = rank(a + b, NEVER)
+            if joint < left_ends and joint <= right_ends and joint < NEVER:
+                return False
+            if left_ends <= right_ends:
+                if left_ends == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _stands(self, before: int, token: int) -> bool:
         """Whether ``token`` can come out of merging, and stays apart from the token before."""
-        ok = self.alone.get(token)
-        if ok is None:
-            ok = self.alone[token] = self.merged(self.bytes_of[token]) == [token]
-        if not ok or before < 0:
-            return ok
+        if self._edges(token) == ():
+            return False
+        if before < 0:
+            return True
         ok = self.pairs.get((before, token))
         if ok is None:
             if len(self.pairs) > 4 * STATES:
                 self.pairs.clear()
-            ok = self.pairs[before, token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            ok = self.pairs[before, token] = self._apart(before, token)
         return ok
 
     def _move(self, number: int, byte: int) -> tuple[int, tuple]:
-        live, done = [], None
+        live, done, below, token_at, leaf = [], None, self.step.get, self.token, self.leaf
         for node, last, pending in self.states[number]:
-            node = self.children[node].get(byte)
+            node = below(node << 8 | byte)
             if node is None:
                 continue
-            live.append((node, last, pending))
-            token = self.token[node]
-            if done is None and token >= 0 and self._stands(last, token):
-                done = (0, token, (*pending, token))
+            if not leaf[node]:
+                live.append((node, last, pending))
+            if done is None:
+                token = token_at[node]
+                if token >= 0 and self._stands(last, token):
+                    done = (0, token, (*pending, token))
         live.append(done)
-        live = [x for x in live if x[0] == 0 or self.children[x[0]]]
-        sure = 0
-        shortest = min(len(p) for _, _, p in live)
-        while sure < shortest and len({p[sure] for _, _, p in live}) == 1:
-            sure += 1
-        out = live[0][2][:sure]
-        state = tuple((n, t, p[sure:]) for n, t, p in live)
+        first = live[0][2]
+        sure = len(first)
+        for _, _, p in live:
+            k, most = 0, min(sure, len(p))
+            while k < most and p[k] == first[k]:
+                k += 1
+            sure = k
+            if not sure:
+                break
+        state = tuple([(n, t, p[sure:]) for n, t, p in live] if sure else live)
         target = self.numbers.get(state)
         if target is None:
             target = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
-        self.moves[number][byte] = target, out
-        return target, out
+        move = self.moves[number << 8 | byte] = target, first[:sure]
+        return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The tokens of one pre-token; a piece that is itself in the vocabulary is that token."""
@@ -109,11 +160,11 @@ class BpeTransducer:
         if len(self.states) > STATES:
             self._reset()
         out: list[int] = []
-        state = 0
+        state, moves = 0, self.moves.get
         for byte in piece:
-            move = self.moves[state].get(byte) or self._move(state, byte)
-            state = move[0]
-            out += move[1]
+            state, sure = moves(state << 8 | byte) or self._move(state, byte)
+            if sure:
+                out += sure
         if piece:
             out += self.states[state][-1][2]  # the boundary at the end of the piece
         return out
@@ -127,19 +178,18 @@ class TextEncoder:
         import regex
 
         self.machine, self.pattern = BpeTransducer(ranks), regex.compile(pattern)
-        self.chunks, self.memo = re.compile(CHUNK), {}
+        self.chunks, self.memo = re.compile(CHUNK), Recent(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        encode = self.machine.encode_piece
+        return array("I", [t for p in self.pattern.findall(chunk) for t in encode(p.encode())]).tobytes()
+
+    def coded(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        return b"".join(map(self.memo.__getitem__, self.chunks.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        if len(self.memo) > PIECES:
-            self.memo.clear()
-        memo = self.memo
-        for chunk in self.chunks.findall(text):
-            got = memo.get(chunk)
-            if got is None:
-                got = memo[chunk] = tuple(t for p in self.pattern.findall(chunk) for t in self.machine.encode_piece(p.encode()))
-            ids += got
-        return ids
+        return memoryview(self.coded(text)).cast("I").tolist()
 
 
 def _utf8_moves() -> list[list[int]]:
@@ -166,7 +216,10 @@ class StreamDecoder:
         self.vocabulary, self.moves, self.waiting = vocabulary, _utf8_moves(), b""
 
     def feed(self, ids: list[int]) -> str:
-        data = self.waiting + b"".join(map(self.vocabulary.__getitem__, ids))
+        return self.feed_bytes(b"".join(map(self.vocabulary.__getitem__, ids)))
+
+    def feed_bytes(self, data: bytes) -> str:
+        data = self.waiting + data
         cut = len(data)
         for back in range(1, min(3, cut) + 1):  # only the last three bytes can be unfinished
             if data[cut - back] >= 0xC0:
@@ -185,22 +238,29 @@ class StreamDecoder:
         return rest.decode("utf-8", "replace")
 
 
+def _table(values: dict) -> np.ndarray:
+    out = np.empty(max(values, default=-1) + 1, object)
+    for i, v in values.items():
+        out[i] = v
+    return out
+
+
 def _coded(shared, portion: int = 4096):
     def run(batches):
         state = shared.value
         encoder = state.get("encoder") or state.setdefault("encoder", TextEncoder(read_ranks(state["ranks"]), state["pattern"]))
         vocabulary = encoder.machine.bytes_of
-        names = state.get("names") or state.setdefault("names", {i: str(i) for i in vocabulary})
+        names, tokens = state.get("tables") or state.setdefault("tables", (_table({i: str(i) for i in vocabulary}), _table(vocabulary)))
         for batch in batches:
             rows = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids, decoded, stream = encoder.encode(text), hashlib.sha256(), StreamDecoder(vocabulary)
+                    ids, decoded, stream = np.frombuffer(encoder.coded(text), np.uint32), hashlib.sha256(), StreamDecoder(vocabulary)
                     for i in range(0, len(ids), portion):
-                        decoded.update(stream.feed(ids[i:i + portion]).encode())
+                        decoded.update(stream.feed_bytes(b"".join(tokens[ids[i:i + portion]].tolist())).encode())
                     decoded.update(stream.close().encode())
-                    rows.append((doc_id, len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest()))
+                    rows.append((doc_id, len(ids), hashlib.sha256(",".join(names[ids].tolist()).encode()).hexdigest(), decoded.hexdigest()))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
