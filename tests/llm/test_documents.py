@@ -237,6 +237,55 @@ def test_transducer_equals_library_on_random_bytes():
         assert machine.encode_piece(piece) == t._core_bpe.encode_single_piece(piece)
 
 
+def test_pair_test_equals_merging():
+    import random
+
+    ranks, _ = tiktoken_encoding()
+    machine, draw = bpe.BpeTransducer(ranks), random.Random(11)
+    alone = [i for i in draw.sample(sorted(ranks.values()), 3000) if machine.merged(machine.bytes_of[i]) == [i]]
+    for _ in range(5000):
+        a, b = draw.choices(alone, k=2)
+        assert machine._apart(a, b) == (machine.merged(machine.bytes_of[a] + machine.bytes_of[b]) == [a, b])
+    for _ in range(2000):  # both halves of one token: many pairs that merge
+        whole = machine.bytes_of[draw.choice(alone)]
+        cut = draw.randrange(1, len(whole)) if len(whole) > 1 else 0
+        a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
+        if a is not None and b is not None:
+            assert machine._apart(a, b) == (machine.merged(whole) == [a, b])
+
+
+def test_pair_test_where_ranks_come_out_of_order():
+    ranks = {bytes([b]): i for i, b in enumerate(b"abc")} | {b"bc": 9, b"abc": 5, b"cab": 7, b"ca": 8}
+    machine = bpe.BpeTransducer(ranks)
+    assert machine._edges(5) is None  # bc (9) comes before abc (5)
+    for a in ranks.values():
+        for b in ranks.values():
+            if machine.merged(machine.bytes_of[a]) == [a] and machine.merged(machine.bytes_of[b]) == [b]:
+                assert machine._apart(a, b) == (machine.merged(machine.bytes_of[a] + machine.bytes_of[b]) == [a, b])
+
+
+def test_memo_keeps_what_is_asked_for_again():
+    made = []
+    memo = packing.Recent(lambda c: made.append(c) or c.upper(), size=3)
+    for c in "abcadaeafagahaiaja":
+        assert memo[c] == c.upper()
+        assert len(memo) <= 3 and len(memo.old) <= 3
+    assert made.count("a") == 1 and [memo[c] for c in "bcd"] == ["B", "C", "D"]
+
+
+def test_chunk_encoder_with_a_small_memo(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.ChunkEncoder(f.read())
+    encoder.memo.size = 5
+    plain = Tokenizer.from_file(path)
+    texts = ["", "one two three, four five six", "one two <|endoftext|> two", "six five four three two one\n\n漢字 ÉCOLE", " "] * 3
+    for _ in range(2):
+        assert [memoryview(b).cast("I").tolist() for b in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_stream_decoder_waits_and_replaces():
     data = "aé漢😀".encode()
     stream = bpe.StreamDecoder({i: bytes([i]) for i in range(256)})
