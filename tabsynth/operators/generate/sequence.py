@@ -80,10 +80,10 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     times = ranked.select("_seq", "_p", epoch_micros(F.col(f"`{time_col}`"), T.TimestampNTZType()).alias("_at"))
     before = times.select("_seq", (F.col("_p") + 1).alias("_p"), F.col("_at").alias("_prev"))
     gaps = times.join(before, ["_seq", "_p"], "left").select("_seq", "_p", F.coalesce(F.col("_at") - F.col("_prev"), F.lit(0)).alias("_step"))
-    placed = rows.join(gaps, ["_seq", "_p"]).withColumn("_gap", F.when(F.col("_j") == 0, F.lit(0)).otherwise(F.col("_step")))
+    placed = K.joined(rows, gaps, ["_seq", "_p"]).withColumn("_gap", F.when(F.col("_j") == 0, F.lit(0)).otherwise(F.col("_step")))
     cum = K.prefix_sums(placed.select("_g", "_j", "_seq", "_p", "_t0", "_gap", *held), ["_g"], [F.col("_j")], ["_gap"], prefix="_cum")
     payload = ranked.select("_seq", "_p", *[F.col(f"`{c}`") for c in df.columns if c != time_col])
-    cum = cum.join(payload, ["_seq", "_p"])
+    cum = K.joined(cum, payload, ["_seq", "_p"])
     new_t = F.timestamp_add("MICROSECOND", F.col("_cum_gap"), F.col("_t0").cast("timestamp_ntz")).cast(
         tc.field_type(df, time_col) if tc.is_datetime(tc.field_type(df, time_col)) else "timestamp_ntz")
     sel = []

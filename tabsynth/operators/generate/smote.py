@@ -176,7 +176,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
         (F.floor(uniform(seed, "smote-nn", F.col("_y"), F.col("_s")) * F.least(F.lit(kk), F.col("_cnt") - 1)) + 1).cast("int").alias("nn_rank"),
         uniform(seed, "smote-gap", F.col("_y"), F.col("_s")).alias("_gap"),
     )
-    bases = K._persist(draws.join(keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]))
+    bases = K._persist(K.joined(draws, keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]))
     minority = K._persist(keyed.join(need.select("_y"), "_y"))
     nn = knn_within_class(minority, "_key", "_y", fcols, kk, seed, queries=bases.select("_key"))
     nbr = keyed.select(F.col("_key").alias("nn_key"), *[F.col(c).alias(f"nb_{c}") for c in fcols])

@@ -344,7 +344,10 @@ def dense_index(df: DataFrame, order_cols: list[str | Column], name: str = "_idx
 def numbered(df: DataFrame, length: str, name: str, keys: list[str], step: int = 1 << 16) -> DataFrame:
     """``length`` copies of every row, numbered 0, 1, ... in ``name``.  Rows are first copied
     once for each ``step`` numbers and those copies dealt over the tasks, so no row holds an
-    array of all its numbers and one long row is still split."""
+    array of all its numbers and one long row is still split.
+
+    Spark sizes the result by ``df``, since it does not see how many numbers follow, and would
+    broadcast it: join it by ``joined``."""
     last = F.floor((F.col(length) - 1) / F.lit(step)).cast("long")
     parts = df.where(F.col(length) > 0).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     parts = parts.repartition(default_ranges(df.sparkSession), *keys, "_part")
@@ -353,5 +356,11 @@ def numbered(df: DataFrame, length: str, name: str, keys: list[str], step: int =
     return parts.withColumn(name, F.explode(F.sequence(first, end))).drop("_part")
 
 
+def joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two large frames, of which one may look small to Spark (``numbered`` rows):
+    a merge join, whatever the estimates, so neither is gathered on the driver."""
+    return rows.hint("merge").join(other, keys)
+
+
 def chunked(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]

@@ -102,3 +102,11 @@ def test_smote_variant_fills_and_never_repeats(spark):
     assert got.count() == 40 and {r["note"] for r in got.collect()} == {"__missing__"}
     assert generate_smote(df, "cls", 7, variant=True).count() == 7
     assert generate_smote(df, "cls", 100).count() == 100 and {r["note"] for r in generate_smote(df, "cls", 50).collect()} == {"missing"}
+
+
+def test_numbered_rows_are_not_broadcast(spark):
+    long = K.numbered(spark.createDataFrame([("a", 200_000)], "g string, n bigint"), "n", "_j", ["g"])
+    other = spark.range(300_000).select("id", (F.col("id") % 1000).alias("v"))
+    both = K.joined(long.select(F.col("_j").alias("id")), other, ["id"])
+    assert both.count() == 200_000
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
