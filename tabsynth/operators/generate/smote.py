@@ -6,12 +6,12 @@
   k nearest same-class neighbours chosen by seeded hashes, new = x + u * (nn - x); encoded
   text is rounded (half to even), clipped and decoded.  Originals are kept, then the table
   is resized to n (R5).
-* Exact kNN without emitting all pairs of a class: rows are ranked inside their class by a
-  seeded 1-D projection (range-split kernel); a row's candidates are the rows of its rank
-  block and the two neighbouring blocks (<= 3W pairs per row).  Because projection is
-  1-Lipschitz, any row outside the window is at least ``gap`` away (gap = projection
-  distance to the first row outside the window); rows whose k-th candidate distance is
-  not within that gap are re-run with a 4x wider window until all are proven exact.
+* Exact kNN without emitting all pairs of a class: distinct vectors are ranked inside their
+  class along a seeded 1-D projection and cut into blocks of that order.  Pairs of blocks are
+  compared by matrix products in their own tasks: first a block with itself and its neighbours,
+  which bounds the k-th distance of every vector, then with every further block whose
+  projections come within that bound (the projection is 1-Lipschitz).  Distances that may count
+  are summed exactly; a vector's copies are searched once.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +27,15 @@ from pyspark.sql import types as T
 from ...functions import typeclass as tc
 from ...functions.columns import clip_round, hash_u32, uniform
 from ...plans import kernels as K
+from ...session import written
 from ..clean import median_values, mode_values
 from ..sample import resample_to
 
 MISSING_TARGET = "__missing_target__"
 MAX_K = 5
 SEED = 42
-START_WINDOW = 256
+EPS = float(np.finfo(float).eps)
+STRIP = 512  # vectors compared with a whole block at a time
 
 
 def label_encoding(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -70,8 +73,8 @@ def _features(df: DataFrame, target: str, empty: str = "missing") -> tuple[DataF
     )
     info = {"num": num, "other": other, "types": types, "levels": {}}
     if other:
-        enc = K._persist(label_encoding(base.select(*[f"_s{j}" for j in range(len(other))]),
-                                        [f"_s{j}" for j in range(len(other))]))
+        enc = written(label_encoding(base.select(*[f"_s{j}" for j in range(len(other))]),
+                                     [f"_s{j}" for j in range(len(other))]), "smote-levels")
         for j, c in enumerate(other):
             e = enc.where(F.col("column") == f"_s{j}").select(F.col("value").alias(f"_s{j}"), F.col("code").alias(f"_c{j}"))
             base = base.join(e, f"_s{j}", "left")
@@ -85,63 +88,105 @@ def _features(df: DataFrame, target: str, empty: str = "missing") -> tuple[DataF
 
 
 def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int, seed: int = SEED,
-                     queries: DataFrame | None = None, window: int = START_WINDOW) -> DataFrame:
-    """Exact k nearest neighbours (squared Euclidean, same class, not itself):
-    (``key``, nn_key, nn_rank 1..k, dist2).  ``queries`` (a frame of ``key``) limits the
+                     queries: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """Exact k nearest neighbours (squared Euclidean, same class, not itself; equal distances by
+    key): (``key``, nn_key, nn_rank 1..k, dist2).  ``queries`` (a frame of ``key``) limits the
     rows that need neighbours."""
     d = len(feats)
+    block = block or min(8192, max(1024, 128 * d))  # the projection of wide rows rules out less
     # direction of the projection: feature spreads (so a dominant feature dominates the
     # projection as it dominates distances) with seeded signs; d numbers from one pass
-    sd = df.agg(*[F.stddev_pop(f).alias(f) for f in feats]).first()
+    st = df.agg(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)], *[F.max(F.abs(F.col(f))).alias(f"m{i}") for i, f in enumerate(feats)]).first()
     rng = np.random.default_rng(seed)
-    w = np.array([float(sd[f] or 0.0) for f in feats]) * rng.choice([-1.0, 1.0], size=d) * rng.uniform(0.5, 1.0, size=d)
+    w = np.array([float(st[f"s{i}"] or 0.0) for i in range(d)]) * rng.choice([-1.0, 1.0], size=d) * rng.uniform(0.5, 1.0, size=d)
     if not np.any(w):
         w = np.ones(d)
     w = w / np.linalg.norm(w)
+    slack = 4.0 * (d + 4) * EPS * sum(abs(x) * float(st[f"m{i}"] or 0.0) for i, x in enumerate(w))  # of two rounded projections
     proj = sum((F.col(f) * float(w[i]) for i, f in enumerate(feats)), F.lit(0.0))
-    pts = df.select(F.col(key).alias("_k"), F.col(cls).alias("_cls"), *feats, proj.alias("_proj"))
-    ranked = K._persist(K.positions(pts, ["_cls"], [F.col("_proj"), F.col("_k")], name="_r"))
-    q_all = ranked if queries is None else ranked.join(queries.select(F.col(key).alias("_k")).distinct(), "_k")
-    pending = K._persist(q_all.select("_k", "_cls", "_r", "_proj", *[F.col(f).alias(f"q_{f}") for f in feats]))
-    sizes = ranked.groupBy("_cls").agg(F.count(F.lit(1)).alias("_size"))
-    results = []
-    win = window
-    while True:
-        blk = F.floor(F.col("_r") / win).cast("long")
-        cand = ranked.select(F.col("_k").alias("_ck"), "_cls", blk.alias("_b"), *[F.col(f).alias(f"c_{f}") for f in feats])
-        qx = pending.select("*", F.explode(F.array(blk - 1, blk, blk + 1)).alias("_b"))
-        pairs = qx.join(cand, ["_cls", "_b"]).where(F.col("_k") != F.col("_ck"))
-        dist2 = sum(((F.col(f"q_{f}") - F.col(f"c_{f}")) ** 2 for f in feats), F.lit(0.0))
-        pairs = pairs.select("_k", "_cls", "_r", "_proj", "_ck", dist2.alias("dist2"))
-        wq = Window.partitionBy("_k").orderBy("dist2", "_ck")  # <= 3W rows per query
-        top = K._persist(pairs.withColumn("nn_rank", F.row_number().over(wq)).where(F.col("nn_rank") <= k))
-        kth = top.groupBy("_k", "_cls", "_r", "_proj").agg(F.max("dist2").alias("_dk"), F.count(F.lit(1)).alias("_got"))
-        # projection of the first row outside the window on each side
-        b = F.floor(F.col("_r") / win).cast("long")
-        edges = kth.select("*", ((b - 1) * win - 1).alias("_lr"), ((b + 2) * win).alias("_rr"))
-        lp = ranked.select("_cls", F.col("_r").alias("_lr"), F.col("_proj").alias("_lp"))
-        rp = ranked.select("_cls", F.col("_r").alias("_rr"), F.col("_proj").alias("_rp"))
-        chk = edges.join(lp, ["_cls", "_lr"], "left").join(rp, ["_cls", "_rr"], "left").join(sizes, "_cls")
-        gap = F.least(
-            F.coalesce(F.col("_proj") - F.col("_lp"), F.lit(float("inf"))),
-            F.coalesce(F.col("_rp") - F.col("_proj"), F.lit(float("inf"))),
-        )
-        whole = (F.col("_got") >= F.least(F.lit(k), F.col("_size") - 1)) & (
-            (F.col("_lp").isNull() & F.col("_rp").isNull()) | (F.col("_dk") <= gap * gap)
-        )
-        verdict = K._persist(chk.select("_k", whole.alias("_ok")))
-        good = verdict.where("_ok").select("_k")
-        results.append(top.join(good, "_k").select(
-            F.col("_k").alias(key), F.col("_ck").alias("nn_key"), "nn_rank", "dist2"))
-        bad = verdict.where(~F.col("_ok")).select("_k")
-        if bad.isEmpty():
-            break
-        pending = K._persist(pending.join(bad, "_k"))
-        win *= 4
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    pts = df.select(F.col(key).alias("_k"), F.col(cls).alias("_cls"), F.array(*[F.col(f).cast("double") for f in feats]).alias("_x"), proj.alias("_proj"))
+    # copies: only the k + 1 smallest keys of a vector can be neighbours, and it is searched once
+    pts = K.positions(pts, ["_cls", "_x"], [F.col("_k")], name="_copy")
+    pts = K.prefix_sums(pts, ["_cls"], [F.col("_proj"), F.col("_x"), F.col("_copy")], [(F.col("_copy") == 0).cast("long")], prefix="_v")
+    pts = written(pts.withColumn("_v", F.col("_v0") - 1).drop("_v0"), "smote-vectors")
+    near = pts.where(F.col("_copy") <= k).groupBy("_cls", "_v").agg(F.sort_array(F.collect_list("_k")).alias("_keys"))
+    vecs = pts.where(F.col("_copy") == 0).select("_cls", "_v", F.floor(F.col("_v") / block).cast("long").alias("_b"), "_x", "_proj", "_k")
+    asked = pts if queries is None else pts.join(queries.select(F.col(key).alias("_k")).distinct(), "_k")
+    asked = written(asked.select("_k", "_cls", "_v"), "smote-asked")
+    search = vecs if queries is None else vecs.join(asked.select("_cls", "_v").distinct(), ["_cls", "_v"])
+    search = search.select("_cls", "_v", "_b", "_x", "_proj")
+    spans = vecs.groupBy("_cls", "_b").agg(F.min("_proj").alias("_lo"), F.max("_proj").alias("_hi")).checkpoint()  # one row a block
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """The k + 1 nearest vectors of every searched vector in the candidate block of its pair."""
+        left = pairs.select(*[F.col(c).alias(c) for c in pairs.columns])  # apart from the pairs that the candidates come by
+        right = pairs.select("_cls", "_b", "_c").distinct().join(vecs.select("_cls", F.col("_b").alias("_c"), "_v", "_x", "_k"), ["_cls", "_c"])
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
+        at = ["_cls", "_b", "_c"]
+        schema = T.StructType([T.StructField("_cls", vecs.schema["_cls"].dataType), *T._parse_datatype_string("_v long, _cv long, _d double").fields])
+        return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_nearest_in_block(k + 1, d), schema)
+
+    around = F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))
+    first = written(nearest(search.withColumn("_c", around).withColumn("_most", F.lit(float("inf")))), "smote-near")
+    kth = _closest(first, vecs, k + 1).groupBy("_cls", "_v").agg(F.max("_d").alias("_most"), F.count(F.lit(1)).alias("_got"))
+    kth = kth.select("_cls", "_v", F.when(F.col("_got") > k, F.col("_most")).otherwise(F.lit(float("inf"))).alias("_most"))
+    # further blocks whose projections are near enough to hold a nearer vector; a projection is 1-Lipschitz
+    gap = F.greatest(F.col("_lo") - F.col("_proj"), F.col("_proj") - F.col("_hi")) - slack
+    more = search.join(kth, ["_cls", "_v"], "left").join(F.broadcast(spans.withColumnRenamed("_b", "_c")), "_cls")
+    more = more.where((F.abs(F.col("_c") - F.col("_b")) > 1) & ((gap <= 0) | (gap * gap * (1 - 8 * EPS) <= F.coalesce("_most", F.lit(float("inf"))))))
+    more = more.select("_cls", "_v", "_b", "_x", "_proj", "_c", F.coalesce("_most", F.lit(float("inf"))).alias("_most"))
+    found = _closest(first.unionByName(nearest(more)), vecs, k + 1)
+    # of every vector the k + 1 nearest rows; a row's own key goes, the first k others stay
+    rows = found.join(near.withColumnRenamed("_v", "_cv"), ["_cls", "_cv"]).select("_cls", "_v", F.explode(F.transform("_keys", lambda x: F.struct(F.col("_d").alias("d"), x.alias("k")))).alias("_n"))
+    lists = rows.groupBy("_cls", "_v").agg(F.slice(F.sort_array(F.collect_list("_n")), 1, k + 1).alias("_n"))  # (k + 1) x (k + 1) at most
+    out = asked.join(lists, ["_cls", "_v"])
+    out = out.select("_k", F.posexplode(F.slice(F.filter("_n", lambda n: n["k"] != F.col("_k")), 1, k)).alias("_at", "_n"))
+    return out.select(F.col("_k").alias(key), F.col("_n.k").alias("nn_key"), (F.col("_at") + 1).alias("nn_rank"), F.col("_n.d").alias("dist2"))
+
+
+def _closest(found: DataFrame, vecs: DataFrame, n: int) -> DataFrame:
+    """Of (_cls, _v, _cv, _d) the ``n`` smallest distances of each vector, equal ones by the
+    candidates' smallest keys; a few times ``n`` rows a vector come in."""
+    keyed = found.join(vecs.select("_cls", F.col("_v").alias("_cv"), F.col("_k").alias("_ck")), ["_cls", "_cv"])
+    at = F.row_number().over(Window.partitionBy("_cls", "_v").orderBy("_d", "_ck"))
+    return keyed.withColumn("_at", at).where(F.col("_at") <= n).select("_cls", "_v", "_cv", "_d")
+
+
+def _nearest_in_block(n: int, d: int):
+    """Task of a pair of blocks: a matrix product bounds the distances, and only those that may be
+    among the ``n`` smallest are summed exactly, feature by feature."""
+    def matrix(table):
+        return table.column("_x").combine_chunks().flatten().to_numpy().reshape(-1, d)
+
+    def run(left, right):
+        kinds = [left.schema.field("_cls").type, pa.int64(), pa.int64(), pa.float64()]
+        parts = []
+        if len(left) and len(right):
+            right = right.sort_by("_k")  # among equal distances the smallest keys come first
+            a, b = matrix(left), matrix(right)
+            mid = a.mean(axis=0)
+            a0, b0 = a - mid, b - mid
+            na, nb = (a0 * a0).sum(axis=1), (b0 * b0).sum(axis=1)
+            most, cv, v = (t.column(c).to_numpy() for t, c in ((left, "_most"), (right, "_v"), (left, "_v")))
+            for i in range(0, len(a), STRIP):
+                s = slice(i, i + STRIP)
+                rough = na[s, None] + nb[None, :] - 2.0 * (a0[s] @ b0.T)
+                off = 8.0 * (d + 8) * EPS * (na[s] + nb.max() + 1e-300)  # of a rough distance, either way
+                top = np.full(len(rough), np.inf)
+                if len(b) > n:
+                    top = np.partition(rough, n - 1, axis=1)[:, n - 1] + 2 * off
+                q, c = np.nonzero(rough <= np.minimum(top, most[s] + off + 8 * EPS * np.abs(most[s]))[:, None])
+                exact = np.zeros(len(q))
+                for f in range(d):
+                    exact += (a[s][q, f] - b[c, f]) ** 2
+                order = np.lexsort((c, exact, q))  # c is the place by key
+                q, c, exact = q[order], c[order], exact[order]
+                keep = (np.arange(len(q)) - np.searchsorted(q, q) < n) & (exact <= most[s][q])
+                parts.append((v[s][q[keep]], cv[c[keep]], exact[keep]))
+        vs, cvs, ds = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, float)))
+        cls = pa.array([left.column("_cls")[0].as_py()] * len(vs) if len(vs) else [], kinds[0])
+        return pa.Table.from_arrays([cls, *[pa.array(x, t) for x, t in zip((vs, cvs, ds), kinds[1:])]], names=["_cls", "_v", "_cv", "_d"])
+    return run
 
 
 def smote_balance(df: DataFrame, target: str, seed: int = SEED,
@@ -166,7 +211,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     keyed = K.positions(keyed, ["_y"], [F.col("_h"), *[F.col(c) for c in fcols]], name="_pos")
     keyed = K._persist(keyed.withColumn("_key", F.concat_ws("#", F.col("_pos").cast("string"), F.col("_y"))))
     # generated draws: class c needs mx - cnt rows
-    need = K._persist(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")))
+    need = written(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")), "smote-need")
     if need.isEmpty():
         return keyed.select("_y", *fcols, F.lit(False).alias("_generated")), fcols, info
     draws = K.numbered(need, "_m", "_s", ["_y"])
@@ -177,7 +222,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
         uniform(seed, "smote-gap", F.col("_y"), F.col("_s")).alias("_gap"),
     )
     bases = K._persist(K.joined(draws, keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]))
-    minority = K._persist(keyed.join(need.select("_y"), "_y"))
+    minority = keyed.join(need.select("_y"), "_y")
     nn = knn_within_class(minority, "_key", "_y", fcols, kk, seed, queries=bases.select("_key"))
     nbr = keyed.select(F.col("_key").alias("nn_key"), *[F.col(c).alias(f"nb_{c}") for c in fcols])
     syn = bases.join(nn.select(F.col("_key"), "nn_key", "nn_rank"), ["_key", "nn_rank"]).join(nbr, "nn_key")
