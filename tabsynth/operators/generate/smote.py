@@ -197,7 +197,9 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     if not target or target not in df.columns:
         raise ValueError(f"there is no target column {target!r}")
     base, fcols, info = _features(df, target, empty)
-    base = K._persist(base)
+    # every step is written, so that the next one's plan begins with a scan: the text of nested
+    # cached plans would double with each step that reads one twice, all of it on the driver
+    base = written(base, "smote-base")
     counts = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_cnt"))
     st = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("_cnt").alias("mn"), F.max("_cnt").alias("mx")).first()
     if st["classes"] < 2:
@@ -209,7 +211,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     # stable row key and position inside the class
     keyed = base.withColumn("_h", hash_u32(seed, "smote-key", *fcols, "_y"))
     keyed = K.positions(keyed, ["_y"], [F.col("_h"), *[F.col(c) for c in fcols]], name="_pos")
-    keyed = K._persist(keyed.withColumn("_key", F.concat_ws("#", F.col("_pos").cast("string"), F.col("_y"))))
+    keyed = written(keyed.withColumn("_key", F.concat_ws("#", F.col("_pos").cast("string"), F.col("_y"))), "smote-keyed")
     # generated draws: class c needs mx - cnt rows
     need = written(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")), "smote-need")
     if need.isEmpty():
@@ -221,7 +223,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
         (F.floor(uniform(seed, "smote-nn", F.col("_y"), F.col("_s")) * F.least(F.lit(kk), F.col("_cnt") - 1)) + 1).cast("int").alias("nn_rank"),
         uniform(seed, "smote-gap", F.col("_y"), F.col("_s")).alias("_gap"),
     )
-    bases = K._persist(K.joined(draws, keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]))
+    bases = written(K.joined(draws, keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]), "smote-bases")
     minority = keyed.join(need.select("_y"), "_y")
     nn = knn_within_class(minority, "_key", "_y", fcols, kk, seed, queries=bases.select("_key"))
     nbr = keyed.select(F.col("_key").alias("nn_key"), *[F.col(c).alias(f"nb_{c}") for c in fcols])
@@ -267,7 +269,7 @@ def generate_smote(df: DataFrame, target: str, n: int, seed: int = SEED, k: int
     if n <= 0:
         raise ValueError(f"cannot draw {n} rows")
     bal, fcols, info = smote_balance(df, target, seed, k, EMPTY_VARIANT if variant else "missing")
-    decoded = K._persist(decode(bal, df, target, fcols, info))
+    decoded = K._cut(decode(bal, df, target, fcols, info))
     return resample_to(decoded, min(n, decoded.count()) if variant else n, None, seed)
 
 

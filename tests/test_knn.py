@@ -35,3 +35,9 @@ def test_pairs_of_rows_are_not_joined(spark):
     """Pairs are compared block by block, so no operator gives a row for each of them."""
     plan = entry.queries()["smote_neighbors"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "c_e0" not in plan
+
+
+def test_plan_of_balancing_stays_short(spark):
+    """Nested cached plans once made this plan's text 3,170,828 characters long."""
+    text = entry.queries()["smote_balance"](spark, SF)._jdf.queryExecution().toString()
+    assert len(text) < 300_000
