@@ -9,6 +9,7 @@ Every double in a result is rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1030,8 +1031,11 @@ def _xlsx_bytes(sheets: dict[str, list[list[object]]]) -> bytes:
     return buf.getvalue()
 
 
-def orders_workbooks(spark: SparkSession, sf: str, files: int = 4) -> str:
-    """``orders`` as workbooks written by tasks: a title row and an empty row above the header
+WORKBOOK_ROWS = 40_000  # about as many rows a workbook; a sheet can hold 1,048,576
+
+
+def orders_workbooks(spark: SparkSession, sf: str, files: int | None = None) -> str:
+    """``orders`` as workbooks written by tasks, four or as many as its rows need: a title row and an empty row above the header
     of sheet "Orders" (columns in another order in every other workbook), and a second sheet
     "Days" with key and date."""
     folder = scratch_path(spark, "orders-xlsx")
@@ -1056,6 +1060,7 @@ def orders_workbooks(spark: SparkSession, sf: str, files: int = 4) -> str:
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("ID"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"),
         F.col("o_orderdate").alias("date"), F.col("o_orderpriority").alias("priority"))
+    files = files or max(4, math.ceil(o.count() / WORKBOOK_ROWS))
     o.repartition(files, "ID").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
     return folder
 

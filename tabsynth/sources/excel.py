@@ -13,7 +13,9 @@ are all marked is a timestamp column.
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
 import re
 import sys
 import xml.etree.ElementTree as ET
@@ -41,9 +43,9 @@ SLICE = 4096
 MARK = "\x1e"  # before a cell that is a time
 
 
-def _column(ref: str) -> int:
+def _column(letters: str) -> int:
     n = 0
-    for ch in re.match(r"[A-Z]+", ref)[0]:
+    for ch in letters:
         n = n * 26 + ord(ch) - 64
     return n - 1
 
@@ -62,6 +64,50 @@ def _elements(book: zipfile.ZipFile, part: str, tag: str):
                 parents[-1].clear()
 
 
+PIECE = 1 << 20  # bytes of a sheet that are parsed at once
+PLAIN = re.compile(rb'\s*(?:<\?xml(?:(?!encoding)[^>])*(?:encoding=["\'](?i:utf-8)["\'][^>]*)?>\s*)?(<worksheet\s[^>]*>)')
+
+
+def _plain_rows(book: zipfile.ZipFile, part: str):
+    """The rows of a sheet as programs write it (UTF-8, no prefixes, no comments or CDATA), cut
+    after ends of rows and parsed in pieces; None where the sheet turns out to be another."""
+    with book.open(part) as f:
+        rest = f.read(PIECE)
+        root = PLAIN.match(rest.removeprefix(b"\xef\xbb\xbf"))
+        start = re.search(rb"<sheetData\s*>", rest)
+        if not root or not start or b' xmlns="' + MAIN[1:-1].encode() + b'"' not in root[1] or b"<!" in rest[:start.start()]:
+            yield None
+            return
+        rest = rest[start.end():]
+        while True:
+            more, end = f.read(PIECE), rest.find(b"</sheetData")
+            if b"<!" in (rest[:end] if end >= 0 else rest):
+                yield None
+                return
+            cut = end if end >= 0 else rest.rfind(b"</row>") + 6
+            if cut >= 6:
+                yield from ET.fromstring(root[1] + rest[:cut] + b"</worksheet>").findall(MAIN + "row")
+                rest = rest[cut:]
+            if end >= 0:
+                return
+            if not more:
+                yield None
+                return
+            rest += more
+
+
+def _rows(book: zipfile.ZipFile, part: str):
+    """The rows of a sheet one by one: in pieces where that is sure to be right, which is several
+    times as fast, else from the first row that is not by an event for each element."""
+    done = 0
+    for row in _plain_rows(book, part):
+        if row is None:
+            yield from itertools.islice(_elements(book, part, "row"), done, None)
+            return
+        done += 1
+        yield row
+
+
 def _text(e) -> str:
     return "".join(t.text or "" for t in e.iter(MAIN + "t"))
 
@@ -84,7 +130,7 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
 def _moment(serial: str, base: datetime) -> str | None:
     """Days since ``base`` as a marked time; None if it is no number or out of range."""
     try:
-        return MARK + (base + timedelta(seconds=round(float(serial) * 86_400, 6))).strftime("%Y-%m-%d %H:%M:%S.%f")
+        return MARK + (base + timedelta(seconds=round(float(serial) * 86_400, 6))).isoformat(" ", "microseconds")
     except (ValueError, OverflowError):
         return None
 
@@ -92,6 +138,8 @@ def _moment(serial: str, base: datetime) -> str | None:
 def sheet_rows(data: bytes):
     """(sheet index, sheet name, row number from 0, cells) of one workbook, row by row.  A row
     or cell without a reference stands after the one before it."""
+    # cached here and not by decorators, since those would be looked up in the library on executors
+    column, moment = functools.cache(_column), functools.lru_cache(1 << 16)(_moment)  # days repeat
     book = zipfile.ZipFile(io.BytesIO(data))
     names = set(book.namelist())
     shared = [_text(e) for e in _elements(book, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
@@ -103,13 +151,15 @@ def sheet_rows(data: bytes):
     for index, sheet in enumerate(workbook.iter(MAIN + "sheet")):
         part = target[sheet.get(RELATION)].lstrip("/")
         at = -1
-        for row in _elements(book, part if part.startswith("xl/") else f"xl/{part}", "row"):
+        for row in _rows(book, part if part.startswith("xl/") else f"xl/{part}"):
             at = int(row.get("r")) - 1 if row.get("r") else at + 1
             cells: dict[int, str | None] = {}
             place = -1
             for c in row.findall(MAIN + "c"):
-                place = _column(c.get("r")) if c.get("r") else place + 1
-                kind, v = c.get("t"), c.find(MAIN + "v")
+                ref = c.get("r")
+                place = column(ref.rstrip("0123456789")) if ref else place + 1
+                kind = c.get("t")
+                v = None if kind == "inlineStr" else c.find(MAIN + "v")
                 if kind == "inlineStr":
                     value = _text(c)
                 elif v is None or v.text is None:
@@ -119,7 +169,7 @@ def sheet_rows(data: bytes):
                 elif kind == "b":
                     value = "true" if v.text == "1" else "false"
                 elif kind in (None, "n") and int(c.get("s", 0)) in dates:
-                    value = _moment(v.text, base) or v.text
+                    value = moment(v.text, base) or v.text
                 else:
                     value = v.text
                 cells[place] = value

@@ -45,3 +45,40 @@ def test_cells_without_references():
 
 def test_date_codes():
     assert [X._is_date_code(c) for c in ("yyyy\\-mm\\-dd", "0.00", '#,##0 "days"', "[Red]0", "h:mm", "General", "[$-409]d/m")] == [True, False, False, False, True, False, True]
+
+
+def _resheet(data, change):
+    source, out = zipfile.ZipFile(io.BytesIO(data)), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n in source.namelist():
+            z.writestr(n, change(source.read(n)) if "sheet1" in n else source.read(n))
+    return out.getvalue()
+
+
+def test_sheets_in_pieces_and_unusual_ones(monkeypatch):
+    rows = [["id", "name"], *[[i, f"a & <{i}>"] for i in range(300)]]
+    data = _xlsx_bytes({"A": rows})
+    want = [[str(c) for c in r] for r in rows]
+    changes = [
+        lambda b: b,
+        lambda b: b.replace(b"<row", b"<!-- </row> --><row", 250),
+        lambda b: b.replace(b"<row r=\"200\"", b"<!-- </sheetData> --><row r=\"200\""),
+        lambda b: b.replace(b"UTF-8", b"UTF-16").decode().encode("utf-16"),
+        lambda b: b.replace(b"xmlns=", b"xmlns:x=").replace(b"<", b"<x:").replace(b"<x:/", b"</x:").replace(b"<x:?", b"<?"),
+        lambda b: b"\xef\xbb\xbf" + b.replace(b"<sheetData>", b"<cols><col min=\"1\"/></cols><sheetData >"),
+    ]
+    for size in (64, 1000, 1 << 20):
+        monkeypatch.setattr(X, "PIECE", size)
+        for change in changes:
+            assert [c for _, _, _, c in X.sheet_rows(_resheet(data, change))] == want
+
+
+def test_workbooks_grow_in_number(spark, monkeypatch):
+    """Four workbooks of any size once made the memory of a task grow with the table."""
+    from tabsynth.plans import catalog
+
+    monkeypatch.setattr(catalog, "WORKBOOK_ROWS", 200)
+    path = catalog.orders_workbooks(spark, "/root/testdata/sf0.001")
+    assert spark.read.format("binaryFile").load(path).count() == 8
+    df = load_dataset(spark, path, fmt="excel")[0]
+    assert df.select("id").distinct().count() == df.count() == 1500
