@@ -60,7 +60,7 @@ TWO_POW_32 = 4294967296.0
 
 def strip_ws(c: Column) -> Column:
     """Trim the whitespace class at both ends (``trim`` alone only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_token(c: Column, variant: bool = False) -> Column:

@@ -821,13 +821,14 @@ def messy_orders_csv(spark: SparkSession, sf: str, files: int = 8) -> str:
 
     def lines(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         sep, junk, names = shapes[TaskContext.get().partitionId() % len(shapes)]
         yield pa.RecordBatch.from_arrays([pa.array([*junk, sep.join(names)])], names=["value"])
         for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in names))
-            yield pa.RecordBatch.from_arrays([pa.array([sep.join(r) for r in rows], pa.string())], names=["value"])
+            cells = [batch.column(n).cast(pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*cells, pa.scalar(sep, pa.string()))], names=["value"])
 
     shapes = CSV_SHAPES
     o = table(spark, sf, "orders")

@@ -15,7 +15,6 @@ order load into one table.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import HEADER_HINTS, HEADER_HINTS_VARIANT, normalize_token
 from ..functions.names import make_unique
 from ..session import ensure_checkpoint_dir, written
-from .records import numbered, physical_lines, records, split_cells
+from .records import by_delimiter, numbered, one_a_file, physical_lines, records, split_cells
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 10
@@ -74,9 +73,7 @@ def detect_delimiters(lines: DataFrame) -> DataFrame:
 
 def cells_of(value: Column, delimiter: Column, seps: list[str]) -> Column:
     """Cells by the separator of the record's file, one of ``seps``."""
-    if len(seps) == 1:
-        return split_cells(value, seps[0])
-    return reduce(lambda c, s: c.when(delimiter == s, split_cells(value, s)), seps[1:], F.when(delimiter == seps[0], split_cells(value, seps[0])))
+    return by_delimiter(delimiter, seps, lambda s: split_cells(value, s))
 
 
 def detect_headers(head: DataFrame, variant: bool = False) -> DataFrame:
@@ -127,7 +124,7 @@ class Scan:
 
     def with_cells(self) -> DataFrame:
         """(file, rec, cells ...) of the records below the headers."""
-        rows = self.records.join(self.heads.drop("cells"), "file")  # one row a file; its measured size decides the join
+        rows = self.records.join(self.heads.drop("cells"), "file")
         rows = rows.where(F.col("rec").isNull() | (F.col("rec") > F.col("header")))
         return rows.withColumn("cells", cells_of(F.col("value"), F.col("delimiter"), self.seps))
 
@@ -140,7 +137,7 @@ def scan_files(spark: SparkSession, path: str | list[str], sep: str | None = Non
         sep_of = lines.where(F.trim("value") != "").select("file").distinct().withColumn("delimiter", F.lit(sep))
     else:
         sep_of = detect_delimiters(numbered(lines).where(F.col("rec") < HEADER_SCAN))
-    sep_of = sep_of.checkpoint()
+    sep_of = one_a_file(sep_of.checkpoint())
     seps = sorted(r[0] for r in sep_of.select("delimiter").distinct().collect())
     if not seps:
         raise ValueError(f"{path} has no header line")
@@ -150,7 +147,7 @@ def scan_files(spark: SparkSession, path: str | list[str], sep: str | None = Non
     head = head.select("file", "rec", "delimiter", cells_of(F.col("value"), F.col("delimiter"), seps).alias("cells")).checkpoint()
     found = head.select("file").distinct().withColumn("header", F.lit(header_row)) if header_row is not None else detect_headers(head, variant)
     heads = sep_of.join(found, "file").join(head.select("file", F.col("rec").cast("int").alias("header"), "cells"), ["file", "header"], "left")
-    heads = heads.select("file", "delimiter", "header", "cells").checkpoint()
+    heads = one_a_file(heads.select("file", "delimiter", "header", "cells").checkpoint())
     short = heads.where("cells is null").select(F.min("file")).first()[0]
     if short is not None:
         raise ValueError(f"{short} has no header line")
@@ -176,6 +173,7 @@ def by_name(parsed: DataFrame, files: DataFrame) -> tuple[DataFrame, int]:
     else:
         # a header without cells is an empty array, never null, so the join by value is safe
         place_of = files.join(places, ["cells", "width"]).select("file", "places").checkpoint()
+        place_of = one_a_file(place_of)
         rows = parsed.join(place_of, "file")
         cells = [F.when(F.col("places")[i] >= 0, F.get("cells", F.col("places")[i])) for i in range(len(columns))]
     return rows.select(*[c.alias(n) for c, n in zip(cells, columns.values())]), len(layouts)

@@ -109,3 +109,32 @@ def test_line_codes_follow_the_csv_module(spark):
     got = {r["value"]: r["cells"] for r in spark.createDataFrame([(x,) for x in closed], "value string").select("value", R.split_cells(F.col("value"), ",").alias("cells")).collect()}
     for x in closed:
         assert got[x] == [c or None for c in next(csv.reader([x]))], x
+
+
+def test_states_of_lines_follow_their_codes_one_by_one():
+    import numpy as np
+
+    rng = random.Random(5)
+    for n in (1, 2, 7, 60):
+        codes = [rng.choice([0, 1, 2, 2, 3]) for _ in range(n)]
+        for state in (0, 1):
+            got, want = R._states(np.array(codes, np.int32), state).tolist(), []
+            for code in codes:
+                state = code >> state & 1
+                want.append(state)
+            assert got == want
+
+
+def test_records_are_not_dealt_by_file(spark, tmp_path):
+    for f in range(3):
+        (tmp_path / f"{f}.csv").write_text(f"id,{'nmo'[f]},value\n" + "".join(f'{f}{i},"a\nb",1\n' for i in range(50)))
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "-1")
+        df, _ = C.read_csv(spark, f"file:{tmp_path}")
+        assert df.count() == 150
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(file" not in plan
+    finally:
+        spark.conf.set(conf, before)
