@@ -21,6 +21,7 @@ from . import profile as P
 
 KS_TERMS = 100
 KS_BINS, KS_COLUMNS, KS_SAMPLE = 2048, 16, 20_000  # bins a column, columns counted in one job, rows that the edges come from
+KS_HELD, KS_DEALT = 250_000, 1_000_000  # values of a column that a task counts at a time, values of opened bins a task of the shuffle
 
 
 def shared_numeric(real: DataFrame, synth: DataFrame) -> list[str]:
@@ -119,14 +120,15 @@ def ks_test_report(real: DataFrame, synth: DataFrame, cols: list[str] | None = N
     def side(df: DataFrame, real_side: int) -> DataFrame:
         return df.select(F.lit(real_side).alias("side"), *[K.finite(P.present(df, c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
     both = side(real, 1).unionByName(side(synth, 0))
-    best, spans, rows = [], {}, both.count()
+    best, spans, rows, inside = [], {}, both.count(), 0
     for some in K.chunked(list(range(len(cols))), KS_COLUMNS):
-        d, opened = _ks_bins(both, some, K.sampled(both, rows, 1, KS_SAMPLE))
+        d, opened, n = _ks_bins(both, some, K.sampled(both, rows, 1, KS_SAMPLE))
         best += d
         spans.update(opened)
+        inside += n
     best = spark.createDataFrame(best, "i int, n1 bigint, n2 bigint, d double")
     if spans:
-        best = best.join(_ks_inside(both, spans), "i", "left").withColumn("d", F.greatest("d", F.coalesce("inside", F.lit(0.0))))
+        best = best.join(_ks_inside(both, spans, inside), "i", "left").withColumn("d", F.greatest("d", F.coalesce("inside", F.lit(0.0))))
     name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
     return best.select(
         name.alias("column"), F.col("d").alias("ks_statistic"),
@@ -137,7 +139,8 @@ def ks_test_report(real: DataFrame, synth: DataFrame, cols: list[str] | None = N
 
 def _ks_bins(both: DataFrame, cols: list[int], sample: DataFrame) -> tuple[list, dict]:
     """Best D at the edges, (i, n1, n2, d) for each column with values on both sides, and the
-    bins to open: {i: [(low, high, counts of both sides below, n1, n2)]}, low <= value < high."""
+    bins to open: {i: [(low, high, counts of both sides below, n1, n2)]}, low <= value < high, and
+    how many values they hold."""
     probs = np.arange(KS_BINS + 1) / KS_BINS
     some = sample.select(*[f"v{i}" for i in cols]).toPandas()  # about KS_SAMPLE rows
     edges = {}
@@ -159,7 +162,7 @@ def _ks_bins(both: DataFrame, cols: list[int], sample: DataFrame) -> tuple[list,
     counts = both.select("side", *[f"v{i}" for i in edges]).mapInArrow(count, "i int, bin int, c1 bigint, c2 bigint")
     counts = counts.groupBy("i", "bin").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     by = {(r["i"], r["bin"]): (r["c1"], r["c2"]) for r in counts.collect()}  # columns x bins
-    best, spans = [], {}
+    best, spans, inside = [], {}, 0
     for i, e in edges.items():
         e = [float("-inf"), *e, None]  # bin k holds e[k] <= value < e[k + 1]
         rows = [by.get((i, k), (0, 0)) for k in range(len(e) - 1)]
@@ -175,34 +178,50 @@ def _ks_bins(both: DataFrame, cols: list[int], sample: DataFrame) -> tuple[list,
             # inside the bin one side may already be counted in full while the other is not at all
             if c1 and c2 and max(b[0] / n1 - a[1] / n2, b[1] / n2 - a[0] / n1) > d:
                 spans.setdefault(i, []).append((e[k], e[k + 1], *a, n1, n2))
+                inside += c1 + c2
         best.append((i, n1, n2, d))
-    return best, spans
+    return best, spans, inside
 
 
-def _ks_inside(both: DataFrame, spans: dict) -> DataFrame:
-    """(i, inside): largest difference at the values of the opened bins."""
+def _ks_inside(both: DataFrame, spans: dict, rows: int) -> DataFrame:
+    """(i, inside): largest difference at the values of the opened bins, which hold ``rows``
+    values; so many tasks that none gets more than about ``KS_DEALT`` of them."""
+    n = max(-(-rows // KS_DEALT), min(K.default_ranges(both.sparkSession), -(-rows // 50_000)))
     keyed = [(i, k, *span) for i, found in spans.items() for k, span in enumerate(found)]
     lows = {i: [x[0] for x in found] for i, found in spans.items()}
     highs = {i: [float("inf") if x[1] is None else x[1] for x in found] for i, found in spans.items()}
     last = {i: found[-1][1] is None for i, found in spans.items()}  # whether its last bin has no upper edge
 
+    def counted(i, parts):
+        v, side = (np.concatenate(x) for x in zip(*parts))
+        distinct, of = np.unique(v, return_inverse=True)
+        c = np.bincount(of * 2 + (1 - side), minlength=2 * len(distinct)).reshape(-1, 2)
+        bins = np.searchsorted(np.array(lows[i]), distinct, side="right") - 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(distinct), i), pa.int32()), pa.array(bins, pa.int32()), pa.array(distinct), pa.array(c[:, 0]), pa.array(c[:, 1])],
+            names=["i", "bin", "v", "c1", "c2"])
+
     def values(batches):
+        held, size = {i: [] for i in lows}, dict.fromkeys(lows, 0)
         for batch in batches:
             side = batch.column(0).to_numpy(zero_copy_only=False)
             for i, v in zip(lows, batch.columns[1:]):
                 v = v.to_numpy(zero_copy_only=False)
                 at = np.searchsorted(np.array(lows[i]), v, side="right") - 1
                 inside = ~np.isnan(v) & (at >= 0) & ((v < np.array(highs[i])[at]) | (last[i] & (at == len(lows[i]) - 1)))
-                distinct, of = np.unique(v[inside], return_inverse=True)
-                if len(distinct):
-                    c = np.bincount(of * 2 + (1 - side[inside]), minlength=2 * len(distinct)).reshape(-1, 2)
-                    bins = np.searchsorted(np.array(lows[i]), distinct, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(distinct), i), pa.int32()), pa.array(bins, pa.int32()), pa.array(distinct), pa.array(c[:, 0]), pa.array(c[:, 1])],
-                        names=["i", "bin", "v", "c1", "c2"])
+                if inside.any():
+                    held[i].append((v[inside], side[inside]))
+                    size[i] += len(held[i][-1][0])
+                if size[i] >= KS_HELD:
+                    yield counted(i, held[i])
+                    held[i], size[i] = [], 0
+        for i, parts in held.items():
+            if parts:
+                yield counted(i, parts)
     found = both.select("side", *[f"v{i}" for i in lows]).mapInArrow(values, "i int, bin int, v double, c1 bigint, c2 bigint")
-    values = found.groupBy("i", "bin", "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    cum = K.prefix_sums(values, ["i", "bin"], ["v"], ["c1", "c2"])
+    # dealt by value before they are added up: a table of all that a task finds would grow with the rows of a task
+    values = found.repartition(n, "i", "bin", "v").groupBy("i", "bin", "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    cum = K.prefix_sums(values, ["i", "bin"], ["v"], ["c1", "c2"], n_ranges=n)
     start = both.sparkSession.createDataFrame(keyed, "i int, bin int, low double, high double, b1 bigint, b2 bigint, n1 bigint, n2 bigint")
     d = F.abs((F.col("b1") + F.col("cum_c1")) / F.col("n1") - (F.col("b2") + F.col("cum_c2")) / F.col("n2"))
     return cum.join(F.broadcast(start), ["i", "bin"]).groupBy("i").agg(F.max(d).alias("inside"))  # columns x bins at most

@@ -61,3 +61,23 @@ def test_ks_by_branch_and_bound(spark, monkeypatch, bins):
     a, b = real.toPandas().astype(object), synth.toPandas().astype(object)
     want = {c: brute_ks(a[c].tolist(), b[c].tolist()) for c in real.columns if c != "none"}
     assert got == pytest.approx({c: d for c, d in want.items() if d is not None})
+
+
+def test_opened_bins_get_tasks_by_the_values_in_them(spark, monkeypatch):
+    import numpy as np
+
+    from tabsynth.operators import evaluate as E
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=4000), rng.normal(size=3000)
+    seen = []
+    prefix_sums = E.K.prefix_sums
+    monkeypatch.setattr(E.K, "prefix_sums", lambda *a, n_ranges=None, **kw: seen.append(n_ranges) or prefix_sums(*a, n_ranges=n_ranges, **kw))
+    monkeypatch.setattr(E, "KS_BINS", 2)
+    monkeypatch.setattr(E, "KS_HELD", 100)
+    monkeypatch.setattr(E, "KS_DEALT", 200)
+    real, synth = (spark.createDataFrame([(float(a),) for a in v], "x double") for v in (x, y))
+    got = E.ks_test_report(real, synth).first()["ks_statistic"]
+    at = np.concatenate([x, y])
+    want = np.abs(np.searchsorted(np.sort(x), at, "right") / 4000 - np.searchsorted(np.sort(y), at, "right") / 3000).max()
+    assert abs(got - want) < 1e-12 and seen[0] > 10
