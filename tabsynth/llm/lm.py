@@ -265,13 +265,14 @@ class _State:
             asked = narrow(np.flatnonzero((before >= 0) & (self.word >= 0)))
             context, word, which = self._distinct(before[asked], self.word[asked])
             keys = context * np.uint64(0x9E3779B97F4A7C15) + word  # only spreads them over shards
-            before_count[before < 0] = 0
-            self.levels.append((asked, which, context, word, keys, before_count))
-            del before, before_count
+            before_count = narrow(np.where(before < 0, 0, before_count))
+            del before
             if level not in self.by_level:  # still to be asked, or nothing was
+                self.levels.append((asked, which, context, word, keys, before_count))
                 break
             code, *more = self._answers(level, keys)
-            self.levels[-1] += (code,)
+            self.levels.append((asked, which, before_count, code))  # what the scores need
+            del context, word, keys, before_count
             if level < order:
                 c, n = more
                 node, node_count = np.full(len(tokens), -1, dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
@@ -295,7 +296,7 @@ class _State:
         """The shards' answers in the order of ``keys``; places become numbers over all shards."""
         order, bounds = routed(keys, self.shards)
         out: list[np.ndarray] = []
-        for s, payload in self.by_level[level].items():
+        for s, payload in self.by_level.pop(level).items():
             arrays = unpacked(payload)
             if len(arrays) > 1:
                 place = arrays[-1] if level == 1 else np.where(arrays[0] < 65535, np.cumsum(arrays[-1]), -1)
@@ -307,7 +308,7 @@ class _State:
         return out
 
     def requests(self, block: int, level: int):
-        asked, which, context, word, keys, above = self.levels[level - 2][:6]
+        asked, which, context, word, keys, above = self.levels[level - 2]
         counts = np.bincount(which[self.train[asked]], minlength=len(context)).astype(np.uint32)
         above_of = np.zeros(len(context), dtype=above.dtype)
         above_of[which] = above[asked]
@@ -324,10 +325,9 @@ class _State:
     def scores(self, total: int, distinct: int, weight: float) -> pd.DataFrame:
         unigram = (self.known + 0.5) / (total + 0.5 * (distinct + 1))
         p = unigram.copy()
-        for asked, which, _, _, _, above, code in (x for x in self.levels if len(x) == 7):
-            share = np.zeros(len(p))
-            share[asked] = np.where(code[which] < 65535, 10.0 ** (-CODE_STEP * code[which].astype(float)), 0.0)
-            p = share + weight / (above + weight) * p  # an unseen context leaves the shorter one's
+        for asked, which, above, code in (x for x in self.levels if len(x) == 4):
+            p *= weight / (above + weight)  # an unseen context leaves the shorter one's
+            p[asked] += np.where(code < 65535, 10.0 ** (-CODE_STEP * code.astype(float)), 0.0)[which]
         starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
         return pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(self.ids, self.none.astype(bool)), "held_out": self.held, "n_tokens": self.lengths.astype(np.int64),
