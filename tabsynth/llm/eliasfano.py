@@ -16,6 +16,11 @@ U64 = np.uint64
 CODE_STEP = 1e-3  # of log10
 
 
+def coded(probability: np.ndarray) -> np.ndarray:
+    """The 16-bit code of probabilities in (0, 1]."""
+    return np.clip(np.round(-np.log10(probability) / CODE_STEP), 0, 65534).astype(np.uint16)
+
+
 class EliasFano:
     """Non-decreasing numbers; about 2 + log2(largest / count) bits each."""
 
@@ -123,8 +128,7 @@ class TrieLevel:
         ends = np.append(starts[1:], len(context)).astype(np.int64)
         bases = np.concatenate([[0], np.cumsum(word[ends - 1].astype(U64) + U64(1))[:-1]]).astype(U64) if len(starts) else np.zeros(0, dtype=U64)
         monotone = word.astype(U64) + np.repeat(bases, ends - starts)
-        codes = np.clip(np.round(-np.log10(probability) / CODE_STEP), 0, 65534).astype(np.uint16)
-        return cls(EliasFano.build(context[starts]), EliasFano.build(np.append(starts, len(context))), EliasFano.build(monotone), codes)
+        return cls(EliasFano.build(context[starts]), EliasFano.build(np.append(starts, len(context))), EliasFano.build(monotone), coded(probability))
 
     def dump(self) -> bytes:
         return self.contexts.dump() + self.pointers.dump() + self.successors.dump() + struct.pack("<Q", len(self.codes)) + self.codes.tobytes()

@@ -6,9 +6,10 @@ their training counts, to word shards, which answer with global counts and numbe
 commonest first, so that most are small); then its distinct n-grams, level by level, to n-gram
 shards, which add the counts up, build their trie level, write it to the shared folder, map it,
 and answer each block by successor search.  A message has each context with its count once, and
-places in a trie level as steps.  So what moves is aggregated by block, no shard is larger than
-its share of the distinct n-grams (a frequent context is spread over shards by its successors),
-and nothing is broadcast.
+its successors and the places in a trie level as steps.  A context goes to one shard, so that
+messages do not grow with the number of shards; only a frequent one, by its count in all of
+training, is spread over shards by its successors.  So what moves is aggregated by block, no
+shard is much larger than its share of the distinct n-grams, and nothing is broadcast.
 
 P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), down to the add-half unigram (``base``); a text
 starts in the context of an end of text.  The stored, quantised part is c(hw) / (c(h) + m)."""
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from ..session import default_ranges, scratch_path
 from .common import blank, fold, written
-from .eliasfano import CODE_STEP, TrieLevel
+from .eliasfano import CODE_STEP, TrieLevel, coded
 
 END = b"\n"  # no word holds it
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 600_000
+SPREAD = 4096  # occurrences from which a context's successors are dealt over the shards
+UNSEEN = 65535  # code of an n-gram that is not in training
 BLOCK = "block bigint, file string"
 MESSAGE = "shard int, block bigint, level int, payload binary"
 
@@ -79,6 +82,29 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
+def shard_keys(context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What ``routed`` deals the n-grams by: the context, and the word too where the context occurs
+    ``SPREAD`` times, so it can have many successors.  The counts are those of all training, so
+    every block deals alike."""
+    return context * np.uint64(0x9E3779B97F4A7C15) + np.where(count >= SPREAD, word, np.uint64(0))
+
+
+def grouped(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs in order as (places of the first pair of each context, contexts as steps, their
+    numbers of words, words as steps within their context)."""
+    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    words = np.diff(word.astype(np.int64), prepend=0)
+    words[heads] = word[heads]
+    return heads, steps(context[heads]), np.diff(heads, append=len(context)).astype(np.uint32), narrow(words)
+
+
+def ungrouped(contexts: np.ndarray, followers: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that ``grouped`` has made steps of."""
+    heads, upto = np.cumsum(followers, dtype=np.int64) - followers, np.cumsum(words, dtype=np.int64)
+    word = upto - np.repeat(upto[heads] - words[heads], followers)
+    return np.repeat(np.cumsum(contexts, dtype=np.uint64), followers), word.astype(np.uint64)
+
+
 class _Block:
     """Texts as token numbers in order of first appearance; 0 is the end of a text."""
 
@@ -200,9 +226,10 @@ def _mapped(uri: str):
 
 
 def _answer_grams(level: int, weight: float, folder: str, last: bool):
-    """Build this shard's trie level, write and map it, answer each block from it: the code of
-    every n-gram sent (65535: not in training) and, unless this is the last level, its count
-    and place in the level as steps (that of one not in training says nothing)."""
+    """Build this shard's trie level, write and map it, answer each block from it: of the last
+    level the code of every n-gram sent, else its count (0: not in training; the block knows the
+    context's, and so the code) and place in the level as steps (that of one not in training says
+    nothing)."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
         shard = int(frame["shard"].iloc[0])
@@ -210,7 +237,7 @@ def _answer_grams(level: int, weight: float, folder: str, last: bool):
         context, word, counts, above = [], [], [], []
         for p in frame["payload"]:
             c, followers, a, w, n = unpacked(p)
-            c, a = np.repeat(np.cumsum(c, dtype=np.uint64), followers), np.repeat(a, followers)
+            (c, w), a = ungrouped(c, followers, w), np.repeat(a, followers)
             asked.append((c, w))
             seen = n > 0
             for whole, part in zip((context, word, counts, above), (c, w, n, a)):
@@ -227,11 +254,10 @@ def _answer_grams(level: int, weight: float, folder: str, last: bool):
         with system.open_output_stream(path, compression=None) as f:
             f.write(built.dump())
         trie, answers = TrieLevel.load(_mapped(uri)), []
-        codes, total = np.append(trie.codes, np.uint16(65535)), np.append(total, 0)
+        codes, total = np.append(trie.codes, np.uint16(UNSEEN)), np.append(total, 0)
         for c, w in asked:  # in order of context and word, so places rise
             place = trie.find(c, w)
-            more = () if last else (total[place], steps(np.maximum.accumulate(place)))
-            answers.append(packed(codes[place], *more))
+            answers.append(packed(codes[place]) if last else packed(narrow(total[place]), narrow(steps(np.maximum.accumulate(place)))))
         return pd.DataFrame({"shard": shard, "block": frame["block"], "level": level, "payload": answers})
     return run
 
@@ -240,7 +266,7 @@ class _State:
     """What a block knows after the answers so far, position by position, up to the n-grams of
     ``order`` words, whose answers may still be missing."""
 
-    def __init__(self, row, answers: pd.DataFrame, shards: int, order: int):
+    def __init__(self, row, answers: pd.DataFrame, shards: int, order: int, weight: float):
         ((words,),) = _read_block(row["file"], 0, 1)
         (self.ids, self.none, held, self.lengths), (tokens,) = _read_block(row["file"], 2, 4)
         self.shards, self.tokens, self.held = shards, tokens, held.astype(bool)
@@ -264,17 +290,24 @@ class _State:
                 before = np.where(inner, before, -1)
             asked = narrow(np.flatnonzero((before >= 0) & (self.word >= 0)))
             context, word, which = self._distinct(before[asked], self.word[asked])
-            keys = context * np.uint64(0x9E3779B97F4A7C15) + word  # only spreads them over shards
             before_count = narrow(np.where(before < 0, 0, before_count))
+            above = np.zeros(len(context), dtype=before_count.dtype)
+            above[which] = before_count[asked]
+            keys = shard_keys(context, word, above)
             del before
             if level not in self.by_level:  # still to be asked, or nothing was
-                self.levels.append((asked, which, context, word, keys, before_count))
+                self.levels.append((asked, which, context, word, keys, above))
                 break
-            code, *more = self._answers(level, keys)
+            answer = self._answers(level, keys)
+            if level < order:
+                c, n = answer
+                code = np.full(len(c), UNSEEN, dtype=np.uint16)
+                code[c > 0] = coded(c[c > 0] / (above[c > 0] + weight))
+            else:
+                (code,) = answer
             self.levels.append((asked, which, before_count, code))  # what the scores need
-            del context, word, keys, before_count
+            del context, word, keys, before_count, above
             if level < order:
-                c, n = more
                 node, node_count = np.full(len(tokens), -1, dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
                 node[asked], node_count[asked] = n[which], c[which]
 
@@ -299,8 +332,8 @@ class _State:
         for s, payload in self.by_level.pop(level).items():
             arrays = unpacked(payload)
             if len(arrays) > 1:
-                place = arrays[-1] if level == 1 else np.where(arrays[0] < 65535, np.cumsum(arrays[-1]), -1)
-                arrays[-1] = np.where(place >= 0, place * self.shards + s, -1)
+                place = arrays[1] if level == 1 else np.where(arrays[0] > 0, np.cumsum(arrays[1], dtype=np.int64), -1)
+                arrays = [arrays[0].astype(np.int64, copy=False), np.where(place >= 0, place * self.shards + s, -1)]
             for k, a in enumerate(arrays):
                 if k == len(out):
                     out.append(np.zeros(len(keys), dtype=a.dtype))
@@ -310,16 +343,12 @@ class _State:
     def requests(self, block: int, level: int):
         asked, which, context, word, keys, above = self.levels[level - 2]
         counts = np.bincount(which[self.train[asked]], minlength=len(context)).astype(np.uint32)
-        above_of = np.zeros(len(context), dtype=above.dtype)
-        above_of[which] = above[asked]
         order, bounds = routed(keys, self.shards)
         rows = []
         for s in range(self.shards):
             if len(p := order[bounds[s]:bounds[s + 1]]):
-                c = context[p]
-                heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                followers = np.diff(heads, append=len(c)).astype(np.uint32)
-                rows.append((s, block, level, packed(steps(c[heads]), followers, above_of[p][heads], word[p], counts[p])))
+                heads, contexts, followers, words = grouped(context[p], word[p])
+                rows.append((s, block, level, packed(contexts, followers, above[p[heads]], words, counts[p])))
         return pd.DataFrame(rows, columns=["shard", "block", "level", "payload"])
 
     def scores(self, total: int, distinct: int, weight: float) -> pd.DataFrame:
@@ -327,7 +356,7 @@ class _State:
         p = unigram.copy()
         for asked, which, above, code in (x for x in self.levels if len(x) == 4):
             p *= weight / (above + weight)  # an unseen context leaves the shorter one's
-            p[asked] += np.where(code < 65535, 10.0 ** (-CODE_STEP * code.astype(float)), 0.0)[which]
+            p[asked] += np.where(code < UNSEEN, 10.0 ** (-CODE_STEP * code.astype(float)), 0.0)[which]
         starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
         return pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(self.ids, self.none.astype(bool)), "held_out": self.held, "n_tokens": self.lengths.astype(np.int64),
@@ -361,10 +390,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_fold: int = 1, or
     total, distinct = sum(t for t, _ in facts), sum(d for _, d in facts)
     for level in range(2, order + 1):
         def send(row, known, level=level):
-            return _State(row, known, shards, level).requests(int(row["block"]), level)
+            return _State(row, known, shards, level, weight).requests(int(row["block"]), level)
         asked = _joined(blocks, answers, send, MESSAGE)
         answers = answers.unionByName(written(asked.groupBy("shard").applyInPandas(_answer_grams(level, weight, folder, level == order), MESSAGE), f"lm-grams-{level}"))
 
     def score(row, known):
-        return _State(row, known, shards, order).scores(total, distinct, weight)
+        return _State(row, known, shards, order, weight).scores(total, distinct, weight)
     return _joined(blocks, answers, score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

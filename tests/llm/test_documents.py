@@ -536,6 +536,28 @@ def test_lm_query_follows_two_words_of_context(spark, request, tmp_path, name):
         assert a[:2] == e[:2] and a[2] == pytest.approx(e[2], abs=1.2e-3 * a[1] + 1e-9)  # half a quantisation step a level and token
 
 
+def test_lm_messages_name_a_context_once():
+    """Whatever the number of shards, only frequent contexts are in the messages of several."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pairs_ = np.unique(np.concatenate([rng.integers(0, 300, (9000, 2)), [[7, 1 << 40], [300, 0]]]), axis=0).astype("uint64")
+    context, word = pairs_[:, 0], pairs_[:, 1]
+    count = np.where(context < 3, lm.SPREAD, lm.SPREAD - 1)
+    for shards in (1, 12, 400):
+        order, bounds = lm.routed(lm.shard_keys(context, word, count), shards)
+        sent = {}
+        for s in range(shards):
+            if len(part := order[bounds[s]:bounds[s + 1]]):
+                heads, *message = lm.grouped(context[part], word[part])
+                c, w = lm.ungrouped(*lm.unpacked(lm.packed(*message)))
+                assert (c == context[part]).all() and (w == word[part]).all() and (context[part[heads]] == np.unique(c)).all()
+                for x in np.unique(c):
+                    sent[int(x)] = sent.get(int(x), 0) + 1
+        assert len(sent) == 301 and all(n == 1 for x, n in sent.items() if x >= 3)
+        assert shards == 1 or all(sent[x] > 1 for x in range(3))
+
+
 def test_elias_fano_and_trie():
     import numpy as np
 
