@@ -14,6 +14,7 @@ import numpy as np
 
 U64 = np.uint64
 CODE_STEP = 1e-3  # of log10
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.uint8)  # place of each one
 
 
 def coded(probability: np.ndarray) -> np.ndarray:
@@ -65,14 +66,15 @@ class EliasFano:
     @staticmethod
     def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Position of the one with so many ones below it."""
-        place, word, rank = np.zeros(len(word), dtype=np.int64), word.copy(), rank.copy()
-        for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(word & U64((1 << width) - 1)).astype(np.int64)
+        rank, place = rank.astype(np.uint8), np.zeros(len(word), dtype=np.uint8)
+        for width in (32, 16, 8):
+            below = np.bitwise_count(word & U64((1 << width) - 1))
             up = rank >= below
-            rank -= np.where(up, below, 0)
-            place += np.where(up, width, 0)
-            word = np.where(up, word >> U64(width), word)
-        return place
+            rank -= below * up
+            shift = up * np.uint8(width)
+            place += shift
+            word = word >> shift
+        return (place + IN_BYTE[(word & U64(255)).astype(np.int64), rank]).astype(np.int64)
 
     def _low_at(self, index: np.ndarray) -> np.ndarray:
         if not self.low_bits:

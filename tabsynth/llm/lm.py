@@ -105,6 +105,14 @@ def ungrouped(contexts: np.ndarray, followers: np.ndarray, words: np.ndarray) ->
     return np.repeat(np.cumsum(contexts, dtype=np.uint64), followers), word.astype(np.uint64)
 
 
+def in_order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order of pairs, by one number where it holds both."""
+    span = int(word.max(initial=0)) + 1
+    if (int(context.max(initial=0)) + 1) * span < 1 << 63:
+        return np.argsort(context.astype(np.int64) * span + word.astype(np.int64))
+    return np.lexsort((word, context))
+
+
 class _Block:
     """Texts as token numbers in order of first appearance; 0 is the end of a text."""
 
@@ -243,7 +251,7 @@ def _answer_grams(level: int, weight: float, folder: str, last: bool):
             for whole, part in zip((context, word, counts, above), (c, w, n, a)):
                 whole.append(part[seen])
         context, word, counts, above = map(np.concatenate, (context, word, counts, above))
-        order = np.lexsort((word, context))
+        order = in_order(context, word)
         c, w = context[order], word[order]
         at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(c) else np.zeros(0, dtype=np.int64)
         total = np.add.reduceat(counts[order].astype(np.int64), at) if len(c) else np.zeros(0, dtype=np.int64)

@@ -558,6 +558,23 @@ def test_lm_messages_name_a_context_once():
         assert shards == 1 or all(sent[x] > 1 for x in range(3))
 
 
+def test_lm_pairs_in_order_and_ones_of_a_word():
+    import numpy as np
+
+    from tabsynth.llm.eliasfano import EliasFano
+
+    rng = np.random.default_rng(6)
+    for top in (50, 1 << 40):  # the second does not fit one number
+        c, w = rng.integers(0, top, 2000, dtype="uint64"), rng.integers(0, top, 2000, dtype="uint64")
+        order, want = lm.in_order(c, w), np.lexsort((w, c))
+        assert (c[order] == c[want]).all() and (w[order] == w[want]).all()
+    assert len(lm.in_order(c[:0], w[:0])) == 0
+    words = np.concatenate([rng.integers(0, 1 << 63, 300, dtype="uint64"), [np.uint64(1 << 63), np.uint64(2**64 - 1)]]).astype("uint64")
+    ones = [(x, r, at) for x in words.tolist() for r, at in enumerate(i for i in range(64) if x >> i & 1)]
+    x, r, at = (np.array(v, dtype=t) for v, t in zip(zip(*ones), ("uint64", "int64", "int64")))
+    assert (EliasFano._select_in_word(x, r) == at).all()
+
+
 def test_elias_fano_and_trie():
     import numpy as np
 
