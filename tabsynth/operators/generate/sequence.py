@@ -45,12 +45,14 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     named = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("")) if key else F.lit("all")
     base = base.withColumn("_seq", named)
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    ranked = K.positions(base.withColumn("_tie", tie), ["_seq"], [F.col(f"`{time_col}`"), F.col("_tie")], name="_p")
+    known = df.count()  # tasks follow the rows read and drawn, so a task's share does not grow with them
+    ranges = K.partitions(spark, known)
+    ranked = K.positions(base.withColumn("_tie", tie), ["_seq"], [F.col(f"`{time_col}`"), F.col("_tie")], name="_p", n_ranges=ranges)
     ranked = K._persist(ranked)
     held = [f"_ctx{i}" for i in range(len(ctx))]  # first value of each context column, carried along
     seqs = ranked.groupBy("_seq").agg(F.count(F.lit(1)).alias("_len"), F.min(f"`{time_col}`").alias("_t0"),
                                       *[F.min_by(f"`{c}`", "_p").alias(h) for c, h in zip(ctx, held)])
-    seqs = K._persist(K.positions(seqs, [], [F.col("_seq")], name="_si"))
+    seqs = K._persist(K.positions(seqs, [], [F.col("_seq")], name="_si", n_ranges=ranges))
     stats = seqs.agg(F.count(F.lit(1)).alias("k"), F.avg("_len").alias("m")).first()
     if not stats["k"]:
         raise ValueError("no row has a time")
@@ -61,8 +63,8 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
         outs = spark.range(g_count).select(
             F.col("id").alias("_g"),
             F.floor(uniform(seed, "seq-src", F.col("id")) * n_seq).cast("long").alias("_si"))
-        outs = outs.join(seqs, "_si")
-        outs = K.prefix_sums(outs, [], [F.col("_g")], ["_len"], prefix="_cum")
+        outs = K.dealt(outs, max(g_count, n_seq), ["_si"]).join(K.dealt(seqs, max(g_count, n_seq), ["_si"]), "_si")
+        outs = K.prefix_sums(outs, [], [F.col("_g")], ["_len"], prefix="_cum", n_ranges=K.partitions(spark, g_count))
         covered = outs.select(F.max("_cum_len")).first()[0] or 0
         if covered >= n:
             break
@@ -79,11 +81,13 @@ def generate_sequences(df: DataFrame, n: int, time_col: str, sequence_key: str |
     # numbers only, so that the other columns are moved once, in the last join
     times = ranked.select("_seq", "_p", epoch_micros(F.col(f"`{time_col}`"), T.TimestampNTZType()).alias("_at"))
     before = times.select("_seq", (F.col("_p") + 1).alias("_p"), F.col("_at").alias("_prev"))
-    gaps = times.join(before, ["_seq", "_p"], "left").select("_seq", "_p", F.coalesce(F.col("_at") - F.col("_prev"), F.lit(0)).alias("_step"))
-    placed = K.joined(rows, gaps, ["_seq", "_p"]).withColumn("_gap", F.when(F.col("_j") == 0, F.lit(0)).otherwise(F.col("_step")))
-    cum = K.prefix_sums(placed.select("_g", "_j", "_seq", "_p", "_t0", "_gap", *held), ["_g"], [F.col("_j")], ["_gap"], prefix="_cum")
+    larger = max(known, n)
+    gaps = K.joined(times, before, ["_seq", "_p"], larger, "left").select("_seq", "_p", F.coalesce(F.col("_at") - F.col("_prev"), F.lit(0)).alias("_step"))
+    placed = K.joined(rows, gaps, ["_seq", "_p"], larger).withColumn("_gap", F.when(F.col("_j") == 0, F.lit(0)).otherwise(F.col("_step")))
+    cum = K.prefix_sums(placed.select("_g", "_j", "_seq", "_p", "_t0", "_gap", *held), ["_g"], [F.col("_j")], ["_gap"], prefix="_cum",
+                        n_ranges=K.partitions(spark, n))
     payload = ranked.select("_seq", "_p", *[F.col(f"`{c}`") for c in df.columns if c != time_col])
-    cum = K.joined(cum, payload, ["_seq", "_p"])
+    cum = K.joined(cum, payload, ["_seq", "_p"], larger)
     new_t = F.timestamp_add("MICROSECOND", F.col("_cum_gap"), F.col("_t0").cast("timestamp_ntz")).cast(
         tc.field_type(df, time_col) if tc.is_datetime(tc.field_type(df, time_col)) else "timestamp_ntz")
     sel = []

@@ -4,8 +4,9 @@
   work becomes one grouped job instead of one job per column.
 * ``prefix_sums`` (K1): inclusive running sums of weights within a group in a global
   order.  Range-partition on (group, order) so a hot group is split over many tasks; a
-  window over (partition, group) -- bounded by one range -- gives local sums; a tiny
-  (partition, group) totals table gives the offsets.  The ranged frame is checkpointed
+  window over (partition, group) -- bounded by one range -- gives local sums; totals by
+  (partition, group) give the offsets, of which each range needs one at most: only its first
+  group can have begun in an earlier range.  The ranged frame is checkpointed
   (reliable, shared folder) so both branches see one partition assignment and lineage
   stays flat when kernels are chained.
 * ``positions`` (K1, rows): the same with weight 1 -> exact 0-based position in the group.
@@ -24,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -94,13 +95,16 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str | Col
 
     Range partitions on (group, order) split a hot group over many tasks; inside each
     partition a window over (partition, group) -- bounded by one range -- gives local
-    sums, and a tiny (partition, group) totals table gives the offsets."""
+    sums, and totals by (partition, group) give the offsets.  A group has none in its first
+    range, so however many groups there are, one offset a range is broadcast."""
     n = n_ranges or default_ranges(df.sparkSession)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     wcols = [F.col(w) if isinstance(w, str) else w for w in weights]
     keys = [F.col(g) for g in group_cols] + order
     base = df.select("*", *[w.alias(f"_w{i}") for i, w in enumerate(wcols)])
     ranged = base.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    if n > default_ranges(df.sparkSession):  # the window would deal the ranges to the session's partitions, several to a task
+        ranged = ranged.repartitionById(n, "_pid")
     wl = (
         Window.partitionBy("_pid", *group_cols)
         .orderBy(*order)
@@ -115,16 +119,16 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str | Col
     wspec = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     wspec = wspec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_pid", *group_cols,
+        "_pid", *group_cols, F.count(F.lit(1)).over(wspec).alias("_earlier"),
         *[F.coalesce(F.sum(f"_t{i}").over(wspec), F.lit(0)).alias(f"_b{i}") for i in range(k)],
-    )
+    ).where(F.col("_earlier") > 0).drop("_earlier")
     lo = local.alias("_l")
-    of = offsets.alias("_o")
+    of = F.broadcast(offsets.alias("_o"))
     on = _null_safe_on(lo, of, ["_pid", *group_cols])
     names = [prefix + (w if isinstance(w, str) else str(i)) for i, w in enumerate(weights)]
-    return lo.join(of, on, "inner").select(
+    return lo.join(of, on, "left").select(
         *[lo["`" + c.replace("`", "``") + "`"] for c in df.columns],
-        *[(lo[f"_lc{i}"] + of[f"_b{i}"]).alias(names[i]) for i in range(k)],
+        *[(lo[f"_lc{i}"] + F.coalesce(of[f"_b{i}"], F.lit(0))).alias(names[i]) for i in range(k)],
     )
 
 
@@ -356,10 +360,27 @@ def numbered(df: DataFrame, length: str, name: str, keys: list[str], step: int =
     return parts.withColumn(name, F.explode(F.sequence(first, end))).drop("_part")
 
 
-def joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two large frames, of which one may look small to Spark (``numbered`` rows):
-    a merge join, whatever the estimates, so neither is gathered on the driver."""
-    return rows.hint("merge").join(other, keys)
+def joined(rows: DataFrame, other: DataFrame, keys: list[str], size: int = 0, how: str = "inner") -> DataFrame:
+    """Join of two large frames, of which one may look small to Spark (``numbered`` rows): a
+    merge join, whatever the estimates, so neither is gathered on the driver.  ``size``: rows of
+    the larger one, which sets the number of tasks."""
+    return dealt(rows, size, keys).hint("merge").join(dealt(other, size, keys), keys, how)
+
+
+TASK_ROWS = 1 << 18  # rows of one frame that a task sorts, however few partitions the session has
+
+
+def partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows`` rows: the session's, or more where a task would get over
+    ``TASK_ROWS`` of them, so that its memory does not grow with the table."""
+    return max(default_ranges(spark), -(-int(rows) // TASK_ROWS))
+
+
+def dealt(df: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` for the join, window or grouping by them that follows, where the
+    session's partitions are too few for ``rows`` rows; otherwise that is left to Spark."""
+    n = partitions(df.sparkSession, rows)
+    return df.repartition(n, *keys) if n > default_ranges(df.sparkSession) else df
 
 
 def chunked(items: list, size: int) -> list[list]:
