@@ -96,7 +96,9 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
     block = block or min(8192, max(1024, 128 * d))  # the projection of wide rows rules out less
     # direction of the projection: feature spreads (so a dominant feature dominates the
     # projection as it dominates distances) with seeded signs; d numbers from one pass
-    st = df.agg(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)], *[F.max(F.abs(F.col(f))).alias(f"m{i}") for i, f in enumerate(feats)]).first()
+    st = df.agg(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)], *[F.max(F.abs(F.col(f))).alias(f"m{i}") for i, f in enumerate(feats)],
+                F.count(F.lit(1)).alias("rows")).first()
+    ranges = K.partitions(df.sparkSession, st["rows"])  # tasks follow the rows, so a task's share does not grow with them
     rng = np.random.default_rng(seed)
     w = np.array([float(st[f"s{i}"] or 0.0) for i in range(d)]) * rng.choice([-1.0, 1.0], size=d) * rng.uniform(0.5, 1.0, size=d)
     if not np.any(w):
@@ -106,8 +108,8 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
     proj = sum((F.col(f) * float(w[i]) for i, f in enumerate(feats)), F.lit(0.0))
     pts = df.select(F.col(key).alias("_k"), F.col(cls).alias("_cls"), F.array(*[F.col(f).cast("double") for f in feats]).alias("_x"), proj.alias("_proj"))
     # copies: only the k + 1 smallest keys of a vector can be neighbours, and it is searched once
-    pts = K.positions(pts, ["_cls", "_x"], [F.col("_k")], name="_copy")
-    pts = K.prefix_sums(pts, ["_cls"], [F.col("_proj"), F.col("_x"), F.col("_copy")], [(F.col("_copy") == 0).cast("long")], prefix="_v")
+    pts = K.positions(pts, ["_cls", "_x"], [F.col("_k")], name="_copy", n_ranges=ranges)
+    pts = K.prefix_sums(pts, ["_cls"], [F.col("_proj"), F.col("_x"), F.col("_copy")], [(F.col("_copy") == 0).cast("long")], prefix="_v", n_ranges=ranges)
     pts = written(pts.withColumn("_v", F.col("_v0") - 1).drop("_v0"), "smote-vectors")
     near = pts.where(F.col("_copy") <= k).groupBy("_cls", "_v").agg(F.sort_array(F.collect_list("_k")).alias("_keys"))
     vecs = pts.where(F.col("_copy") == 0).select("_cls", "_v", F.floor(F.col("_v") / block).cast("long").alias("_b"), "_x", "_proj", "_k")
@@ -115,7 +117,9 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
     asked = written(asked.select("_k", "_cls", "_v"), "smote-asked")
     search = vecs if queries is None else vecs.join(asked.select("_cls", "_v").distinct(), ["_cls", "_v"])
     search = search.select("_cls", "_v", "_b", "_x", "_proj")
-    spans = vecs.groupBy("_cls", "_b").agg(F.min("_proj").alias("_lo"), F.max("_proj").alias("_hi")).checkpoint()  # one row a block
+    spans = vecs.groupBy("_cls", "_b").agg(F.min("_proj").alias("_lo"), F.max("_proj").alias("_hi"), F.count(F.lit(1)).alias("_n")).checkpoint()  # one row a block
+    near_rows = 3 * (k + 1) * (spans.agg(F.sum("_n")).first()[0] or 0)  # that the blocks around those of the vectors give
+    spans = spans.drop("_n")
 
     def nearest(pairs: DataFrame) -> DataFrame:
         """The k + 1 nearest vectors of every searched vector in the candidate block of its pair."""
@@ -123,33 +127,35 @@ def knn_within_class(df: DataFrame, key: str, cls: str, feats: list[str], k: int
         right = pairs.select("_cls", "_b", "_c").distinct().join(vecs.select("_cls", F.col("_b").alias("_c"), "_v", "_x", "_k"), ["_cls", "_c"])
         right = right.select(*[F.col(c).alias(c) for c in right.columns])
         at = ["_cls", "_b", "_c"]
-        schema = T.StructType([T.StructField("_cls", vecs.schema["_cls"].dataType), *T._parse_datatype_string("_v long, _cv long, _d double").fields])
+        schema = T.StructType([T.StructField("_cls", vecs.schema["_cls"].dataType), *T._parse_datatype_string("_v long, _cv long, _d double").fields,
+                               T.StructField("_ck", vecs.schema["_k"].dataType)])
         return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_nearest_in_block(k + 1, d), schema)
 
     around = F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))
     first = written(nearest(search.withColumn("_c", around).withColumn("_most", F.lit(float("inf")))), "smote-near")
-    kth = _closest(first, vecs, k + 1).groupBy("_cls", "_v").agg(F.max("_d").alias("_most"), F.count(F.lit(1)).alias("_got"))
+    kth = _closest(first, near_rows, k + 1).groupBy("_cls", "_v").agg(F.max("_d").alias("_most"), F.count(F.lit(1)).alias("_got"))
     kth = kth.select("_cls", "_v", F.when(F.col("_got") > k, F.col("_most")).otherwise(F.lit(float("inf"))).alias("_most"))
     # further blocks whose projections are near enough to hold a nearer vector; a projection is 1-Lipschitz
     gap = F.greatest(F.col("_lo") - F.col("_proj"), F.col("_proj") - F.col("_hi")) - slack
     more = search.join(kth, ["_cls", "_v"], "left").join(F.broadcast(spans.withColumnRenamed("_b", "_c")), "_cls")
     more = more.where((F.abs(F.col("_c") - F.col("_b")) > 1) & ((gap <= 0) | (gap * gap * (1 - 8 * EPS) <= F.coalesce("_most", F.lit(float("inf"))))))
     more = more.select("_cls", "_v", "_b", "_x", "_proj", "_c", F.coalesce("_most", F.lit(float("inf"))).alias("_most"))
-    found = _closest(first.unionByName(nearest(more)), vecs, k + 1)
+    found = _closest(first.unionByName(nearest(more)), near_rows, k + 1)
     # of every vector the k + 1 nearest rows; a row's own key goes, the first k others stay
-    rows = found.join(near.withColumnRenamed("_v", "_cv"), ["_cls", "_cv"]).select("_cls", "_v", F.explode(F.transform("_keys", lambda x: F.struct(F.col("_d").alias("d"), x.alias("k")))).alias("_n"))
-    lists = rows.groupBy("_cls", "_v").agg(F.slice(F.sort_array(F.collect_list("_n")), 1, k + 1).alias("_n"))  # (k + 1) x (k + 1) at most
+    found, near = (K.dealt(x, near_rows, ["_cls", "_cv"]) for x in (found, near.withColumnRenamed("_v", "_cv")))
+    rows = found.join(near, ["_cls", "_cv"]).select("_cls", "_v", F.explode(F.transform("_keys", lambda x: F.struct(F.col("_d").alias("d"), x.alias("k")))).alias("_n"))
+    lists = K.dealt(rows, near_rows, ["_cls", "_v"]).groupBy("_cls", "_v").agg(F.slice(F.sort_array(F.collect_list("_n")), 1, k + 1).alias("_n"))  # (k + 1) x (k + 1) at most
     out = asked.join(lists, ["_cls", "_v"])
     out = out.select("_k", F.posexplode(F.slice(F.filter("_n", lambda n: n["k"] != F.col("_k")), 1, k)).alias("_at", "_n"))
     return out.select(F.col("_k").alias(key), F.col("_n.k").alias("nn_key"), (F.col("_at") + 1).alias("nn_rank"), F.col("_n.d").alias("dist2"))
 
 
-def _closest(found: DataFrame, vecs: DataFrame, n: int) -> DataFrame:
-    """Of (_cls, _v, _cv, _d) the ``n`` smallest distances of each vector, equal ones by the
-    candidates' smallest keys; a few times ``n`` rows a vector come in."""
-    keyed = found.join(vecs.select("_cls", F.col("_v").alias("_cv"), F.col("_k").alias("_ck")), ["_cls", "_cv"])
+def _closest(found: DataFrame, rows: int, n: int) -> DataFrame:
+    """Of (_cls, _v, _cv, _d, _ck) the ``n`` smallest distances of each vector, equal ones by the
+    candidates' smallest keys ``_ck``; a few times ``n`` rows a vector come in, about ``rows`` in all."""
     at = F.row_number().over(Window.partitionBy("_cls", "_v").orderBy("_d", "_ck"))
-    return keyed.withColumn("_at", at).where(F.col("_at") <= n).select("_cls", "_v", "_cv", "_d")
+    found = K.dealt(found, rows, ["_cls", "_v"]).withColumn("_at", at)
+    return found.where(F.col("_at") <= n).select("_cls", "_v", "_cv", "_d")
 
 
 def _nearest_in_block(n: int, d: int):
@@ -182,10 +188,11 @@ def _nearest_in_block(n: int, d: int):
                 order = np.lexsort((c, exact, q))  # c is the place by key
                 q, c, exact = q[order], c[order], exact[order]
                 keep = (np.arange(len(q)) - np.searchsorted(q, q) < n) & (exact <= most[s][q])
-                parts.append((v[s][q[keep]], cv[c[keep]], exact[keep]))
-        vs, cvs, ds = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, float)))
+                parts.append((v[s][q[keep]], cv[c[keep]], exact[keep], c[keep]))
+        vs, cvs, ds, places = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, float, np.int64)))
+        keys = right.column("_k").take(pa.array(places)).combine_chunks()
         cls = pa.array([left.column("_cls")[0].as_py()] * len(vs) if len(vs) else [], kinds[0])
-        return pa.Table.from_arrays([cls, *[pa.array(x, t) for x, t in zip((vs, cvs, ds), kinds[1:])]], names=["_cls", "_v", "_cv", "_d"])
+        return pa.Table.from_arrays([cls, *[pa.array(x, t) for x, t in zip((vs, cvs, ds), kinds[1:])], keys], names=["_cls", "_v", "_cv", "_d", "_ck"])
     return run
 
 
@@ -201,7 +208,7 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     # cached plans would double with each step that reads one twice, all of it on the driver
     base = written(base, "smote-base")
     counts = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_cnt"))
-    st = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("_cnt").alias("mn"), F.max("_cnt").alias("mx")).first()
+    st = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("_cnt").alias("mn"), F.max("_cnt").alias("mx"), F.sum("_cnt").alias("rows")).first()
     if st["classes"] < 2:
         raise ValueError("the target has a single class")
     if st["mn"] < 2:
@@ -210,12 +217,13 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
     mx = st["mx"]
     # stable row key and position inside the class
     keyed = base.withColumn("_h", hash_u32(seed, "smote-key", *fcols, "_y"))
-    keyed = K.positions(keyed, ["_y"], [F.col("_h"), *[F.col(c) for c in fcols]], name="_pos")
+    keyed = K.positions(keyed, ["_y"], [F.col("_h"), *[F.col(c) for c in fcols]], name="_pos", n_ranges=K.partitions(df.sparkSession, st["rows"]))
     keyed = written(keyed.withColumn("_key", F.concat_ws("#", F.col("_pos").cast("string"), F.col("_y"))), "smote-keyed")
     # generated draws: class c needs mx - cnt rows
     need = written(counts.where(F.col("_cnt") < mx).select("_y", "_cnt", (F.lit(mx) - F.col("_cnt")).alias("_m")), "smote-need")
     if need.isEmpty():
         return keyed.select("_y", *fcols, F.lit(False).alias("_generated")), fcols, info
+    drawn = mx * st["classes"] - st["rows"]
     draws = K.numbered(need, "_m", "_s", ["_y"])
     draws = draws.select(
         "_y", "_s",
@@ -223,11 +231,11 @@ def smote_balance(df: DataFrame, target: str, seed: int = SEED,
         (F.floor(uniform(seed, "smote-nn", F.col("_y"), F.col("_s")) * F.least(F.lit(kk), F.col("_cnt") - 1)) + 1).cast("int").alias("nn_rank"),
         uniform(seed, "smote-gap", F.col("_y"), F.col("_s")).alias("_gap"),
     )
-    bases = written(K.joined(draws, keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"]), "smote-bases")
+    bases = written(K.joined(draws, keyed.select("_y", "_pos", "_key", *fcols), ["_y", "_pos"], max(st["rows"], drawn)), "smote-bases")
     minority = keyed.join(need.select("_y"), "_y")
     nn = knn_within_class(minority, "_key", "_y", fcols, kk, seed, queries=bases.select("_key"))
     nbr = keyed.select(F.col("_key").alias("nn_key"), *[F.col(c).alias(f"nb_{c}") for c in fcols])
-    syn = bases.join(nn.select(F.col("_key"), "nn_key", "nn_rank"), ["_key", "nn_rank"]).join(nbr, "nn_key")
+    syn = K.joined(bases, nn.select(F.col("_key"), "nn_key", "nn_rank"), ["_key", "nn_rank"], max(kk * st["rows"], drawn)).join(nbr, "nn_key")
     syn = syn.select("_y", *[(F.col(c) + F.col("_gap") * (F.col(f"nb_{c}") - F.col(c))).alias(c) for c in fcols],
                      F.lit(True).alias("_generated"))
     orig = keyed.select("_y", *fcols, F.lit(False).alias("_generated"))

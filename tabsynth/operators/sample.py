@@ -33,7 +33,7 @@ def sample_hash(df: DataFrame, key_cols: list[str] | None = None, seed: int = SE
 def _smallest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """Exactly the ``n`` first rows of ``order`` (a unique order), ranked by the range-split
     position kernel at every size."""
-    pos = K.positions(df, [], order, name="_p")
+    pos = K.positions(df, [], order, name="_p", n_ranges=K.partitions(df.sparkSession, n))
     return pos.where(F.col("_p") < n).drop("_p")
 
 
